@@ -1,0 +1,43 @@
+"""Joining per-group values back to rows when one group may hold a large share of them."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_GROUP_ROWS = 1_000_000
+SALTS = 64
+
+
+def attach_groups(
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    spread: Sequence[str],
+    hot_rows: int = HOT_GROUP_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` = rows of the group).
+
+    A window over the key, or a plain join, would send a whole group to one task. Here the
+    rows of a group above ``hot_rows`` are spread over ``salts`` partitions by a hash of
+    the ``spread`` columns, which tell the rows of a group apart, and the group's single row
+    is repeated for each. There are at most (all rows / ``hot_rows``) such groups, which is
+    what bounds the broadcast list of their keys.
+    """
+    keys = list(keys)
+    is_hot = F.col(size) > hot_rows
+    hot = groups.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salted_rows = (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)))
+        .drop("_hot")
+    )
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    salted_groups = groups.withColumn(
+        "_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0).cast("bigint"))))
+    )
+    return salted_rows.join(salted_groups, [*keys, "_salt"]).drop("_salt")
