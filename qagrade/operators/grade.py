@@ -40,8 +40,12 @@ def _mean_structure(scores: list[Column]) -> Column:
 
 
 def structure_score(text: Column) -> Column:
-    """Mean structure score of the five tags."""
-    return _mean_structure([tag_structure(text, tag) for tag in V.TAGS])
+    """Mean structure score of the five tags.
+
+    The tags are collected once: ``transform`` over a one-element array gives the list a name.
+    """
+    mean = F.transform(F.array(tags_found(text)), lambda found: _mean_structure([_score(_paired(found, t)) for t in V.TAGS]))
+    return F.get(mean, F.lit(0))
 
 
 def structure_order(text: Column) -> Column:

@@ -45,19 +45,35 @@ SELECT doc_id AS row_id,
 FROM (SELECT doc_id, text, lang, source, doc_id % 48 AS c, {_ANSWER} AS ans FROM {{documents}}) d
 """
 
-_GENERATION = """CASE
-    WHEN v = 3 THEN ''
-    WHEN v = 4 THEN concat('<answer>', ans, '</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
-    WHEN v = 5 THEN concat('<think>', text, '</think><answer>', ans, '</answer><answer>again</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
-    WHEN v = 6 THEN concat('<answer>', ans, '</answer><think>', text, '</think><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
-    WHEN v = 7 THEN concat('Sure! <think>', text, '</think><answer>', ans, '</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:12]</answer-utility><groundness>[Fully supported]</groundness>')
-    WHEN v = 8 THEN concat('<think>', text, '</think><answer>', ans, '</answer><contextual-relevance>[relevant]</contextual-relevance><answer-utility>Utility:5</answer-utility><groundness>[Fully supported]')
+def _generation(v: str, sample: str) -> str:
+    return f"""CASE
+    WHEN {v} = 3 THEN ''
+    WHEN {v} = 4 THEN concat('<answer>', ans, '</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
+    WHEN {v} = 5 THEN concat('<think>', text, '</think><answer>', ans, '</answer><answer>again</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
+    WHEN {v} = 6 THEN concat('<answer>', ans, '</answer><think>', text, '</think><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:5]</answer-utility><groundness>[Fully supported]</groundness>')
+    WHEN {v} = 7 THEN concat('Sure! <think>', text, '</think><answer>', ans, '</answer><contextual-relevance>[Relevant]</contextual-relevance><answer-utility>[Utility:12]</answer-utility><groundness>[Fully supported]</groundness>')
+    WHEN {v} = 8 THEN concat('<think>', text, '</think><answer>', ans, '</answer><contextual-relevance>[relevant]</contextual-relevance><answer-utility>Utility:5</answer-utility><groundness>[Fully supported]')
     ELSE concat('<think>', chr(10), text, chr(10), '</think>', chr(10), '<answer>', chr(10), ans, chr(10), '</answer>', chr(10),
       '<contextual-relevance>', chr(10), '[Relevant]', chr(10), '</contextual-relevance>', chr(10),
-      '<answer-utility>', chr(10), '[Utility:', CAST(1 + (doc_id + sample) % 5 AS STRING), ']', chr(10), '</answer-utility>', chr(10),
-      '<groundness>', chr(10), CASE WHEN v = 2 THEN '[No support/Contradictory]' ELSE '[Fully supported]' END, chr(10), '</groundness>')
+      '<answer-utility>', chr(10), '[Utility:', CAST(1 + (doc_id + {sample}) % 5 AS STRING), ']', chr(10), '</answer-utility>', chr(10),
+      '<groundness>', chr(10), CASE WHEN {v} = 2 THEN '[No support/Contradictory]' ELSE '[Fully supported]' END, chr(10), '</groundness>')
   END"""
 
+
+def _labels(v: str) -> dict[str, str]:
+    return {
+        "relevance": f"CASE WHEN {v} IN (1, 12) THEN '[Irrelevant]' ELSE '[Relevant]' END",
+        "utility": f"CASE WHEN {v} = 11 THEN NULL WHEN {v} = 10 THEN 'Utility unknown'"
+        " ELSE concat('[Utility:', CAST(doc_id % 5 + 1 AS STRING), ']') END",
+        "groundness": f"CASE WHEN {v} = 1 THEN NULL WHEN {v} = 2 THEN '[No support / Contradictory]'"
+        " ELSE '[Fully supported]' END",
+    }
+
+
+def _shape(sample: str) -> str:
+    return f"((doc_id * 5 + CASE model WHEN 'base' THEN 0 ELSE 3 END + {sample} * 7) % 13)"
+
+
 # Two models x four samples per document; ``v`` picks the shape: 1 mismatching labels,
 # 2 the two spellings of one token, 3 empty, 4 tag missing, 5 tag doubled, 6 order
 # swapped, 7 text outside and [Utility:12], 8 wrong case, no brackets and an unclosed
@@ -67,13 +83,10 @@ SELECT doc_id AS row_id, model, sample,
   concat('What does document ', CAST(doc_id AS STRING), ' of ', source, ' say?') AS instruction,
   text AS context,
   ans AS answer,
-  CASE WHEN v IN (1, 12) THEN '[Irrelevant]' ELSE '[Relevant]' END AS relevance,
-  CASE WHEN v = 11 THEN NULL WHEN v = 10 THEN 'Utility unknown'
-       ELSE concat('[Utility:', CAST(doc_id % 5 + 1 AS STRING), ']') END AS utility,
-  CASE WHEN v = 1 THEN NULL WHEN v = 2 THEN '[No support / Contradictory]' ELSE '[Fully supported]' END AS groundness,
-  {_GENERATION} AS generation
+  {", ".join(f"{label} AS {name}" for name, label in _labels("v").items())},
+  {_generation("v", "sample")} AS generation
 FROM (
-  SELECT *, (doc_id * 5 + CASE model WHEN 'base' THEN 0 ELSE 3 END + sample * 7) % 13 AS v
+  SELECT *, {_shape("sample")} AS v
   FROM (
     SELECT *, {_ANSWER} AS ans, {{unnest}}({{list}}(0, 1, 2, 3)) AS sample
     FROM (SELECT *, {{unnest}}({{list}}('base', 'tuned')) AS model FROM {{documents}}) m
@@ -81,6 +94,20 @@ FROM (
 ) g
 """
 
+
+def _per_sample(expression: str) -> str:
+    return f"transform(array(0, 1, 2, 3), k -> {expression})"
+
+
+# The generations as a trainer hands them over: per document and model an array of four
+# completions, each a list of messages, with labels as arrays in the same order. Spark only.
+COMPLETIONS_SQL = f"""
+SELECT doc_id AS row_id, model,
+  {_per_sample(f"array(named_struct('role', 'assistant', 'content', {_generation(_shape('k'), 'k')}))")} AS completions,
+  {", ".join(f"{_per_sample(label)} AS {name}" for name, label in _labels(_shape("k")).items())}
+FROM (SELECT *, {_ANSWER} AS ans, {{unnest}}({{list}}('base', 'tuned')) AS model FROM {{documents}}) m
+"""
+
 # Three verdicts per generation. Documents without a row in ``labels`` have no
 # faithfulness verdict, so that the missing-verdict rule is exercised.
 VERDICTS_SQL = """
@@ -122,3 +149,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _for_spark(spark, sf_dir, VERDICTS_SQL)
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _for_spark(spark, sf_dir, COMPLETIONS_SQL)
