@@ -43,7 +43,17 @@ def tags_found(text: Column) -> Column:
 
 def occurrences(found: Column, token: str) -> Column:
     """How often ``token`` stands in an array made by :func:`tags_found`."""
-    return F.size(F.filter(found, lambda t: t == token))
+    return F.size(found) - F.size(F.array_remove(found, token))
+
+
+def sorted_tags(text: Column) -> Column:
+    """All tags of the vocabulary in the text as one short text, sorted, so equal tags are neighbours."""
+    return F.array_join(F.sort_array(tags_found(text)), "")
+
+
+def stands_once(tags: Column, token: str) -> Column:
+    """Whether a tag stands exactly once in a text made by :func:`sorted_tags`."""
+    return tags.contains(token) & ~tags.contains(token + token)
 
 
 def tag_count(text: Column, token: str) -> Column:

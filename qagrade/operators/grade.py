@@ -7,11 +7,13 @@ for the four tag contents.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
-from qagrade.functions.text import is_missing, occurrences, strip, tag_content, tags_found
+from qagrade.functions.text import is_missing, sorted_tags, stands_once, strip, tag_content, tags_found
 from qagrade.operators.judge import attach_judge
 
 _LARGEST = 2**63 - 1
@@ -26,13 +28,13 @@ def _score(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def _paired(found: Column, tag: str) -> Column:
-    return (occurrences(found, f"<{tag}>") == 1) & (occurrences(found, f"</{tag}>") == 1)
+def _paired(tags: Column, tag: str) -> Column:
+    return stands_once(tags, f"<{tag}>") & stands_once(tags, f"</{tag}>")
 
 
 def tag_structure(text: Column, tag: str) -> Column:
     """1.0 if the tag opens once and closes once, wherever."""
-    return _score(_paired(tags_found(text), tag))
+    return _score(_paired(sorted_tags(text), tag))
 
 
 def _mean_structure(scores: list[Column]) -> Column:
@@ -44,7 +46,7 @@ def structure_score(text: Column) -> Column:
 
     The tags are collected once: ``transform`` over a one-element array gives the list a name.
     """
-    mean = F.transform(F.array(tags_found(text)), lambda found: _mean_structure([_score(_paired(found, t)) for t in V.TAGS]))
+    mean = F.transform(F.array(sorted_tags(text)), lambda tags: _mean_structure([_score(_paired(tags, t)) for t in V.TAGS]))
     return F.get(mean, F.lit(0))
 
 
@@ -64,30 +66,38 @@ def utility_value(text: Column) -> Column:
     return F.when(digits.isNull(), F.lit(0).cast("bigint")).otherwise(number)
 
 
-def _closeness(extracted: Column, expected: Column) -> Column:
-    apart = F.abs(utility_value(extracted) - utility_value(expected))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - apart / F.lit(4.0))
+def _closeness(got: Column, wanted: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(got - wanted) / F.lit(4.0))
 
 
-def utility_grade(extracted: Column, expected: Column) -> Column:
+def utility_grade(
+    extracted: Column, expected: Column, got: Column | None = None, wanted: Column | None = None
+) -> Column:
     """One minus a quarter per step apart; 0.0 for missing texts or an unreadable extracted one.
 
-    An expected text without a number counts as the number 0.
+    An expected text without a number counts as the number 0. ``got`` and ``wanted`` are the
+    :func:`utility_value` of the two texts, for callers that have them as columns.
     """
-    ungraded = is_missing(extracted) | is_missing(expected) | (utility_value(extracted) == 0)
-    return F.when(ungraded, 0.0).otherwise(_closeness(extracted, expected))
+    got = utility_value(extracted) if got is None else got
+    wanted = utility_value(expected) if wanted is None else wanted
+    ungraded = is_missing(extracted) | is_missing(expected) | (got == 0)
+    return F.when(ungraded, 0.0).otherwise(_closeness(got, wanted))
 
 
-def utility_grade_reward(extracted: Column, expected: Column) -> Column:
+def utility_grade_reward(
+    extracted: Column, expected: Column, got: Column | None = None, wanted: Column | None = None
+) -> Column:
     """As :func:`utility_grade`, but with another rule for an expected text without a number.
 
     There any extracted text that holds ``Utility:1`` to ``Utility:5`` earns 1.0.
     """
+    got = utility_value(extracted) if got is None else got
+    wanted = utility_value(expected) if wanted is None else wanted
     return (
         F.when(is_missing(extracted) | is_missing(expected), 0.0)
-        .when(utility_value(expected) == 0, _score(extracted.rlike("Utility:[1-5]")))
-        .when(utility_value(extracted) == 0, 0.0)
-        .otherwise(_closeness(extracted, expected))
+        .when(wanted == 0, _score(extracted.rlike("Utility:[1-5]")))
+        .when(got == 0, 0.0)
+        .otherwise(_closeness(got, wanted))
     )
 
 
@@ -122,38 +132,48 @@ def overall_score(structure: Column, content: Column) -> Column:
 
 def grade_structure(df: DataFrame, text_col: str = "generation") -> DataFrame:
     """Add the five structure scores and their mean."""
-    found = F.col("_found")
-    graded = df.withColumn("_found", tags_found(F.coalesce(F.col(text_col), F.lit("")))).withColumns(
-        {name: _score(_paired(found, tag)) for name, tag in zip(V.STRUCTURE_METRICS, V.TAGS)}
+    tags = F.col("_tags")
+    graded = df.withColumn("_tags", sorted_tags(F.coalesce(F.col(text_col), F.lit("")))).withColumns(
+        {name: _score(_paired(tags, tag)) for name, tag in zip(V.STRUCTURE_METRICS, V.TAGS)}
     )
     mean = _mean_structure([F.col(name) for name in V.STRUCTURE_METRICS])
-    return graded.withColumn("overall_structure_score", mean).drop("_found")
+    return graded.withColumn("overall_structure_score", mean).drop("_tags")
+
+
+# Where each extracted value stands in a generation.
+EXTRACTED = {
+    "extracted_answer": "answer",
+    "extracted_relevance": "contextual-relevance",
+    "extracted_utility": "answer-utility",
+    "extracted_groundness": "groundness",
+}
 
 
-def extracted_tokens(df: DataFrame, text_col: str = "generation") -> DataFrame:
-    """Add what the generation says: extracted answer, relevance, utility and groundness."""
+def extracted_tokens(df: DataFrame, text_col: str = "generation", names: Iterable[str] = EXTRACTED) -> DataFrame:
+    """Add what the generation says: extracted answer, relevance, utility and groundness.
+
+    Grades use an extracted value several times, so it gets a column of its own first.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumns(
-        {
-            "extracted_answer": tag_content(text, "answer"),
-            "extracted_relevance": tag_content(text, "contextual-relevance"),
-            "extracted_utility": tag_content(text, "answer-utility"),
-            "extracted_groundness": tag_content(text, "groundness"),
-        }
-    )
+    return df.withColumns({name: tag_content(text, EXTRACTED[name]) for name in names})
+
+
+def utility_values(df: DataFrame) -> DataFrame:
+    """Add the numbers of the extracted and the expected utility as ``_got`` and ``_wanted``."""
+    return df.withColumns({"_got": utility_value(F.col("extracted_utility")), "_wanted": utility_value(F.col("utility"))})
 
 
 def grade_tokens(df: DataFrame, normalize_slash: bool = False) -> DataFrame:
     """Add the three token grades, from the extracted tokens and the label columns."""
-    return df.withColumns(
+    got = {name: F.col(f"extracted_{name}") for name in ("relevance", "utility", "groundness")}
+    graded = utility_values(df).withColumns(
         {
-            "relevance_correct": relevance_grade(F.col("extracted_relevance"), F.col("relevance")),
-            "utility_correct": utility_grade(F.col("extracted_utility"), F.col("utility")),
-            "groundness_correct": groundness_grade(
-                F.col("extracted_groundness"), F.col("groundness"), normalize_slash
-            ),
+            "relevance_correct": relevance_grade(got["relevance"], F.col("relevance")),
+            "utility_correct": utility_grade(got["utility"], F.col("utility"), F.col("_got"), F.col("_wanted")),
+            "groundness_correct": groundness_grade(got["groundness"], F.col("groundness"), normalize_slash),
         }
     )
+    return graded.drop("_got", "_wanted")
 
 
 def grade_generations(df: DataFrame, verdicts: DataFrame, normalize_slash: bool = False) -> DataFrame:

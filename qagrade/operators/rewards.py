@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
-from qagrade.functions.text import tag_content
-from qagrade.operators.grade import groundness_grade, relevance_grade, structure_score, utility_grade_reward
+from qagrade.operators.grade import (
+    extracted_tokens,
+    grade_structure,
+    groundness_grade,
+    relevance_grade,
+    utility_grade_reward,
+    utility_values,
+)
 from qagrade.operators.judge import GENERATION_KEY, attach_judge
 from qagrade.operators.skew import HOT_GROUP_ROWS, SALTS, attach_groups
+from qagrade.sources.scratch import pin
 
 REWARDS = tuple(f"reward_{name}" for name in V.REWARD_SCALES)
 
@@ -31,14 +38,17 @@ def completion_text(df: DataFrame, col: str = "completions", labels: Sequence[st
     return rows.select(*[c for c in rows.columns if c != "_item"], *named)
 
 
-def _text() -> Column:
-    return F.coalesce(F.col("generation"), F.lit(""))
-
-
 def _scaled(name: str, grade: Column) -> Column:
     return grade * F.lit(V.REWARD_SCALES[name])
 
 
+def _token_reward(df: DataFrame, name: str, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add a reward that compares one extracted token; ``add`` finds the token in its column."""
+    token = f"extracted_{name}"
+    rewarded = add(extracted_tokens(df, names=[token]))
+    return rewarded if token in df.columns else rewarded.drop(token)
+
+
 def reward_correctness(df: DataFrame) -> DataFrame:
     """20 x the verdict on correctness; a missing verdict counts 0."""
     return df.withColumn("reward_correctness", _scaled("correctness", F.coalesce("answer_correctness", F.lit(0.0))))
@@ -46,25 +56,30 @@ def reward_correctness(df: DataFrame) -> DataFrame:
 
 def reward_structure(df: DataFrame) -> DataFrame:
     """10 x the mean structure score."""
-    return df.withColumn("reward_structure", _scaled("structure", structure_score(_text())))
+    rewarded = grade_structure(df).withColumn("reward_structure", _scaled("structure", F.col("overall_structure_score")))
+    return rewarded.select(*df.columns, "reward_structure")
 
 
 def reward_relevance(df: DataFrame) -> DataFrame:
     """50 x the relevance grade."""
-    grade = relevance_grade(tag_content(_text(), "contextual-relevance"), F.col("relevance"))
-    return df.withColumn("reward_relevance", _scaled("relevance", grade))
+    grade = relevance_grade(F.col("extracted_relevance"), F.col("relevance"))
+    return _token_reward(df, "relevance", lambda rows: rows.withColumn("reward_relevance", _scaled("relevance", grade)))
 
 
 def reward_groundness(df: DataFrame, normalize_slash: bool = False) -> DataFrame:
     """50 x the groundness grade."""
-    grade = groundness_grade(tag_content(_text(), "groundness"), F.col("groundness"), normalize_slash)
-    return df.withColumn("reward_groundness", _scaled("groundness", grade))
+    grade = groundness_grade(F.col("extracted_groundness"), F.col("groundness"), normalize_slash)
+    return _token_reward(df, "groundness", lambda rows: rows.withColumn("reward_groundness", _scaled("groundness", grade)))
 
 
 def reward_utility(df: DataFrame) -> DataFrame:
     """100 x the utility grade, in its reward form."""
-    grade = utility_grade_reward(tag_content(_text(), "answer-utility"), F.col("utility"))
-    return df.withColumn("reward_utility", _scaled("utility", grade))
+    grade = utility_grade_reward(F.col("extracted_utility"), F.col("utility"), F.col("_got"), F.col("_wanted"))
+
+    def add(rows: DataFrame) -> DataFrame:
+        return utility_values(rows).withColumn("reward_utility", _scaled("utility", grade)).drop("_got", "_wanted")
+
+    return _token_reward(df, "utility", add)
 
 
 def reward_total(df: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -86,7 +101,8 @@ def group_advantage(
 
     The deviation is that of the population; a group whose rewards are all equal gets 0.
     Group statistics are combined before their shuffle and joined back, with groups above
-    ``hot_rows`` spread by a hash of the ``within`` columns.
+    ``hot_rows`` spread by a hash of the ``within`` columns. ``df`` is read for both, so it
+    should be a table.
     """
     stats = df.groupBy(*group).agg(
         F.count("*").alias("_size"), F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_deviation")
@@ -105,11 +121,13 @@ def reward_table(
 ) -> DataFrame:
     """One row per completion: key, the five rewards, their total and the group's advantage.
 
-    Rewards are computed where the text is; only keys and numbers are shuffled.
+    Rewards are computed where the text is; only keys and numbers are shuffled. They are
+    written as an intermediate table, because the advantage reads them twice and reading
+    the texts again would cost more.
     """
     rows = completion_text(df, labels=labels)
     for reward in (reward_structure, reward_relevance, reward_groundness, reward_utility):
         rows = reward(rows)
     rows = rows.select(*GENERATION_KEY, *[c for c in rows.columns if c in REWARDS])
     rows = reward_total(reward_correctness(attach_judge(rows, verdicts)), weights)
-    return group_advantage(rows.select(*GENERATION_KEY, *REWARDS, "reward_total"))
+    return group_advantage(pin(rows.select(*GENERATION_KEY, *REWARDS, "reward_total"), "rewards"))
