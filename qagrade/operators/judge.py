@@ -92,9 +92,9 @@ def batched_judge(
     """Ask ``fn`` for the requests that are not in ``answered`` yet: (request_id, metric, score).
 
     ``fn`` gets a frame of distinct requests and returns ``request_id``, ``metric`` and
-    ``score``.
+    ``score``. Copies go first, so that the anti join meets every request once.
     """
-    pending = distinct_requests(requests.join(answered.select("request_id").distinct(), "request_id", "left_anti"))
+    pending = distinct_requests(requests).join(answered.select("request_id").distinct(), "request_id", "left_anti")
     return batched_apply(pending, fn, "request_id string, metric string, score double", batch_rows, setup)
 
 

@@ -109,13 +109,14 @@ def result_rows(df: DataFrame, generations: DataFrame, key: str = "row_id") -> D
     prompt apart; same-named columns of ``df`` are overwritten. Prompts without a generation
     stay, with NULL. Both sides of the inner join are plain shuffles, so that a prompt with
     very many generations is split at run time; an outer join would not allow that, which is
-    why prompts without one are added by an anti join on the distinct keys.
+    why prompts without one are added by an anti join on the distinct keys. Texts are
+    rendered after the join and do not take part in its shuffle.
     """
     overwritten = [c for c in generations.columns if c in df.columns and c != key]
-    prompts = add_prompts(row_index(df, [key]).drop(*overwritten))
-    answered = prompts.join(generations, key)
-    unanswered = prompts.join(generations.select(key).distinct(), key, "left_anti")
-    return answered.unionByName(unanswered, allowMissingColumns=True)
+    asked = row_index(df.drop(*overwritten), [key])
+    answered = asked.join(generations, key)
+    unanswered = asked.join(generations.select(key).distinct(), key, "left_anti")
+    return add_prompts(answered.unionByName(unanswered, allowMissingColumns=True))
 
 
 def sample_preview(df: DataFrame, every: int = 10) -> DataFrame:

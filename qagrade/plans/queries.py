@@ -325,15 +325,15 @@ def sample_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview.select("index", "model", "sample", "instruction", "generation")
 
 
-def _quoted_reply(batch: pd.DataFrame) -> pd.DataFrame:
-    """Stands for outside code: a text per prompt."""
-    return pd.DataFrame({"row_id": batch["row_id"], "generation": "<answer>" + batch["formatted_text"] + "</answer>"})
-
-
 @query
 def batched_apply_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Stands for outside code: a text per prompt. Local, so that it travels by value.
+    def quoted_reply(batch: pd.DataFrame) -> pd.DataFrame:
+        reply = "<answer>" + batch["formatted_text"] + "</answer>"
+        return pd.DataFrame({"row_id": batch["row_id"], "generation": reply})
+
     asked = prompts.add_prompts(_parsed(spark, sf_dir)).select("row_id", "formatted_text")
-    return batched_apply(asked, _quoted_reply, "row_id bigint, generation string")
+    return batched_apply(asked, quoted_reply, "row_id bigint, generation string")
 
 
 QUERIES["batched_apply"] = QUERIES.pop("batched_apply_")
@@ -450,20 +450,17 @@ def judge_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.judge_pass(_judged(spark, sf_dir)).select(*KEY, "faithfulness_pass", "answer_relevancy_pass")
 
 
-def _length_share(batch: pd.DataFrame) -> pd.DataFrame:
-    """Stands for outside code: a number per request, from the lengths of its texts. No judge."""
-    answer, question = batch["answer"].str.len(), batch["question"].str.len()
-    return pd.DataFrame(
-        {"request_id": batch["request_id"], "metric": batch["metric"], "score": answer / (answer + question)}
-    )
-
-
 @query
 def batched_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Stands for outside code: a number from the lengths of the texts. It judges nothing.
+    def length_share(batch: pd.DataFrame) -> pd.DataFrame:
+        answer, question = batch["answer"].str.len(), batch["question"].str.len()
+        return batch[["request_id", "metric"]].assign(score=answer / (answer + question))
+
     requests = judge.judge_requests(fixtures.generations(spark, sf_dir))
     # The relevancy requests count as answered already.
     answered = requests.filter(F.col("metric") == "answer_relevancy").select("request_id")
-    answers = judge.batched_judge(requests, answered, _length_share)
+    answers = judge.batched_judge(requests, answered, length_share)
     return judge.verdicts_of(requests, answers).withColumn("score", F.round("score", 6))
 
 
