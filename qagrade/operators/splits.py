@@ -102,8 +102,12 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     keyed = keyed.select(stratum, _draw_key(key, seed).alias("_draw"))
     keyed = keyed.withColumn("_prefix", F.left(F.col("_draw.hash"), F.lit(_PREFIX_DIGITS)))
     counts = keyed.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n"))
+    # At most 16 ** _PREFIX_DIGITS rows per stratum.
+    of_stratum = Window.partitionBy(stratum).orderBy("_prefix")
+    running, whole = of_stratum.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(stratum)
+    prefixes = counts.withColumns({"_upto": F.sum("_n").over(running), "n": F.sum("_n").over(whole)})
 
-    strata = _checked_sizes(counts.groupBy(stratum).agg(F.sum("_n").alias("n")), sum(sizes.values()))
+    strata = _checked_sizes(prefixes.filter(F.col("_upto") == F.col("n")), sum(sizes.values()))
     quotas = strata.select(stratum, F.col("n").alias("_left"), F.lit(0).cast("bigint").alias("_end"))
     for name, size in sizes.items():
         quotas = stratum_quota(quotas, size, stratum, "_left", "_quota")
@@ -112,12 +116,9 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     ends = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(f"_end_{name}").alias("_target")) for name in sizes])
     targets = quotas.select(stratum, F.inline(ends))
 
-    # At most 16 ** _PREFIX_DIGITS rows per stratum.
-    running = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_upto") - F.col("_n")
     ending = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .join(targets, stratum)
+        prefixes.join(targets, stratum)
         .filter((before < F.col("_target")) & (F.col("_target") <= F.col("_upto")))
         .select(stratum, "_prefix", "_name", (F.col("_target") - before).alias("_rank"))
     )

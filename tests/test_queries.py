@@ -38,7 +38,7 @@ def test_query(spark, con, sf_dir, name):
     types = dict(df.dtypes)
     assert {c: TYPES[types[c]] for c in columns} == dict(zip(expected.columns, map(str, expected.types)))
     rows = df.select(*[f"`{c}`" for c in columns]).collect()
-    wanted = expected.select(*[duckdb.ColumnExpression(f'"{c}"') for c in columns]).fetchall()
+    wanted = expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()
     assert ordered(map(tuple, rows)) == ordered(wanted)
     assert rows
 
