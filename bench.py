@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
+from qagrade.functions import vocab as V  # noqa: E402
 from qagrade.operators import grade, parse, prompts, rewards, splits, summary  # noqa: E402
 from qagrade.plans import fixtures  # noqa: E402
 from qagrade.sources.scratch import pin  # noqa: E402
@@ -62,7 +63,10 @@ def main() -> None:
         "label_distribution": (lambda: parse.label_distribution(parse.process_dataset(tagged)), tagged),
         "assemble_splits": (lambda: splits.assemble_splits(eligible, "row_id", train=train, heldout=heldout), parsed),
         "result_rows": (lambda: prompts.result_rows(parsed, answers), generations),
-        "grade_generations": (lambda: grade.grade_generations(generations, verdicts), generations),
+        "grade_generations": (
+            lambda: grade.grade_generations(generations, verdicts).select("row_id", "model", "sample", *V.METRICS),
+            generations,
+        ),
         "reward_table": (lambda: rewards.reward_table(completions, verdicts), generations),
         "score_summary_by_model": (
             lambda: summary.score_summary(grade.grade_generations(generations, verdicts), "model"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ def _order_bounds(df: DataFrame, order_by: Sequence[str], buckets: int, rows: in
     sampled = [r[0] for r in keys.orderBy(*order_by).select(F.to_json(F.struct(*order_by))).collect()]
     if not sampled:
         return []
-    return [sampled[i * len(sampled) // buckets] for i in range(1, buckets)]
+    picked = [sampled[i * len(sampled) // buckets] for i in range(1, buckets)]
+    return [key for key in picked if key != "{}"]
 
 
 def _bucket(key: Column, bounds: Column, n_bounds: int) -> Column:
@@ -47,32 +50,29 @@ def row_index(
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of ``order_by``, which has to be unique.
 
-    Neither a global window (one task) nor a sort followed by numbering on the driver: the
-    key range is cut into buckets of about ``rows_per_bucket`` rows, rows are numbered
-    inside their bucket, and the sizes of the earlier buckets are added. ``df`` is read for
-    the count, the sample and the bucket sizes (key columns only) and for the result, so it
-    should be a table and not an expensive plan.
+    The key range is cut into buckets of about ``rows_per_bucket`` rows, rows are numbered
+    inside their bucket, and the sizes of the earlier buckets are added, so no task sees
+    more than a bucket. Cuts and sizes are numbers per bucket, so they are small whatever
+    the table. ``df`` is read for the count, the sample and the bucket sizes (key columns
+    only) and for the result, so it should be a table and not an expensive plan.
     """
     order_by = list(order_by)
     rows = df.count()
-    spark = df.sparkSession
-    buckets = min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket)))
+    buckets = min(MAX_BUCKETS, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_bucket)))
     bounds = _order_bounds(df, order_by, buckets, rows, seed) if rows else []
     key = F.struct(*order_by)
+    bucket = F.lit(0)
     if bounds:
         schema = df.select(F.array(key)).schema[0].dataType
         literal = F.from_json(F.lit("[" + ",".join(bounds) + "]"), schema)
-        bucketed = df.withColumn("_bucket", _bucket(key, literal, len(bounds)))
-    else:
-        bucketed = df.withColumn("_bucket", F.lit(0))
-    # One row per bucket, so the running sum is over MAX_BUCKETS rows at most.
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        if len(order_by) == 1:
+            # Plain values compare faster than structs; NULL comes first and belongs to bucket 0.
+            key, literal = F.col(order_by[0]), literal[order_by[0]]
+        bucket = _bucket(key, literal, len(bounds))
+    bucketed = df.withColumn("_bucket", bucket)
+    # One row per bucket: MAX_BUCKETS numbers at most, kept as a literal array.
+    sizes = dict(bucketed.groupBy("_bucket").count().collect())
+    before = [0, *accumulate(sizes.get(b, 0) for b in range(len(bounds)))]
+    offset = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_bucket"))
     inside = Window.partitionBy("_bucket").orderBy(*order_by)
-    return (
-        bucketed.withColumn("_place", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(out, F.col("_before") + F.col("_place") - 1)
-        .drop("_bucket", "_place", "_before")
-    )
+    return bucketed.withColumn(out, offset + F.row_number().over(inside) - 1).drop("_bucket")

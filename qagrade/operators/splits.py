@@ -101,7 +101,7 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     keyed = pin(df.select(key, stratum).filter(F.col(stratum).isNotNull()), "draw-keys")
     keyed = keyed.select(stratum, _draw_key(key, seed).alias("_draw"))
     keyed = keyed.withColumn("_prefix", F.left(F.col("_draw.hash"), F.lit(_PREFIX_DIGITS)))
-    counts = keyed.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n"))
+    counts = pin(keyed.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n")), "draw-counts")
     # At most 16 ** _PREFIX_DIGITS rows per stratum.
     of_stratum = Window.partitionBy(stratum).orderBy("_prefix")
     running, whole = of_stratum.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(stratum)
