@@ -39,15 +39,20 @@ def _request_id() -> Column:
 
 
 def judge_requests(
-    df: DataFrame, on_missing: str = "self", key: Sequence[str] = GENERATION_KEY, text_col: str = "generation"
+    df: DataFrame,
+    on_missing: str = "self",
+    key: Sequence[str] = GENERATION_KEY,
+    text_col: str = "generation",
+    whole_response: bool = False,
 ) -> DataFrame:
     """What to ask a judge, one row per generation and metric.
 
     Correctness gets question, answer and expected answer; faithfulness question, answer and
     context; relevancy question and answer. The expected answer is ``expected_answer``; when
     that column does not exist it is the extracted answer itself (``on_missing="self"``) or
-    the ground truth in column ``answer`` (``on_missing="answer"``). Equal questions share a
-    ``request_id``.
+    the ground truth in column ``answer`` (``on_missing="answer"``). The answer is what stands
+    in the answer tag; ``whole_response`` asks about the whole text instead, as rewards do.
+    Equal questions share a ``request_id``.
     """
     if on_missing not in ("self", "answer"):
         raise ValueError(f"on_missing is 'self' or 'answer', not {on_missing!r}")
@@ -68,8 +73,8 @@ def judge_requests(
         request("faithfulness", nothing, context),
         request("answer_relevancy", nothing, nothing),
     )
-    extracted = tag_content(F.coalesce(F.col(text_col), F.lit("")), "answer")
-    return df.withColumn("_answer", extracted).select(*key, F.inline(asked)).withColumn("request_id", _request_id())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn("_answer", text if whole_response else tag_content(text, "answer")).select(*key, F.inline(asked)).withColumn("request_id", _request_id())
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:

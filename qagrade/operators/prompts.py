@@ -105,15 +105,17 @@ def add_prompts(df: DataFrame, system: str = SYSTEM_PROMPT, template: str = USER
 def result_rows(df: DataFrame, generations: DataFrame, key: str = "row_id") -> DataFrame:
     """Prompt rows with index, messages, formatted text and their generations.
 
-    ``generations`` has the key, ``generation`` and any columns that tell generations of one
-    prompt apart; same-named columns of ``df`` are overwritten. Prompts without a generation
-    stay, with NULL. Both sides of the inner join are plain shuffles, so that a prompt with
-    very many generations is split at run time; an outer join would not allow that, which is
-    why prompts without one are added by an anti join on the distinct keys. Texts are
-    rendered after the join and do not take part in its shuffle.
+    ``key`` is unique and not NULL in ``df``. ``generations`` has the key, ``generation`` and
+    any columns that tell generations of one prompt apart; same-named columns of ``df`` are
+    overwritten. Prompts without a generation stay, with NULL. Both sides of the inner join
+    are plain shuffles, so that a prompt with very many generations is split at run time; an
+    outer join would not allow that, which is why prompts without one are added by an anti
+    join on the distinct keys. Texts are rendered after the join and do not take part in its
+    shuffle.
     """
     overwritten = [c for c in generations.columns if c in df.columns and c != key]
-    asked = row_index(df.drop(*overwritten), [key])
+    # With the null test stated here the two joins have the same input and share its shuffle.
+    asked = row_index(df.drop(*overwritten).filter(F.col(key).isNotNull()), [key])
     answered = asked.join(generations, key)
     unanswered = asked.join(generations.select(key).distinct(), key, "left_anti")
     return add_prompts(answered.unionByName(unanswered, allowMissingColumns=True))

@@ -44,6 +44,11 @@ def test_expected_answer(spark, generations):
         judge.judge_requests(generations, on_missing="other")
 
 
+def test_whole_response(generations):
+    rows = judge.judge_requests(generations, "answer", whole_response=True).filter("model = 'b'").collect()
+    assert {r.answer for r in rows} == {"<answer>y</answer>"}
+
+
 def test_equal_questions_are_asked_once(generations):
     requests = judge.judge_requests(generations)
     once = judge.distinct_requests(requests)

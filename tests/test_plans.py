@@ -102,6 +102,32 @@ def test_generations_are_joined_by_plain_shuffles(spark, tables):
     assert "formatted_text" not in lines[at + 2]
 
 
+def test_row_stages_stay_small_enough_to_be_compiled(spark, tables):
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    rows = rewards.completion_text(tables["completions"], labels=("relevance", "utility", "groundness"))
+    for reward in (rewards.reward_structure, rewards.reward_relevance, rewards.reward_groundness, rewards.reward_utility):
+        rows = reward(rows)
+    graded = grade.grade_tokens(grade.extracted_tokens(grade.grade_structure(tables["generations"])))
+    for df in (parse.process_dataset(tables["tagged"]), graded, rows.drop("generation")):
+        stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        assert stages.size() > 0
+        # the JVM leaves methods above 8000 bytes to the interpreter
+        assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+
+
+def test_both_joins_of_result_rows_share_their_shuffle(spark, tables):
+    parsed = pin(parse.process_dataset(tables["tagged"]), "parsed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = prompts.result_rows(parsed, tables["generations"].select("row_id", "model", "sample", "generation"))
+        rows.collect()
+        plan = physical(rows).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Window") == 1
+    assert any("ReusedExchange" in line and "hashpartitioning(row_id" in line for line in plan.splitlines())
+
+
 def test_nothing_uses_python_where_expressions_do(spark, sf_dir):
     for name in ("tag_counts", "structure_order", "reward_utility", "judge_requests", "completion_text", "render_chat"):
         assert not any(word in physical(QUERIES[name](spark, sf_dir)) for word in PYTHON), name

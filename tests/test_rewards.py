@@ -39,6 +39,12 @@ def test_completion_text(spark):
     assert rows[0].groundness == [None, "[Fully supported]", None]
 
 
+def test_completion_text_without_labels(spark):
+    rows = rewards.completion_text(completions(spark)).orderBy("sample").collect()
+    assert [r.generation for r in rows] == [GOOD, "nothing", None]
+    assert rows[1].relevance == ["[Relevant]", "[Relevant]", None]
+
+
 def test_reward_table(spark):
     verdicts = spark.createDataFrame([(1, "m", 0, "answer_correctness", 0.5)], f"{KEY}, metric string, score double")
     rows = rewards.reward_table(completions(spark), verdicts).orderBy("sample").collect()
