@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe
+from qagrade.llm import byte_bpe, quality, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -17,8 +17,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level BPE ids of every document, written as Huffman-coded blocks and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.with_crc32(token_files.files_round_trip(documents(spark, sf_dir), path, 2))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts and the log-ratio verdict of every document."""
+    return quality.quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or toxicity of every document, with the sentences that offend."""
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB statements of those that SQL can state over whole tables.
