@@ -20,20 +20,23 @@ from pyspark.sql import functions as F
 
 from qagrade.llm.common import narrow
 
-BUCKETS = 10_000
+BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.25
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
-_SPACES = "\t\n\x0b\x0c\r"
+_SYMBOL = "[#*$%&|<>]+"
+_SPACE = r"[\x20\x09-\x0D]+"
 _TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
     """Runs of anything but the space and the characters 9 to 13."""
-    parts = F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " ")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(text, _SPACE), "")
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
 def _head(array: Column, less: int) -> Column:
@@ -44,17 +47,13 @@ def _tail(array: Column, skip: int) -> Column:
     return F.slice(array, skip + 1, F.greatest(F.size(array) - skip, F.lit(0)))
 
 
-def hashed_ngrams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all 1-grams and 2-grams of a text."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    return F.flatten(
-        F.transform(  # binds the tokens, so that they are cut once
-            F.array(tokens),
-            lambda t: F.concat(
-                F.transform(t, lambda x: F.pmod(x, F.lit(buckets))),
-                F.zip_with(_head(t, 1), _tail(t, 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets))),
-            ),
-        )
+def _grams(tokens: Column, buckets: int):
+    """For a token and its place: the buckets of the 1-gram and of the 2-gram that begin there. The
+    last token makes a 2-gram with the end. `buckets` is a power of two."""
+    low = F.lit(buckets - 1).cast("long")
+    return lambda x, i: (
+        F.xxhash64(x).bitwiseAND(low).cast("int"),
+        F.xxhash64(x, F.coalesce(F.get(tokens, i + 1), F.lit(""))).bitwiseAND(low).cast("int"),
     )
 
 
@@ -67,8 +66,10 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TARGET_ROWS) -> list[float]:
     """Log ratio of each bucket. All texts are counted; one row a bucket comes to the driver."""
     trusted = F.broadcast(trusted_ids(labels, rows).withColumn("trusted", F.lit(1)))  # `rows` ids at most
-    grams = narrow(docs, "doc_id", "text").join(trusted, "doc_id", "left")
-    grams = grams.select("trusted", F.explode(hashed_ngrams(F.col("text"), buckets)).alias("bucket"))
+    grams = narrow(docs, "doc_id", "text").join(trusted, "doc_id", "left").select("trusted", tokens(F.col("text")).alias("t"))
+    both = _grams(F.col("t"), buckets)
+    pairs = F.transform("t", lambda x, i: F.array(*both(x, i)))
+    grams = grams.select("trusted", F.explode(F.flatten(pairs)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("good")).collect()
     raw, good = [1] * buckets, [1] * buckets
     for row in counts:
@@ -78,53 +79,39 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows:
     return [math.log(g) - all_good - math.log(r) + all_raw for g, r in zip(good, raw, strict=True)]
 
 
-def ratio_score(text: Column, ratios: list[float]) -> Column:
+def ratio_score(tokens: Column, ratios: list[float]) -> Column:
     """Mean log ratio of a text's n-grams; 0 without any."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    grams = hashed_ngrams(text, len(ratios))
-    return F.aggregate(
-        grams,
-        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
-        lambda s, g: F.struct((s["total"] + table[g.cast("int")]).alias("total"), (s["n"] + 1).alias("n")),
-        lambda s: F.when(s["n"] > 0, s["total"] / s["n"]).otherwise(0.0),
-    )
+    both = _grams(tokens, len(ratios))
 
+    def ratio(x: Column, i: Column) -> Column:
+        one, two = both(x, i)
+        return table[one] + table[two]
 
-def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    twos = lambda h: F.zip_with(_head(h, 2), _head(_tail(h, 1), 1), lambda a, b: F.xxhash64(a, b))
-    windows = F.transform(
-        F.array(hashes), lambda h: F.zip_with(twos(h), _tail(h, 2), lambda ab, c: F.xxhash64(ab, c))
+    total = F.aggregate(F.transform(tokens, ratio), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(tokens) > 0, total / (2 * F.size(tokens))).otherwise(0.0)
+
+
+def sorted_windows(words: Column) -> Column:
+    """(hash, first word) of all 3-word windows, in that order."""
+    window = lambda w, i: F.struct(
+        F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
     )
-    placed = F.transform(F.flatten(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    doubles = F.transform(
-        F.array(F.sort_array(placed)),
-        lambda s: F.filter(
-            F.zip_with(_head(s, 1), _tail(s, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))),
-            lambda x: x.isNotNull(),
-        ),
+    return F.sort_array(F.transform(_head(words, 2), window))
+
+
+def repeat_words(windows: Column) -> Column:
+    """Words inside windows that occur twice or more in the text, from its sorted windows."""
+    same = F.zip_with(
+        _head(windows, 1), _tail(windows, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
     )
-    firsts = F.array_distinct(F.flatten(F.flatten(doubles)))
+    firsts = F.array_distinct(F.flatten(F.array_compact(same)))
     covered = F.flatten(F.transform(firsts, lambda i: F.array(i, i + 1, i + 2)))
     return F.size(F.array_distinct(covered)).cast("long")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
-def base_counts(text: Column) -> dict[str, Column]:
-    """The plain counts, over the columns `text` and `words`."""
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, " " + _SPACES) > 0)
-    dup = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    return {
-        "n_words": F.size("words").cast("long"),
-        "word_chars": _without(text, " " + _SPACES).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-        "n_dup_lines": dup.cast("long"),
-        "n_repeat_words": repeat_words(F.col("words")),
-    }
+def _without(text: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(text, pattern, ""))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,9 +119,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     ratios = log_ratios(docs, labels)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = narrow(docs, "doc_id", "text").select("doc_id", text.alias("text"))
-    rows = rows.withColumn("words", words(F.col("text")))
-    counted = rows.select("doc_id", *[c.alias(n) for n, c in base_counts(F.col("text")).items()], ratio_score(F.col("text"), ratios).alias("log_ratio"))
+    # Arrays get columns of their own before they are read twice, so each is made once a text.
+    rows = rows.select(
+        "doc_id",
+        words(F.col("text")).alias("words"),
+        tokens(F.col("text")).alias("tokens"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        _without(F.col("text"), _SPACE).cast("long").alias("word_chars"),
+        (F.length("text") - _without(F.col("text"), _SYMBOL)).cast("long").alias("n_symbols"),
+    )
+    rows = rows.select(
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        sorted_windows(F.col("words")).alias("windows"),
+        ratio_score(F.col("tokens"), ratios).alias("log_ratio"),
+    )
+    rows = rows.withColumn("n_repeat_words", repeat_words(F.col("windows"))).drop("windows")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn(
+    return rows.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, quality, token_files, toxicity
+from qagrade.llm import byte_bpe, quality, secrets, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.digests(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-level BPE ids of every document, written as Huffman-coded blocks and read back."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_secrets": op3_secrets,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
