@@ -29,12 +29,16 @@ from tokenizers import Tokenizer
 
 from qagrade.llm.common import discard, narrow, stored
 
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 PART_IDS = 8 << 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 #: Characters that Python's split() takes for white space and tokenizer files do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: A sign of its own, whose id no other text has.
+_MARK = "\x7f"
+#: Signs that a tokenizer parts from the letter or digit before them.
+_SIGNS = ".,;:!?*$%&#|"
 _WORKER: dict[str, CachedTokenizer] = {}
 
 
@@ -52,41 +56,90 @@ class CachedTokenizer:
         self.model = Tokenizer.from_str(file)
         self.model.encode_special_tokens = True
         self.kind = kind
+        self.mark = self.model.encode(_MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer needs one id for the character 127")
+        self.mark = self.mark[0]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        """Ids of stretches without white space: one text of many, taken apart at a mark."""
+        plain = [t for t in texts if _MARK not in t]
+        out = {}
+        if plain:
+            ids = self.model.encode_batch_fast([f" {_MARK} ".join([*plain, ""])], add_special_tokens=False)[0].ids
+            ids = np.array(ids, self.kind)
+            cut = np.flatnonzero(ids == self.mark)
+            packed, width = ids.tobytes(), ids.itemsize
+            ends, starts = cut.tolist(), [0, *(cut + 1).tolist()]
+            out = {t: packed[width * a : width * b] for t, a, b in zip(plain, starts[:-1], ends, strict=True)}
+        if len(plain) < len(texts):
+            out |= {t: self._whole(t) for t in texts if _MARK in t}
+        return [out[t] for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Put stretches into the memo; those that end in plain signs by their two parts."""
+        memo, old = self.memo, self.old
+        ask, parts = set(), []
+        for x in new:
+            if x in old:
+                memo[x] = old[x]
+                continue
+            low = x.lower() if x.isascii() else x
+            core = low.rstrip(_SIGNS)
+            if core and not _parts(core[-1]):
+                core = low
+            tail = low[len(core) :]
+            parts.append((x, core, tail))
+            for y in (core, tail):
+                if y and y not in memo:
+                    if y in old:
+                        memo[y] = old[y]
+                    else:
+                        ask.add(y)
+        memo.update(zip(ask, self._encode(list(ask)), strict=True))
+        memo[""] = b""
+        for x, core, tail in parts:
+            memo[x] = memo[core] + memo[tail]
+        for x, *_ in parts:
+            if len(x) > 256:
+                self.long.append(x)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
+        memo = self.memo
         parts = [t.split() for t in texts]
         new = set().union(*parts).difference(memo)
-        ask = []
-        for x in new:
-            if x in old:
-                memo[x] = old[x]
-            else:
-                ask.append(x)
-        memo.update(zip(ask, self._encode(ask), strict=True))
+        if new:
+            self._learn(new)
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         for i, t in enumerate(texts):
             if _SEPARATORS(t):
-                out[i] = self._encode([t])[0]
-        if any(len(x) > 256 for x in ask):
-            for x in ask:
-                if len(x) > 256:
-                    del memo[x]
+                out[i] = self._whole(t)
+        while self.long:  # very long stretches are not kept
+            x = self.long.pop()
+            for y in (x, x.lower(), x.lower().rstrip(_SIGNS), x.rstrip(_SIGNS)):
+                memo.pop(y, None)
         return out
 
 
+def _parts(last: str) -> bool:
+    """Whether a sign after this character begins anew: plain letters and digits, whose normal and
+    lower-case forms end in a letter or digit too."""
+    return last.isascii() and last.isalnum() or "\xc0" <= last < "\u0130" and last.isalpha()
+
+
 def splits_at_space(model: Tokenizer) -> bool:
     """Whether a text's ids are those of its stretches between white space, by an example."""
     one = lambda t: model.encode(t, add_special_tokens=False).ids
-    return one("Ab, c1\n\n dé (e)") == [i for x in ("Ab,", "c1", "dé", "(e)") for i in one(x)]
+    whole, parts = "AB, c1\n\n dé (e) f*** 2.", ("ab", ",", "c1", "dé", "(e)", "F", "***", "2", ".")
+    return one(whole) == [i for x in parts for i in one(x)]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -130,13 +183,14 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(x, kind))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            column = batch.column(0)
+            _, at, data = column.buffers()
+            at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or at[0] == at[-1]:
+                continue
+            own = np.bincount(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind))
+            size = max(len(own), len(total))
+            total = np.pad(own, (0, size - len(own))) + np.pad(total, (0, size - len(total)))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "count"])
 
@@ -249,6 +303,7 @@ def write_blocks(ids: DataFrame, code: Code) -> DataFrame:
         docs: list = []
         held: list[bytes] = []
         lengths: list[int] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start
@@ -270,9 +325,10 @@ def write_blocks(ids: DataFrame, code: Code) -> DataFrame:
                 docs.append(doc)
                 lengths.append(n)
                 held.append(x)
-                if sum(lengths) >= BLOCK_IDS:
+                size += n
+                if size >= BLOCK_IDS:
                     yield flush()
-                    docs, held, lengths = [], [], []
+                    docs, held, lengths, size = [], [], [], 0
         if docs:
             yield flush()
 
