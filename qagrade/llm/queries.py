@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, contamination, quality, secrets, token_files, toxicity
+from qagrade.llm import byte_bpe, contamination, language_model, quality, secrets, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and word-table log probabilities of every document."""
+    return language_model.scored(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-level BPE ids of every document, written as Huffman-coded blocks and read back."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secrets": op3_secrets,
     "op5_contamination": op5_contamination,
+    "op6_language_model": op6_language_model,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
