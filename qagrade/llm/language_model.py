@@ -31,7 +31,7 @@ from qagrade.llm.common import Words, discard, lowered, narrow, slices, stored
 from qagrade.llm.toxicity import held_out
 
 DEPTH = 5
-NODES = 3072
+NODES = 8192
 COMMON = 1 << 17
 END = 0xFF  #: never a byte of UTF-8: ends a text, and stands before it
 MERGE_ROWS = 2_000_000
@@ -180,17 +180,18 @@ class ContextTree:
             own = _decisions(counts[d].astype(np.float64))
             kt = _log_kt(own)
             if d == depth or not len(contexts[d + 1]):
-                weighted[d], stop[d], rest[d] = kt, np.ones_like(kt), np.zeros_like(kt)
+                weighted[d], stop[d], rest[d] = kt, np.ones_like(kt, np.float32), np.zeros_like(kt, np.float32)
                 continue
             left = counts[d].astype(np.float64)
             np.subtract.at(left, parent[d + 1], counts[d + 1])
             other = _decisions(left)
             split = _log_kt(other)
             np.add.at(split, parent[d + 1], weighted[d + 1])
+            weighted[d + 1] = None
             inner = np.bincount(parent[d + 1], minlength=len(contexts[d])) > 0
             weighted[d] = np.where(inner[:, None], np.logaddexp(kt, split) - np.log(2), kt)
-            stop[d] = np.where(inner[:, None], np.exp(kt - np.log(2) - weighted[d]), 1.0)
-            rest[d] = _kt_one(other)
+            stop[d] = np.where(inner[:, None], np.exp(kt - np.log(2) - weighted[d]), 1.0).astype(np.float32)
+            rest[d] = _kt_one(other).astype(np.float32)
         logp = np.zeros((nodes, 256), np.float32)
         step = np.empty((2 * nodes, 256), np.int32)
         step[:] = (np.arange(2 * nodes) % nodes + nodes)[:, None]
