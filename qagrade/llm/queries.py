@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, contamination, language_model, quality, secrets, token_files, toxicity
+from qagrade.llm import byte_bpe, contamination, language_model, quality, secrets, substrings, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the word runs that a document with a smaller id has too."""
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return contamination.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secrets": op3_secrets,
+    "op4_substrings": op4_substrings,
     "op5_contamination": op5_contamination,
     "op6_language_model": op6_language_model,
     "op8_token_files": op8_token_files,
