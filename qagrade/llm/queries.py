@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, contamination, language_model, quality, secrets, substrings, token_files, toxicity
+from qagrade.llm import byte_bpe, contamination, language_model, ngram_join, quality, secrets, substrings, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are similar."""
+    return ngram_join.similar(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets.digests(documents(spark, sf_dir))
@@ -55,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_secrets": op3_secrets,
     "op4_substrings": op4_substrings,
     "op5_contamination": op5_contamination,
