@@ -31,10 +31,10 @@ from qagrade.llm.common import Words, discard, lowered, narrow, slices, stored
 from qagrade.llm.toxicity import held_out
 
 DEPTH = 5
-NODES = 8192
+NODES = 6144
 COMMON = 1 << 17
 END = 0xFF  #: never a byte of UTF-8: ends a text, and stands before it
-MERGE_ROWS = 2_000_000
+MERGE_ROWS = 400_000
 _END_TOKEN = np.uint64(1)
 
 
@@ -113,7 +113,7 @@ def corpus_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 )
 
         for batch in batches:
-            for _, _, offsets, data in slices(batch.column(0), 4 << 20):
+            for _, _, offsets, data in slices(batch.column(0)):
                 data = lowered(data)
                 padded, places, _ = _padded(offsets, data, depth)
                 counters[0].add(_grams(padded, places, depth))
