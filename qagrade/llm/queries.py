@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, contamination, language_model, ngram_join, quality, secrets, substrings, token_files, toxicity
+from qagrade.llm import byte_bpe, contamination, language_model, ngram_join, quality, secrets, substrings, suffixes, token_files, toxicity
 from qagrade.llm.common import documents
 
 
@@ -42,6 +42,11 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(documents(spark, sf_dir))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that a document with a smaller id has too."""
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-level BPE ids of every document, written as Huffman-coded blocks and read back."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_contamination": op5_contamination,
     "op6_language_model": op6_language_model,
+    "op7_suffixes": op7_suffixes,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
