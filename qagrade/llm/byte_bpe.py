@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from qagrade.llm.common import narrow
 
@@ -213,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """
     key, shared = _shared(docs, path, pattern)
     docs = docs.drop("ids", "n_tokens")
-    schema = docs.schema.add("ids", "binary").add("n_tokens", "long")
+    schema = StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
@@ -232,7 +233,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """`encoded` with `decoded`, the bytes of its ids; NULL ids give NULL."""
     key, shared = _shared(encoded, path, pattern)
     encoded = encoded.drop("decoded")
-    schema = encoded.schema.add("decoded", "binary")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)

@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from qagrade.llm.common import Words, narrow, sequence_hash, shingle_sets, slices
 
@@ -150,43 +149,65 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _matches(block: ItemBlock, words: Words, containment: float) -> Iterator[tuple[int, int, int]]:
+    """(text, item, shingles of the item in the text) of every verified candidate."""
+    pairs = candidates(block, words)
+    if not len(pairs):
+        return
+    at, hashes = words.windows(SHINGLE)
+    first = np.searchsorted(at, words.first, "left")
+    for doc in np.unique(pairs[:, 0]):
+        own = np.unique(hashes[first[doc] : first[doc + 1]])
+        for item in pairs[pairs[:, 0] == doc, 1]:
+            wanted = block.sets[item]
+            # without shingles it is a whole short text, equal to the item by its hash
+            found = int(np.isin(wanted, own, assume_unique=True).sum()) if len(own) else len(wanted)
+            if found >= containment * len(wanted):
+                yield int(doc), int(item), found
+
+
 def _search(shared, containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             rows, items, sizes, hits = [], [], [], []
             for row, _, offsets, data in slices(pc.utf8_lower(batch.column(1))):
-                words = Words(offsets, data)
-                pairs = candidates(block, words)
-                if not len(pairs):
-                    continue
-                at, hashes = words.windows(SHINGLE)
-                first = np.searchsorted(at, words.first, "left")
-                for doc in np.unique(pairs[:, 0]):
-                    own = np.unique(hashes[first[doc] : first[doc + 1]])
-                    for item in pairs[pairs[:, 0] == doc, 1]:
-                        wanted = block.sets[item]
-                        if len(own):
-                            shared_n = int(np.isin(wanted, own, assume_unique=True).sum())
-                        else:  # a whole short text, equal to the item by its hash
-                            shared_n = len(wanted)
-                        if shared_n >= containment * len(wanted):
-                            rows.append(row + int(doc))
-                            items.append(block.ids[item])
-                            sizes.append(len(wanted))
-                            hits.append(shared_n)
-            share = np.array(hits, np.float64) / np.maximum(np.array(sizes, np.float64), 1)
+                for doc, item, found in _matches(block, Words(offsets, data), containment):
+                    rows.append(row + doc)
+                    items.append(block.ids[item])
+                    sizes.append(len(block.sets[item]))
+                    hits.append(found)
             if not rows:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(items), pa.array(sizes), pa.array(hits), pa.array(share)],
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    pa.array(items),
+                    pa.array(sizes),
+                    pa.array(hits),
+                    pa.array(np.array(hits) / np.array(sizes)),
+                ],
                 ["doc_id", "item_id", "n_item", "n_shared", "containment"],
             )
 
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item; those with a NULL id are never dropped."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of `docs`, with all columns, whose texts hold no test item."""
+    at = docs.columns.index("text")
+    for block in item_blocks(benchmark):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), containment, at), docs.schema)
+    return docs
+
+
+def _filter(shared, containment: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, _, offsets, data in slices(pc.utf8_lower(batch.column(at))):
+                for doc, *_ in _matches(shared.value, Words(offsets, data), containment):
+                    keep[row + doc] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

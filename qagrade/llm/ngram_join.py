@@ -231,3 +231,10 @@ def _all_pairs(apart: DataFrame, members: DataFrame, labels: DataFrame, percent:
     within = one.join(mixed, "x").join(two, one["x"] == two["y"]).where(F.col("a") < F.col("b"))
     both = across.where(F.col("la") != F.col("lb")).select("a", "b")
     return both.union(within.where(F.col("la") != F.col("lb")).select("a", "b")).distinct()
+
+
+def without_similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, with all columns, of one document of each component: that of least id.
+    Rows with a NULL id stay."""
+    found = similar(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stored(found, "similar"), "doc_id", "left_anti").select(docs.columns)

@@ -240,6 +240,14 @@ def noisy_or_fit(
 SPANS = "array<struct<start: long, end: long, score: double>>"
 
 
+def _scores(own: Sentences, model: Model, screen: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each sentence, and the noisy-or of each text."""
+    sentence, which = _found(own, model.features, screen)
+    z = np.bincount(sentence, model.weights[which], minlength=own.count)[: own.count] + model.bias
+    none = np.bincount(own.doc, np.logaddexp(0, z), minlength=texts)[:texts]
+    return z, -np.expm1(-none)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and the offending sentences (code points, end exclusive) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -252,9 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for row, end, offsets, data in slices(batch.column(1)):
                 own = Sentences(offsets, data)
-                sentence, which = _found(own, model.features, screen)
-                z = np.bincount(sentence, model.weights[which], minlength=own.count)[: own.count] + model.bias
-                none = np.bincount(own.doc, np.logaddexp(0, z), minlength=end - row)[: end - row]
+                z, scores = _scores(own, model, screen, end - row)
                 found = np.flatnonzero(z > np.log(OFFENDING / (1 - OFFENDING)))
                 spans: list[list] = [[] for _ in range(end - row)]
                 if len(found):
@@ -269,13 +275,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                             }
                         )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(-np.expm1(-none)), pa.array(spans, pa.list_(span))],
+                    [batch.column(0).slice(row, end - row), pa.array(scores), pa.array(spans, pa.list_(span))],
                     ["doc_id", "score", "offending"],
                 )
 
     return narrow(docs, "doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, score double, offending {SPANS}")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all columns, whose texts score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        screen = _screen(model.features)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, end, offsets, data in slices(batch.column(at)):
+                own = Sentences(offsets, data)
+                keep[row:end] = _scores(own, model, screen, end - row)[1] < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on labelled rows outside the held-out third, then score all documents."""
     scored = score(docs, fit(docs, labels))
