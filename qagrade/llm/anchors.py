@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from qagrade.llm.common import discard, slices, stored
 
 
-def _running(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+def running(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     """Extreme of every `width` neighbours."""
     n, out, span = len(values) - width + 1, values, 1
     while span * 2 <= width:
@@ -29,14 +29,18 @@ def _running(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return extreme(out[:n], out[width - span : width - span + n]) if span < width else out
 
 
-def anchor_places(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Places whose hash is the least of some `width` neighbours (all of several equal ones)."""
+def anchor_places(hashes: np.ndarray, width: int, inside: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some `width` neighbours (all of several equal ones).
+
+    `inside` tells which windows lie within one text; others choose nothing, so that a text's
+    anchors do not depend on the texts around it.
+    """
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.int64)
     least = np.zeros(n + width - 1, hashes.dtype)
-    least[width - 1 : n] = _running(np.minimum, hashes, width)
-    return np.flatnonzero(hashes == _running(np.maximum, least, width))
+    least[width - 1 : n] = np.where(inside, running(np.minimum, hashes, width), 0)
+    return np.flatnonzero(hashes == running(np.maximum, least, width))
 
 
 #: Of a slice's offsets and bytes: text number, place and key of every anchor.

@@ -2,9 +2,9 @@
 
 Edges are runs of `WINDOW` words, nodes the runs one shorter that two neighbouring edges share.
 Anchors tell which places can repeat at all; only their edges are made. Each edge is combined
-into its least document, its source coordinates (document and word) and whether what stands
-before and after it is always the same. An edge begins a path if that is not so for it or for
-the edge before it, which a join of the edges with themselves tells. All edges of a nonbranching
+into its least document, its source coordinates (document and word), its frequency and the edge before
+it, if that is always the same. It goes on with a path if that edge is as frequent, which a join
+of the edges with themselves tells; otherwise it begins one. All edges of a nonbranching
 path occur together, so a path is compacted along its source coordinates to its first edge and
 its length, and a join of first edges with occurrences gives the long repeated spans. Spans are
 verified where the texts are: the words there have to give the path's first and last edge.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qagrade.llm.anchors import anchor_places, copies, release, repeated_places
+from qagrade.llm.anchors import anchor_places, copies, release, repeated_places, running
 from qagrade.llm.common import Words, discard, narrow, slices, stored
 
 WINDOW = 13
@@ -36,13 +36,14 @@ def find_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     """Text, word and hash of the word runs of SEED words that anchor their windows."""
     words = Words(offsets, data)
     at, key = words.windows(SEED)
-    chosen = anchor_places(key, WINDOW - SEED + 1)
-    doc = words.doc[at[chosen]]
+    doc, width = words.doc[at], WINDOW - SEED + 1
+    chosen = anchor_places(key, width, doc[: len(at) - width + 1] == doc[width - 1 :])
+    doc = doc[chosen]
     return doc, at[chosen] - words.first[doc], key[chosen]
 
 
 def _edges(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Every edge over a place: edge, the edges before and after it (0: none), document, word."""
+    """Every edge that can repeat: edge, the one before it (0: none), document, word."""
     wanted = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # places of one text
     rows = narrow(docs, "doc_id", "text").join(wanted, "doc_id")
 
@@ -55,65 +56,67 @@ def _edges(docs: DataFrame, places: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 own = lists.slice(row, stop - row)
-                places = own.flatten().to_numpy()
-                doc = np.repeat(np.arange(stop - row), own.value_lengths().to_numpy())
-                near = np.zeros(len(words) + WINDOW, np.int32)
-                place = np.minimum(places + words.first[doc], len(words))
-                # windows that start from WINDOW - SEED words before a place up to it
-                np.add.at(near, np.maximum(place - (WINDOW - SEED), 0), 1)
-                np.add.at(near, place + 1, -1)
-                chosen = np.flatnonzero(np.cumsum(near)[at] > 0)
+                text = np.repeat(np.arange(stop - row), own.value_lengths().to_numpy())
+                known = np.zeros(len(words) + 1, bool)
+                known[np.minimum(own.flatten().to_numpy() + words.first[text], len(words))] = True
+                # an edge can repeat if its own least word run is one of the places
+                seeds, value = words.windows(SEED)
+                kept = np.where(known[seeds], value, np.uint64(0xFFFFFFFFFFFFFFFF))
+                first = np.searchsorted(seeds, at)
+                least = running(np.minimum, value, WINDOW - SEED + 1)[first]
+                chosen = np.flatnonzero(least == running(np.minimum, kept, WINDOW - SEED + 1)[first])
                 at, key = at[chosen], key[chosen]
                 doc = words.doc[at]
-                follows = np.zeros(len(at), bool)
-                follows[1:] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
-                before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-                before[1:] = np.where(follows[1:], key[:-1], 0)
-                after[:-1] = np.where(follows[1:], key[1:], 0)
+                before = np.zeros(len(at), np.uint64)
+                follows = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
+                before[1:] = np.where(follows, key[:-1], 0)
                 columns = [
                     pa.array(key.view(np.int64)),
                     pa.array(before.view(np.int64)),
-                    pa.array(after.view(np.int64)),
                     batch.column(0).take(pa.array(row + doc)),
                     pa.array((at - words.first[doc]).astype(np.int32)),
                 ]
                 for a in range(0, len(at), 100_000):
                     yield pa.RecordBatch.from_arrays(
-                        [c.slice(a, 100_000) for c in columns], ["edge", "before", "after", "doc_id", "at"]
+                        [c.slice(a, 100_000) for c in columns], ["edge", "before", "doc_id", "at"]
                     )
 
     doc = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"edge long, before long, after long, doc_id {doc}, at int")
+    return rows.mapInArrow(run, f"edge long, before long, doc_id {doc}, at int")
 
 
 def compacted_paths(edges: DataFrame) -> DataFrame:
     """first and last edge, length in edges and source (document, word) of the nonbranching paths of
     edges that several documents have."""
     table = edges.groupBy("edge").agg(
-        F.min(F.struct("doc_id", "at")).alias("source"),
+        F.min("doc_id").alias("source_doc"),
+        F.min_by("at", "doc_id").alias("source_at"),
         F.max("doc_id").alias("hi"),
         F.min("before").alias("before"),
-        (F.min("before") == F.max("before")).alias("one_before"),
-        (F.min("after") == F.max("after")).alias("one_after"),
+        F.max("before").alias("other"),
+        F.count("*").alias("times"),
     )
-    table = stored(table.where(F.col("source.doc_id") < F.col("hi")), "edges")
-    previous = table.where("one_after").select(F.col("edge").alias("before"), F.lit(True).alias("linked"))
+    table = stored(table.where("source_doc < hi").drop("hi"), "edges")
+    release(edges.sparkSession)
+    # an edge with one edge before it goes on with that one's path if they are equally frequent:
+    # then the one before has no other edge after it
+    previous = table.select(F.col("edge").alias("before"), F.col("times").alias("times_before"))
     joined = table.join(previous, "before", "left")
-    first = ~(F.col("one_before") & (F.col("before") != 0) & F.coalesce("linked", F.lit(False)))
-    along = Window.partitionBy("source.doc_id").orderBy("source.at")
-    flagged = joined.select("edge", "source", first.alias("first"))
+    on = (F.col("before") == F.col("other")) & (F.col("before") != 0) & (F.col("times") == F.col("times_before"))
+    first = ~F.coalesce(on, F.lit(False))
+    along = Window.partitionBy("source_doc").orderBy("source_at")
+    flagged = joined.select("edge", "source_doc", "source_at", first.alias("first"))
     # the source place of each edge of a path follows that of the one before; a gap begins anew
-    gap = F.col("source.at") - F.coalesce(F.lag("source.at").over(along), F.lit(-2)) != 1
+    gap = F.col("source_at") - F.coalesce(F.lag("source_at").over(along), F.lit(-2)) != 1
     flagged = flagged.withColumn("begins", (F.col("first") | gap).cast("int"))
     numbered = flagged.withColumn("path", F.sum("begins").over(along))
-    paths = numbered.groupBy(F.col("source.doc_id").alias("source_doc"), "path").agg(
-        F.min(F.struct("source.at", "edge")).alias("head"),
-        F.max(F.struct("source.at", "edge")).alias("tail"),
+    paths = numbered.groupBy("source_doc", "path").agg(
+        F.min_by("edge", "source_at").alias("edge"),
+        F.max_by("edge", "source_at").alias("last"),
         F.count("*").cast("int").alias("length"),
+        F.min("source_at").alias("source_at"),
     )
-    return paths.select(
-        F.col("head.edge").alias("edge"), F.col("tail.edge").alias("last"), "length", "source_doc", F.col("head.at").alias("source_at")
-    )
+    return paths.select("edge", "last", "length", "source_doc", "source_at")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

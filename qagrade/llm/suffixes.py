@@ -60,7 +60,10 @@ def find_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     if len(data) < MATCH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     key = _seed_hashes(data)
-    at = anchor_places(key, MATCH - SEED + 1)
+    inside = np.ones(len(data) - MATCH + 1, bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        inside[max(a, b - MATCH + 1) : b] = False
+    at = anchor_places(key, MATCH - SEED + 1, inside)
     doc = np.searchsorted(offsets, at, "right") - 1
     ok = at + SEED <= offsets[doc + 1]
     at, doc = at[ok], doc[ok]
