@@ -6,9 +6,9 @@ prefixes. Documents of equal sets are one set; sets of equal prefixes and size a
 Group pairs come from the shared prefix shingles, filtered by size and by place, and are expanded
 to their sets, which are verified exactly.
 
-Only connected components are asked for, so what is connected need not be paired again: in a few
-rounds each prefix shingle pairs its groups with one of them only, which joins large families of
-near copies with as many pairs as members. After that all pairs are taken between what is still
+Only connected components are asked for, so what is connected need not be paired again: first
+each prefix shingle pairs its groups with `HUBS` of them only, which joins large families of near
+copies with a few pairs a member. After that all pairs are taken between what is still
 apart, so no link between components is lost.
 
 Words are runs of anything but the space and the characters 9 to 13, A-Z lowered. Defined
@@ -32,27 +32,47 @@ from qagrade.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-SKETCH_BITS = 18
-STAR_ROUNDS = 3
+SKETCH_BITS = 22
+SEGMENT_BITS = 16
+HUBS = 3
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Distinct shingles of documents by the low bits of their hash: at most 2^18 rows to the driver."""
-    size = 1 << SKETCH_BITS
+    """Shingles of documents by the low bits of their hash, as classes of about a quarter octave.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+    Tasks send their counts as segments of bytes (255: so many or more), so what is sent does not
+    depend on the texts' length; segments are added in Spark and come to the driver as one byte
+    a bucket.
+    """
+    size, segment = 1 << SKETCH_BITS, 1 << SEGMENT_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
         for batch in batches:
             for _, _, offsets, data in slices(batch.column(0)):
                 _, hashes = Words(offsets, lowered(data)).windows(k)
-                total += np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["bucket", "count"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket long, count long").groupBy("bucket")
-    table = rows.agg(F.sum("count").alias("count")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[table["bucket"].to_numpy()] = table["count"].to_numpy()
+                np.add.at(total, (hashes & np.uint64(size - 1)).astype(np.int64), 1)
+        small = np.minimum(total, 255).astype(np.uint8)
+        for i in range(size // segment):
+            part = small[i * segment : (i + 1) * segment]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()])], ["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = totals.setdefault(i, np.zeros(segment, np.int64))
+                total += np.frombuffer(counts, np.uint8)
+        for i, total in totals.items():
+            level = np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()])], ["segment", "counts"])
+
+    schema = "segment int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("segment").mapInArrow(add, schema)
+    out = np.zeros(size, np.uint8)
+    for i, levels in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True):
+        out[i * segment : (i + 1) * segment] = np.frombuffer(levels, np.uint8)
     return out
 
 
@@ -61,14 +81,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        levels = shared.value
         low = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for row, stop, offsets, data in slices(batch.column(1)):
                 size, sets, groups, prefixes = [], [], [], []
                 for _, own in shingle_sets(Words(offsets, lowered(data)), k):
                     n = len(own)
-                    order = np.argsort(counts[own & low], kind="stable")  # equal counts by hash
+                    order = np.argsort(levels[own & low], kind="stable")  # equal levels by hash
                     prefix = own[order[: n - (percent * n + 99) // 100 + 1]] if n else own
                     size.append(n)
                     sets.append(sequence_hash(own))
@@ -157,22 +177,16 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     release(spark)
 
     leads = stored(groups.select("grp", F.col("lead.set").alias("set")), "leads")
-    # sets of one group meet in its lead first
+    # sets of one group meet in its lead, groups of a shingle in its hubs
     inner = members.join(leads.select("grp", F.col("set").alias("b")), "grp").where(F.col("set") != F.col("b"))
-    links = stored(_verified(inner.select(F.col("set").alias("a"), "b").distinct(), sets, percent), "links")
-    labels = None
-    for number in range(STAR_ROUNDS + 1):
-        apart = _apart(postings, members, labels)
-        if number < STAR_ROUNDS:
-            pairs = _stars(apart, leads, number, percent)
-        else:
-            pairs = _all_pairs(apart, members, labels, percent)
-        new = stored(_verified(pairs, sets, percent), "links")
-        links = stored(links.union(new), "links")
-        if labels is not None:
-            discard(labels)
-        labels = stored(components(links), "components")
-        release(spark)
+    pairs = inner.select(F.col("set").alias("a"), "b").union(_stars(postings, leads, percent)).distinct()
+    links = stored(_verified(pairs, sets, percent), "links")
+    release(spark)
+    labels = components(links)
+    rest = _all_pairs(_apart(postings, members, labels), members, labels, percent)
+    links = stored(links.union(_verified(rest, sets, percent)), "links")
+    release(spark)
+    labels = components(links)
     named = real.join(labels, real["set"] == labels["node"], "left").select(
         "set", "doc_id", F.coalesce("label", "set").alias("label")
     )
@@ -186,10 +200,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     )
 
 
-def _apart(postings: DataFrame, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _apart(postings: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the least and largest component of their groups, of shingles not yet within one."""
-    if labels is None:
-        return postings.withColumns({"lo": F.col("grp"), "hi": F.col("grp")})
     named = members.join(labels, members["set"] == labels["node"], "left")
     by_group = named.groupBy("grp").agg(
         F.min(F.coalesce("label", "set")).alias("lo"), F.max(F.coalesce("label", "set")).alias("hi")
@@ -199,16 +211,14 @@ def _apart(postings: DataFrame, members: DataFrame, labels: DataFrame | None) ->
     return stored(rows.join(open_, "token"), "postings")
 
 
-def _stars(apart: DataFrame, leads: DataFrame, number: int, percent: int) -> DataFrame:
-    """Each group of a shingle with one of them: as many pairs as postings at most."""
-    hubs = apart.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("grp", F.lit(number)).alias("o"), "grp", "n", "at", "lo", "hi")).alias("h")
-    )
-    rows = apart.join(hubs, "token").select(
-        "grp", F.col("n").alias("xn"), F.col("at").alias("xat"), "lo", "hi",
-        F.col("h.grp").alias("hub"), F.col("h.n").alias("yn"), F.col("h.at").alias("yat"), F.col("h.lo").alias("hlo"), F.col("h.hi").alias("hhi"),
-    )
-    rows = rows.where((F.col("grp") != F.col("hub")) & ~((F.col("lo") == F.col("hlo")) & (F.col("hi") == F.col("hhi")) & (F.col("lo") == F.col("hi"))))
+def _stars(postings: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Each group of a shingle with a few of them: HUBS times as many pairs as postings at most."""
+    hub = lambda i: F.min(F.struct(F.xxhash64("grp", F.lit(i)).alias("o"), "grp", "n", "at"))
+    hubs = postings.groupBy("token").agg(F.array_distinct(F.array(*[hub(i)["grp"] for i in range(HUBS)])).alias("hubs"))
+    hubs = hubs.select("token", F.explode("hubs").alias("hub"))
+    ends = postings.select("token", F.col("grp").alias("hub"), F.col("n").alias("yn"), F.col("at").alias("yat"))
+    rows = postings.select("token", "grp", F.col("n").alias("xn"), F.col("at").alias("xat"))
+    rows = rows.join(hubs.join(ends, ["token", "hub"]), "token").where(F.col("grp") != F.col("hub"))
     rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit("x", "y", percent))
     pairs = rows.select("grp", "hub").distinct()
     pairs = pairs.join(leads.withColumnRenamed("set", "a"), "grp")
