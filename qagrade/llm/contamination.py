@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from qagrade.llm.common import Words, narrow, sequence_hash, shingle_sets, slices
 
@@ -141,10 +142,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, n_item long, n_shared long, containment double"
-    texts = narrow(docs, "doc_id", "text")
+    texts, item_type = narrow(docs, "doc_id", "text"), to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for block in item_blocks(benchmark):
-        own = texts.mapInArrow(_search(spark.sparkContext.broadcast(block), containment), schema)
+        own = texts.mapInArrow(_search(spark.sparkContext.broadcast(block), containment, item_type), schema)
         out = own if out is None else out.unionByName(own)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -166,7 +167,7 @@ def _matches(block: ItemBlock, words: Words, containment: float) -> Iterator[tup
                 yield int(doc), int(item), found
 
 
-def _search(shared, containment: float):
+def _search(shared, containment: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -182,7 +183,7 @@ def _search(shared, containment: float):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows)),
-                    pa.array(items),
+                    pa.array(items, item_type),
                     pa.array(sizes),
                     pa.array(hits),
                     pa.array(np.array(hits) / np.array(sizes)),

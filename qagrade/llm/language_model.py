@@ -143,7 +143,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def _decisions(counts: np.ndarray) -> np.ndarray:
     """Zeros and ones of the 255 decisions of a byte, from the counts of its 256 values."""
     n = len(counts)
-    return np.concatenate([counts.reshape(n, 1 << k, 2, -1).sum(-1) for k in range(8)], axis=1)
+    return np.concatenate([counts.reshape(n, 1 << k, 2, 128 >> k).sum(-1) for k in range(8)], axis=1)
 
 
 def _log_kt(bits: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from qagrade.llm import byte_bpe, contamination, language_model, ngram_join, quality, secrets, substrings, suffixes, token_files, toxicity
 from qagrade.llm.common import documents
+from qagrade.llm.statements import SQL
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: DuckDB statements of those that SQL can state over whole tables.
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
