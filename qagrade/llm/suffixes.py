@@ -77,7 +77,7 @@ def _context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, before
 
 def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """key, ctx (hash of the context), document, place of the context, place of the anchor in it, its
-    bytes; stored."""
+    size; stored."""
     wanted = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # places of one text
     rows = docs.join(wanted, "doc_id")
 
@@ -97,24 +97,54 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                     continue
                 key = span_hashes(data, place, place + SEED)
                 ctx = _context_hashes(data, start, end, place - start)
+                columns = [
+                    pa.array(key.view(np.int64)),
+                    pa.array(ctx.view(np.int64)),
+                    batch.column(0).take(pa.array(row + doc)),
+                    pa.array((start - offsets[doc]).astype(np.int32)),
+                    pa.array((place - start).astype(np.int32)),
+                    pa.array((end - start).astype(np.int32)),
+                ]
+                for a in range(0, len(place), 100_000):
+                    yield pa.RecordBatch.from_arrays(
+                        [c.slice(a, 100_000) for c in columns], ["key", "ctx", "doc_id", "start", "before", "size"]
+                    )
+
+    doc = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"key long, ctx long, doc_id {doc}, start int, before int, size int")
+    return stored(out, "contexts")
+
+
+def _with_bytes(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The contexts with the bytes that their source has there."""
+    fields = ["group", "key", "ctx", "start", "before", "size", "parts"]
+    wanted = contexts.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.struct(*fields)).alias("c"))  # of one text
+    rows = docs.join(wanted, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            for row, stop, offsets, data in slices(batch.column(1)):
+                own = lists.slice(row, stop - row)
+                doc = np.repeat(np.arange(stop - row), own.value_lengths().to_numpy())
+                flat = own.flatten()
+                part = {f: flat.field(f).to_numpy() for f in fields}
+                start = part["start"] + offsets[doc]
+                end = start + part["size"]
+                ok = np.flatnonzero(end <= offsets[doc + 1])
+                held = _context_hashes(data, start[ok], end[ok], part["before"][ok].astype(np.int64))
+                ok = ok[held == part["ctx"][ok].view(np.uint64)]  # rows of one id can differ
                 raw = data.tobytes()
-                for a in range(0, len(place), 50_000):
-                    part = slice(a, a + 50_000)
+                for o in np.array_split(ok, len(ok) // 50_000 + 1):
+                    texts = [raw[a:b] for a, b in zip(start[o].tolist(), end[o].tolist(), strict=True)]
+                    columns = [pa.array(part[f][o]) for f in ("group", "key", "ctx", "before", "parts")]
+                    lo = batch.column(0).take(pa.array(row + doc[o]))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key[part].view(np.int64)),
-                            pa.array(ctx[part].view(np.int64)),
-                            batch.column(0).take(pa.array(row + doc[part])),
-                            pa.array((start[part] - offsets[doc[part]]).astype(np.int32)),
-                            pa.array((place[part] - start[part]).astype(np.int32)),
-                            pa.array([raw[s:e] for s, e in zip(start[part].tolist(), end[part].tolist(), strict=True)]),
-                        ],
-                        ["key", "ctx", "doc_id", "start", "before", "bytes"],
+                        [*columns, lo, pa.array(texts, pa.binary())], ["group", "key", "ctx", "before", "parts", "lo", "bytes"]
                     )
 
     doc = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key long, ctx long, doc_id {doc}, start int, before int, bytes binary")
-    return stored(out, "contexts", compression="zstd")
+    return rows.mapInArrow(run, f"group long, key long, ctx long, before int, parts int, lo {doc}, bytes binary")
 
 
 # --- the sort ------------------------------------------------------------------------------
@@ -297,18 +327,15 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(spark)
     classes = found.groupBy("ctx").agg(
         F.min("doc_id").alias("lo"),
-        F.first("key").alias("key"),
-        F.first("before").alias("before"),
-        F.first("bytes").alias("bytes"),
+        F.min_by("start", "doc_id").alias("start"),
+        *[F.min(c).alias(c) for c in ("key", "before", "size")],
     )
-    classes = stored(classes, "classes", compression="zstd")
+    classes = stored(classes, "classes")
     release(spark)
     several = classes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    open_ = classes.join(several, "key")
-    parts = F.ceil(F.col("many") / GROUP).cast("int")
-    open_ = open_.withColumn("parts", parts)
+    open_ = classes.join(several, "key").withColumn("parts", F.ceil(F.col("many") / GROUP).cast("int"))
     open_ = open_.withColumn("group", F.xxhash64("key", F.pmod("ctx", F.col("parts"))))
-    told = stored(_compared(open_), "strings")
+    told = stored(_compared(_with_bytes(texts, open_)), "strings")
     release(spark)
     alone = told.where("hash IS NULL").select("ctx", "strings")
     combined = told.where("hash IS NOT NULL")
@@ -317,7 +344,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.flatten(F.collect_list("strings")).alias("strings")  # at most one place for each byte before the anchor
     )
     strings = alone.union(shared)
-    where = found.select("ctx", "doc_id", "start", "before", F.length("bytes").alias("size"))
+    where = found.select("ctx", "doc_id", "start", "before", "size")
     # a document that is not the first of its context loses all of it
     first = classes.select("ctx", "lo")
     joined = where.join(first, "ctx").join(strings, "ctx", "left")
