@@ -88,8 +88,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; one of our own only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='qagrade-llm-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not getattr(context, "_qagrade_folder", None):
+            context._qagrade_folder = f"file://{tempfile.mkdtemp(prefix='qagrade-llm-')}"
+        folder = context._qagrade_folder
     return folder
 
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: grouped prefix join of the documents' shingle sets.
 
 Shingles are ordered from rare to frequent by a fixed-size count sketch (any order is right, this
-one makes the prefixes telling). Two sets that are similar enough share a shingle of their
-prefixes. Documents of equal sets are one set; sets of equal prefixes and size are one group.
-Group pairs come from the shared prefix shingles, filtered by size and by place, and are expanded
-to their sets, which are verified exactly.
+one makes the prefixes telling). Two sets that are similar enough share `SHARED` shingles of
+their prefixes, or all they have to share if that is less. Documents of equal sets are one set; sets of equal prefixes and size are one group.
+Group pairs come from the shared prefix shingles, are filtered by size, by place and by how much
+their prefixes share, and are expanded to their sets, which are made from the texts and verified
+exactly.
 
 Only connected components are asked for, so what is connected need not be paired again: first
 each prefix shingle pairs its groups with `HUBS` of them only, which joins large families of near
@@ -35,6 +36,7 @@ PERCENT = 85
 SKETCH_BITS = 22
 SEGMENT_BITS = 16
 HUBS = 3
+SHARED = 4  #: prefix shingles that similar sets have in common at least
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -89,7 +91,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for _, own in shingle_sets(Words(offsets, lowered(data)), k):
                     n = len(own)
                     order = np.argsort(levels[own & low], kind="stable")  # equal levels by hash
-                    prefix = own[order[: n - (percent * n + 99) // 100 + 1]] if n else own
+                    prefix = own[order[: n - (percent * n + 99) // 100 + SHARED]] if n else own
                     size.append(n)
                     sets.append(sequence_hash(own))
                     groups.append(sequence_hash(np.append(prefix, np.uint64(n))))
@@ -147,13 +149,29 @@ def _places_fit(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches the bound."""
+def _sharing(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups `x`, `y` whose prefixes share enough."""
+    side = lambda x: prefixes.select(F.col("grp").alias(x), F.col("n").alias(f"{x}n"), F.col("prefix").alias(f"{x}p"))
+    rows = pairs.join(side("x"), "x").join(side("y"), "y")
+    least = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("xn", "yn") / 100))
+    return rows.where(F.size(F.array_intersect("xp", "yp")) >= least).select("x", "y")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity reaches the bound, stored."""
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    sets = _set_arrays(docs, members.join(wanted, "set").select("doc_id", "set"), k)
+    release(docs.sparkSession)
     side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"{x}n"), F.col("shingles").alias(f"{x}s"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("as", "bs"))
     rows = rows.select("a", "b", (F.col("an") + F.col("bn")).alias("total"), common.alias("common"))
-    return rows.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    rows = rows.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
+    out = stored(rows.select("a", "b"), "links")
+    discard(sets, pairs)
+    release(docs.sparkSession)
+    return out
 
 
 def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -172,20 +190,17 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     several = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     postings = stored(tokens.join(several, "token").distinct(), "postings")
     release(spark)
-    paired = postings.select("grp").union(groups.where("many > 1").select("grp")).distinct()
-    sets = _set_arrays(docs, members.join(paired, "grp").select("doc_id", "set"), k)
-    release(spark)
-
     leads = stored(groups.select("grp", F.col("lead.set").alias("set")), "leads")
+    prefixes = real.join(heads, ["grp", "doc_id", "set"], "left_semi").select("grp", "n", "prefix").dropDuplicates(["grp"])
     # sets of one group meet in its lead, groups of a shingle in its hubs
     inner = members.join(leads.select("grp", F.col("set").alias("b")), "grp").where(F.col("set") != F.col("b"))
-    pairs = inner.select(F.col("set").alias("a"), "b").union(_stars(postings, leads, percent)).distinct()
-    links = stored(_verified(pairs, sets, percent), "links")
-    release(spark)
+    stars = _sharing(_stars(postings, percent), prefixes, percent)
+    stars = stars.join(leads.select(F.col("grp").alias("x"), F.col("set").alias("a")), "x")
+    stars = stars.join(leads.select(F.col("grp").alias("y"), F.col("set").alias("b")), "y").select("a", "b")
+    links = _verified(inner.select(F.col("set").alias("a"), "b").union(stars).distinct(), docs, members, k, percent)
     labels = components(links)
-    rest = _all_pairs(_apart(postings, members, labels), members, labels, percent)
-    links = stored(links.union(_verified(rest, sets, percent)), "links")
-    release(spark)
+    rest = _all_pairs(_apart(postings, members, labels), prefixes, members, labels, percent)
+    links = stored(links.union(_verified(rest, docs, members, k, percent)), "links")
     labels = components(links)
     named = real.join(labels, real["set"] == labels["node"], "left").select(
         "set", "doc_id", F.coalesce("label", "set").alias("label")
@@ -211,7 +226,7 @@ def _apart(postings: DataFrame, members: DataFrame, labels: DataFrame) -> DataFr
     return stored(rows.join(open_, "token"), "postings")
 
 
-def _stars(postings: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Each group of a shingle with a few of them: HUBS times as many pairs as postings at most."""
     hub = lambda i: F.min(F.struct(F.xxhash64("grp", F.lit(i)).alias("o"), "grp", "n", "at"))
     hubs = postings.groupBy("token").agg(F.array_distinct(F.array(*[hub(i)["grp"] for i in range(HUBS)])).alias("hubs"))
@@ -220,12 +235,10 @@ def _stars(postings: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     rows = postings.select("token", "grp", F.col("n").alias("xn"), F.col("at").alias("xat"))
     rows = rows.join(hubs.join(ends, ["token", "hub"]), "token").where(F.col("grp") != F.col("hub"))
     rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit("x", "y", percent))
-    pairs = rows.select("grp", "hub").distinct()
-    pairs = pairs.join(leads.withColumnRenamed("set", "a"), "grp")
-    return pairs.join(leads.select(F.col("grp").alias("hub"), F.col("set").alias("b")), "hub").select("a", "b")
+    return rows.select(F.col("grp").alias("x"), F.col("hub").alias("y")).distinct()
 
 
-def _all_pairs(apart: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(apart: DataFrame, prefixes: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets of different components whose groups share a prefix shingle, or are one."""
     x = apart.select("token", F.col("grp").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
     y = apart.select("token", F.col("grp").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
@@ -236,7 +249,8 @@ def _all_pairs(apart: DataFrame, members: DataFrame, labels: DataFrame, percent:
     named = stored(named, "named")
     one = named.select(F.col("grp").alias("x"), F.col("set").alias("a"), F.col("label").alias("la"))
     two = named.select(F.col("grp").alias("y"), F.col("set").alias("b"), F.col("label").alias("lb"))
-    across = rows.select("x", "y").distinct().join(one, "x").join(two, "y")
+    pairs = _sharing(rows.select("x", "y").distinct(), prefixes, percent)
+    across = pairs.join(one, "x").join(two, "y")
     mixed = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("grp").alias("x"))
     within = one.join(mixed, "x").join(two, one["x"] == two["y"]).where(F.col("a") < F.col("b"))
     both = across.where(F.col("la") != F.col("lb")).select("a", "b")
