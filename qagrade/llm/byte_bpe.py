@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from qagrade.llm.common import narrow
 
 #: Entries of each half of a memo; when the new half is full it becomes the old one.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 _BITS = 20
 _CODECS: dict[str, Codec] = {}
 
