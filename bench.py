@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +28,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def session() -> SparkSession:
+    shared = tempfile.mkdtemp(prefix="qagrade-bench-")
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("bench")
@@ -34,6 +36,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

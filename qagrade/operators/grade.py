@@ -16,7 +16,7 @@ from qagrade.functions import vocab as V
 from qagrade.functions.text import is_missing, sorted_tags, stands_once, strip, tag_content, tags_found
 from qagrade.operators.judge import attach_judge
 
-_LARGEST = 2**63 - 1
+_TAIL = 18  # digits that a BIGINT always holds
 _IN_ORDER = [marker for tag in V.TAGS for marker in (f"<{tag}>", f"</{tag}>")]
 _BLANKS = f"[{V.WHITESPACE}]*"
 _ONLY_BLANKS_OUTSIDE = (
@@ -59,15 +59,33 @@ def structure_order(text: Column) -> Column:
 def utility_value(text: Column) -> Column:
     """N of the first ``[Utility:N]`` with ASCII digits, 0 without one.
 
-    A number too large for a BIGINT counts as the largest BIGINT.
+    It is text without leading zeros, so that a number of any length is exact.
     """
-    digits = F.nullif(F.regexp_extract(text, r"\[Utility:([0-9]+)\]", 1), F.lit(""))
-    number = F.coalesce(digits.try_cast("bigint"), F.lit(_LARGEST))
-    return F.when(digits.isNull(), F.lit(0).cast("bigint")).otherwise(number)
+    marked = F.concat(F.coalesce(text, F.lit("")), F.lit("[Utility:0]"))
+    return F.regexp_extract(marked, r"\[Utility:0*([0-9]+)\]", 1)
+
+
+def _next_number(digits: Column) -> Column:
+    """The number after the one that the digits name; that after no digits is 1."""
+    head = F.rtrim(digits, F.lit("9"))
+    last = F.coalesce(F.right(head, F.lit(1)).try_cast("int"), F.lit(0)) + 1
+    kept = F.substring(head, F.lit(1), F.greatest(F.length(head) - 1, F.lit(0)))
+    return F.concat(kept, last.cast("string"), F.repeat(F.lit("0"), F.length(digits) - F.length(head)))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """How far two numbers in digits are apart; 4 for 4 and more."""
+    a_first = (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b))
+    more, less = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
+    head = lambda x: F.substring(x, F.lit(1), F.greatest(F.length(x) - _TAIL, F.lit(0)))
+    tail = lambda x: F.right(x, F.lit(_TAIL)).cast("bigint")
+    apart = tail(more) - tail(less)
+    near = F.when(head(more) == head(less), apart).when(head(more) == _next_number(head(less)), apart + 10**_TAIL)
+    return F.least(F.coalesce(near, F.lit(4)), F.lit(4))
 
 
 def _closeness(got: Column, wanted: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(got - wanted) / F.lit(4.0))
+    return F.lit(1.0) - _distance(got, wanted) / F.lit(4.0)
 
 
 def utility_grade(
@@ -80,7 +98,7 @@ def utility_grade(
     """
     got = utility_value(extracted) if got is None else got
     wanted = utility_value(expected) if wanted is None else wanted
-    ungraded = is_missing(extracted) | is_missing(expected) | (got == 0)
+    ungraded = is_missing(extracted) | is_missing(expected) | (got == "0")
     return F.when(ungraded, 0.0).otherwise(_closeness(got, wanted))
 
 
@@ -95,8 +113,8 @@ def utility_grade_reward(
     wanted = utility_value(expected) if wanted is None else wanted
     return (
         F.when(is_missing(extracted) | is_missing(expected), 0.0)
-        .when(wanted == 0, _score(extracted.rlike("Utility:[1-5]")))
-        .when(got == 0, 0.0)
+        .when(wanted == "0", _score(extracted.rlike("Utility:[1-5]")))
+        .when(got == "0", 0.0)
         .otherwise(_closeness(got, wanted))
     )
 

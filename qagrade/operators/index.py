@@ -2,77 +2,37 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 16_384
-_SAMPLE_PER_BUCKET = 12
-
+from qagrade.sources.scratch import pin
 
-def _order_bounds(df: DataFrame, order_by: Sequence[str], buckets: int, rows: int, seed: int) -> list[str]:
-    """``buckets - 1`` order keys, as JSON, that cut the table into about equal parts.
-
-    They are picked from a random sample of the keys whose size depends on the number of
-    buckets only, not on the table.
-    """
-    keys = df.select(*order_by)
-    fraction = min(1.0, _SAMPLE_PER_BUCKET * buckets / rows)
-    if fraction < 1.0:
-        keys = keys.sample(fraction, seed)
-    sampled = [r[0] for r in keys.orderBy(*order_by).select(F.to_json(F.struct(*order_by))).collect()]
-    if not sampled:
-        return []
-    picked = [sampled[i * len(sampled) // buckets] for i in range(1, buckets)]
-    return [key for key in picked if key != "{}"]
-
-
-def _bucket(key: Column, bounds: Column, n_bounds: int) -> Column:
-    """How many of the sorted bounds are at or below the key, by bisection."""
-    steps = [1 << b for b in reversed(range(max(1, n_bounds.bit_length())))]
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= n_bounds) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at),
-    )
+ROWS_PER_BUCKET = 250_000
 
 
 def row_index(
-    df: DataFrame,
-    order_by: Sequence[str],
-    out: str = "index",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    seed: int = 0,
+    df: DataFrame, order_by: Sequence[str], out: str = "index", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of ``order_by``, which has to be unique.
 
-    The key range is cut into buckets of about ``rows_per_bucket`` rows, rows are numbered
-    inside their bucket, and the sizes of the earlier buckets are added, so no task sees
-    more than a bucket. Cuts and sizes are numbers per bucket, so they are small whatever
-    the table. ``df`` is read for the count, the sample and the bucket sizes (key columns
-    only) and for the result, so it should be a table and not an expensive plan.
+    Spark deals the rows by ranges of the whole order key into buckets of about
+    ``rows_per_bucket`` rows, whose numbers are stored with them; rows are numbered in their
+    bucket, and the sizes of the earlier buckets are added. The number of buckets follows
+    that of the rows without a bound, and no task sees more than a bucket but the one that
+    adds up one number per bucket. All columns of ``df`` are dealt, so a wide table should
+    be numbered by its keys and joined with them.
     """
     order_by = list(order_by)
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_per_bucket)))
-    bounds = _order_bounds(df, order_by, buckets, rows, seed) if rows else []
-    key = F.struct(*order_by)
-    bucket = F.lit(0)
-    if bounds:
-        schema = df.select(F.array(key)).schema[0].dataType
-        literal = F.from_json(F.lit("[" + ",".join(bounds) + "]"), schema)
-        if len(order_by) == 1:
-            # Plain values compare faster than structs; NULL comes first and belongs to bucket 0.
-            key, literal = F.col(order_by[0]), literal[order_by[0]]
-        bucket = _bucket(key, literal, len(bounds))
-    bucketed = df.withColumn("_bucket", bucket)
-    # One row per bucket: MAX_BUCKETS numbers at most, kept as a literal array.
-    sizes = dict(bucketed.groupBy("_bucket").count().collect())
-    before = [0, *accumulate(sizes.get(b, 0) for b in range(len(bounds)))]
-    offset = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_bucket"))
+    keyed = pin(df, "index-rows")
+    rows = keyed.count()
+    buckets = max(1, -(-rows // rows_per_bucket), min(rows, df.sparkSession.sparkContext.defaultParallelism))
+    dealt = keyed.repartitionByRange(buckets, *order_by).withColumn("_bucket", F.spark_partition_id())
+    dealt = pin(dealt, "index-buckets")
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = pin(sizes.select("_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")), "index-sizes")
     inside = Window.partitionBy("_bucket").orderBy(*order_by)
-    return bucketed.withColumn(out, offset + F.row_number().over(inside) - 1).drop("_bucket")
+    numbered = dealt.withColumn("_place", F.row_number().over(inside)).join(before, "_bucket")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_place") - 1).alias(out))

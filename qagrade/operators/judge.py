@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from qagrade.functions import vocab as V
 from qagrade.functions.text import tag_content
 from qagrade.operators.batched import batched_apply
+from qagrade.sources.scratch import pin
 
 GENERATION_KEY = ("row_id", "model", "sample")
 REQUEST_COLUMNS = ("metric", "question", "answer", "expected", "context")
@@ -44,6 +45,7 @@ def judge_requests(
     key: Sequence[str] = GENERATION_KEY,
     text_col: str = "generation",
     whole_response: bool = False,
+    metrics: Sequence[str] = V.VERDICTS,
 ) -> DataFrame:
     """What to ask a judge, one row per generation and metric.
 
@@ -52,6 +54,7 @@ def judge_requests(
     that column does not exist it is the extracted answer itself (``on_missing="self"``) or
     the ground truth in column ``answer`` (``on_missing="answer"``). The answer is what stands
     in the answer tag; ``whole_response`` asks about the whole text instead, as rewards do.
+    ``metrics`` chooses what is asked; rewards need correctness only.
     Equal questions share a ``request_id``.
     """
     if on_missing not in ("self", "answer"):
@@ -68,11 +71,12 @@ def judge_requests(
         values = (F.lit(metric), F.col("instruction"), answer, expected, context)
         return F.struct(*[v.alias(c) for v, c in zip(values, REQUEST_COLUMNS)])
 
-    asked = F.array(
-        request("answer_correctness", expected, nothing),
-        request("faithfulness", nothing, context),
-        request("answer_relevancy", nothing, nothing),
-    )
+    needs = {
+        "answer_correctness": (expected, nothing),
+        "faithfulness": (nothing, context),
+        "answer_relevancy": (nothing, nothing),
+    }
+    asked = F.array(*[request(m, *needs[m]) for m in metrics])
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.withColumn("_answer", text if whole_response else tag_content(text, "answer")).select(*key, F.inline(asked)).withColumn("request_id", _request_id())
 
@@ -97,10 +101,30 @@ def batched_judge(
     """Ask ``fn`` for the requests that are not in ``answered`` yet: (request_id, metric, score).
 
     ``fn`` gets a frame of distinct requests and returns ``request_id``, ``metric`` and
-    ``score``. Copies go first, so that the anti join meets every request once.
+    ``score``. Copies go first, so that the anti join meets every request once. The answers are
+    stored before they are returned, so a second use does not ask again.
     """
     pending = distinct_requests(requests).join(answered.select("request_id").distinct(), "request_id", "left_anti")
-    return batched_apply(pending, fn, "request_id string, metric string, score double", batch_rows, setup)
+    return pin(batched_apply(pending, fn, "request_id string, metric string, score double", batch_rows, setup), "answers")
+
+
+def ask_pending(
+    requests: DataFrame,
+    answers_table: str,
+    fn: Callable[..., pd.DataFrame],
+    batch_rows: int = 64,
+    setup: Callable[[], Any] | None = None,
+) -> DataFrame:
+    """Append the answers to pending requests to the table at ``answers_table`` and return it.
+
+    A later call asks for what is not in the table only; the table may be absent at first.
+    """
+    spark, schema = requests.sparkSession, "request_id string, metric string, score double"
+    path = spark._jvm.org.apache.hadoop.fs.Path(answers_table)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(schema).parquet(answers_table) if there else spark.createDataFrame([], schema)
+    batched_judge(requests, known, fn, batch_rows, setup).write.mode("append").parquet(answers_table)
+    return spark.read.schema(schema).parquet(answers_table)
 
 
 def verdicts_of(requests: DataFrame, answers: DataFrame, key: Sequence[str] = GENERATION_KEY) -> DataFrame:

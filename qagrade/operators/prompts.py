@@ -11,43 +11,26 @@ from pyspark.sql import functions as F
 from qagrade.functions import vocab as V
 from qagrade.functions.text import clip
 from qagrade.operators.index import row_index
+from qagrade.sources.scratch import pin
 
-RELEVANCE_RUBRIC = f"""Contextual relevance:
-- {V.RELEVANT}: the context bears on the question and is of use for the answer.
-- {V.IRRELEVANT}: the context is about something else or is of no use.
-"""
-
-UTILITY_RUBRIC = f"""Answer utility, from 5 (best) to 1:
-- {V.UTILITY_TOKENS[4]}: the answer settles the question in full and in depth.
-- {V.UTILITY_TOKENS[3]}: the answer settles most of it; small gaps in depth or form.
-- {V.UTILITY_TOKENS[2]}: the answer will do, but a good deal has to be added or made clear.
-- {V.UTILITY_TOKENS[1]}: the answer covers a part only and leaves wide gaps.
-- {V.UTILITY_TOKENS[0]}: the answer hardly touches the question.
-"""
-
-GROUNDNESS_RUBRIC = f"""Groundness:
-- {V.FULLY_SUPPORTED}: the context backs all that the answer claims.
-- {V.PARTIALLY_SUPPORTED}: the context backs some of the claims, not all.
-- {V.NO_SUPPORT_PROMPT}: the context backs none of the claims or speaks against them.
-"""
-
-_TAG_FILLINGS = {
-    "think": "your reasoning, step by step",
-    "answer": "your answer, kept short",
-    "contextual-relevance": " or ".join(V.RELEVANCE_TOKENS),
-    "answer-utility": " or ".join(reversed(V.UTILITY_TOKENS)),
-    "groundness": " or ".join((V.FULLY_SUPPORTED, V.PARTIALLY_SUPPORTED, V.NO_SUPPORT_PROMPT)),
-}
-
-
-def system_prompt(rubrics: Sequence[str] = (RELEVANCE_RUBRIC, UTILITY_RUBRIC, GROUNDNESS_RUBRIC)) -> str:
-    """The constant system text: task, rubrics and the format of the reply."""
-    reply = "\n\n".join(f"<{tag}>\n{_TAG_FILLINGS[tag]}\n</{tag}>" for tag in V.TAGS)
-    task = (
-        "You get a question and a context. Reason about both inside the think tags, answer inside the answer "
-        "tags, then rate relevance, utility and groundness by the rules below."
-    )
-    return "\n".join([task, "", *rubrics, "Reply in this form and in this order, with nothing else:", "", reply, ""])
+#: What is rated, the question a rater puts, and the tokens from best to worst. Callers may pass their own.
+RATINGS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("contextual-relevance", "Would someone who has to answer the question want to read this context?", V.RELEVANCE_TOKENS),
+    ("answer-utility", "How much of what was asked is settled once the answer is read?", tuple(reversed(V.UTILITY_TOKENS))),
+    (
+        "groundness",
+        "Which share of the statements in the answer can be checked against the context?",
+        (V.FULLY_SUPPORTED, V.PARTIALLY_SUPPORTED, V.NO_SUPPORT_PROMPT),
+    ),
+)
+
+
+def system_prompt(ratings: Sequence[tuple[str, str, Sequence[str]]] = RATINGS) -> str:
+    """The constant system text: the reply's form, then each rating with its scale on one line."""
+    scales = {tag: " > ".join(tokens) for tag, _, tokens in ratings}
+    form = "".join(f"<{tag}>{'one token of the scale' if tag in scales else '...'}</{tag}>\n" for tag in V.TAGS)
+    lines = "".join(f"{tag}: {question} Scale: {scales[tag]}\n" for tag, question, _ in ratings)
+    return f"Write these elements, one after the other, and nothing outside them:\n{form}\nRatings:\n{lines}"
 
 
 SYSTEM_PROMPT = system_prompt()
@@ -107,17 +90,18 @@ def result_rows(df: DataFrame, generations: DataFrame, key: str = "row_id") -> D
 
     ``key`` is unique and not NULL in ``df``. ``generations`` has the key, ``generation`` and
     any columns that tell generations of one prompt apart; same-named columns of ``df`` are
-    overwritten. Prompts without a generation stay, with NULL. Both sides of the inner join
-    are plain shuffles, so that a prompt with very many generations is split at run time; an
-    outer join would not allow that, which is why prompts without one are added by an anti
-    join on the distinct keys. Texts are rendered after the join and do not take part in its
-    shuffle.
+    overwritten. Prompts without a generation stay, with NULL. Prompts are numbered by their
+    keys alone, and those without a generation are found by keys alone, as stored narrow
+    tables. The joins are plain shuffles, so that a prompt with very many generations is
+    split at run time, which an outer join would not allow. Texts are rendered after them.
+    ``generations`` is read for its keys and for its rows, so it should be a table.
     """
     overwritten = [c for c in generations.columns if c in df.columns and c != key]
-    # With the null test stated here the two joins have the same input and share its shuffle.
-    asked = row_index(df.drop(*overwritten).filter(F.col(key).isNotNull()), [key])
-    answered = asked.join(generations, key)
-    unanswered = asked.join(generations.select(key).distinct(), key, "left_anti")
+    rows = df.drop(*overwritten)
+    index = pin(row_index(df.select(key).filter(F.col(key).isNotNull()), [key]), "index")
+    waiting = pin(index.join(generations.select(key).distinct(), key, "left_anti"), "unanswered")
+    answered = rows.join(index, key).join(generations, key)
+    unanswered = rows.join(waiting, key)
     return add_prompts(answered.unionByName(unanswered, allowMissingColumns=True))
 
 

@@ -13,11 +13,11 @@ from qagrade.operators.grade import (
     grade_structure,
     groundness_grade,
     relevance_grade,
+    structure_order,
     utility_grade_reward,
     utility_values,
 )
 from qagrade.operators.judge import GENERATION_KEY, attach_judge
-from qagrade.operators.skew import HOT_GROUP_ROWS, SALTS, attach_groups
 from qagrade.sources.scratch import pin
 
 REWARDS = tuple(f"reward_{name}" for name in V.REWARD_SCALES)
@@ -82,35 +82,41 @@ def reward_utility(df: DataFrame) -> DataFrame:
     return _token_reward(df, "utility", add)
 
 
+def reward_order(df: DataFrame) -> DataFrame:
+    """The order grade as a reward, 0.0 or 1.0; it counts only where a weight names it."""
+    return df.withColumn("reward_order", structure_order(F.coalesce("generation", F.lit(""))))
+
+
 def reward_total(df: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Sum of the five rewards, or their weighted sum (weights by name, 1.0 where absent)."""
+    """Sum of the five rewards, or their weighted sum (weights by name, 1.0 where absent).
+
+    A weight for ``order`` adds the order reward, which is off otherwise.
+    """
     weights = weights or {}
-    parts = [F.col(f"reward_{name}") * F.lit(float(weights.get(name, 1.0))) for name in V.REWARD_SCALES]
+    names = [*V.REWARD_SCALES, *(["order"] if "order" in weights else [])]
+    parts = [F.col(f"reward_{name}") * F.lit(float(weights.get(name, 1.0))) for name in names]
     return df.withColumn("reward_total", sum(parts[1:], parts[0]))
 
 
 def group_advantage(
-    df: DataFrame,
-    group: Sequence[str] = ("row_id", "model"),
-    within: Sequence[str] = ("sample",),
-    reward: str = "reward_total",
-    hot_rows: int = HOT_GROUP_ROWS,
-    salts: int = SALTS,
+    df: DataFrame, group: Sequence[str] = ("row_id", "model"), reward: str = "reward_total"
 ) -> DataFrame:
     """Add ``advantage``: the reward's distance from its group's mean in standard deviations.
 
-    The deviation is that of the population; a group whose rewards are all equal gets 0.
-    Group statistics are combined before their shuffle and joined back, with groups above
-    ``hot_rows`` spread by a hash of the ``within`` columns. ``df`` is read for both, so it
-    should be a table.
+    The deviation is that of the population; a group whose rewards are all equal gets 0, and
+    a NULL in the group's key is a value like others. Group statistics are combined before
+    their shuffle and stored, and come back by one plain join, which Spark broadcasts when
+    they are small and splits where a group is hot. ``df`` is read for both, so it should be
+    a table.
     """
-    stats = df.groupBy(*group).agg(
-        F.count("*").alias("_size"), F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_deviation")
+    stats = df.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(
+        F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_deviation")
     )
-    scored = attach_groups(df, stats, group, "_size", within, hot_rows, salts)
+    stats = pin(stats, "group-stats")
+    same = [df[c].eqNullSafe(stats[f"_{c}"]) for c in group]
     distance = (F.col(reward) - F.col("_mean")) / F.col("_deviation")
     advantage = F.when(F.col("_deviation") > 0, distance).otherwise(0.0)
-    return scored.select(*df.columns, advantage.alias("advantage"))
+    return df.join(stats, same).select(*[df[c] for c in df.columns], advantage.alias("advantage"))
 
 
 def reward_table(
@@ -126,8 +132,10 @@ def reward_table(
     the texts again would cost more.
     """
     rows = completion_text(df, labels=labels)
-    for reward in (reward_structure, reward_relevance, reward_groundness, reward_utility):
+    ordered = [reward_order] if "order" in (weights or {}) else []
+    for reward in (reward_structure, reward_relevance, reward_groundness, reward_utility, *ordered):
         rows = reward(rows)
-    rows = rows.select(*GENERATION_KEY, *[c for c in rows.columns if c in REWARDS])
+    names = [*REWARDS, *(["reward_order"] if ordered else [])]
+    rows = rows.select(*GENERATION_KEY, *[c for c in rows.columns if c in names])
     rows = reward_total(reward_correctness(attach_judge(rows, verdicts)), weights)
-    return group_advantage(pin(rows.select(*GENERATION_KEY, *REWARDS, "reward_total"), "rewards"))
+    return group_advantage(pin(rows.select(*GENERATION_KEY, *names, "reward_total"), "rewards"))

@@ -10,7 +10,7 @@ with the ends of its stratum.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,6 @@ from qagrade.functions import vocab as V
 from qagrade.operators.index import row_index
 from qagrade.sources.scratch import pin
 
-MAX_NAMED_LABELS = 1000
 _PREFIX_DIGITS = 4
 
 
@@ -45,19 +44,19 @@ def quality_filter(df: DataFrame, min_len: int = V.MIN_CONTEXT_CHARS) -> DataFra
     return df.filter(has_context() & has_min_context(min_len) & has_relevance() & has_answer())
 
 
-def class_encode(df: DataFrame, col: str, out: str, max_named: int = MAX_NAMED_LABELS) -> DataFrame:
+def class_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """The distinct labels of ``col`` with their codes 0..k-1 in sorted order, stored."""
+    return pin(row_index(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], out), "class-codes")
+
+
+def class_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Code the labels of ``col`` as 0..k-1 in sorted order; NULL stays NULL.
 
-    The list of names belongs to the schema, as metadata of ``out``, so up to ``max_named``
-    names are fetched. A column with more distinct values is coded by a join with its
-    numbered values instead and carries no name list.
+    The codes are a stored table, whatever their number, and are joined by their size: names
+    are read from :func:`class_codes`. Columns keep their order, ``out`` comes last.
     """
-    labels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    names = [row[0] for row in labels.orderBy(col).limit(max_named + 1).collect()]
-    if len(names) > max_named:
-        return df.join(row_index(labels, [col], out=out), col, "left")
-    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return df.withColumn(out, (F.array_position(known, F.col(col)) - 1).cast("int")).withMetadata(out, {"names": names})
+    columns = [c for c in df.columns if c != out]
+    return df.select(*columns).join(class_codes(df, col, out), col, "left").select(*columns, out)
 
 
 def stratum_quota(
@@ -67,20 +66,21 @@ def stratum_quota(
 
     Largest remainder in whole numbers: everyone gets the rounded-down share, what is left
     goes to the largest remainders, equal ones in label order. ``counts`` has one row per
-    class, so the windows here span a handful of rows.
+    class and may have very many: sums are combined before their shuffle, and the classes
+    that get one more are a distributed top-k.
     """
-    wide = "decimal(19,0)"
-    everyone = Window.partitionBy()
-    by_remainder = Window.orderBy(F.col("_rest").desc(), F.col(stratum))
-    return (
-        counts.withColumn("_rows", F.nullif(F.sum(F.col(n).cast(wide)).over(everyone).cast(wide), F.lit(0)))
-        .withColumn("_wanted", F.col(n).cast(wide) * F.lit(total).cast(wide))
-        .withColumns({"_share": F.expr("coalesce(_wanted div _rows, 0)"), "_rest": F.expr("coalesce(_wanted % _rows, 0)")})
-        .withColumn("_spare", F.lit(total) - F.sum("_share").over(everyone))
-        .withColumn("_turn", F.row_number().over(by_remainder))
-        .withColumn(out, F.col("_share") + F.when(F.col("_turn") <= F.col("_spare"), 1).otherwise(0))
-        .drop("_rows", "_wanted", "_share", "_rest", "_spare", "_turn")
-    )
+    rows = counts.agg(F.sum(F.col(n).cast("decimal(38,0)"))).first()[0] or 0
+    if not rows:
+        return counts.withColumn(out, F.lit(0).cast("bigint"))
+    counts = counts.drop(out)
+    shared = counts.withColumn("_wanted", F.col(n).cast("decimal(19,0)") * F.lit(total).cast("decimal(18,0)"))
+    shared = shared.withColumn("_whole", F.lit(rows).cast("decimal(19,0)"))
+    shared = shared.withColumns({"_share": F.expr("CAST(_wanted div _whole AS BIGINT)"), "_rest": F.expr("_wanted % _whole")})
+    spare = total - shared.agg(F.sum("_share")).first()[0]
+    more = shared.orderBy(F.col("_rest").desc(), F.col(stratum)).limit(int(spare))
+    more = more.select(F.col(stratum).alias("_more"), F.lit(1).alias("_one"))
+    given = shared.join(more, F.col(stratum).eqNullSafe(F.col("_more")), "left")
+    return given.select(*[c for c in counts.columns if c != out], (F.col("_share") + F.coalesce("_one", F.lit(0))).alias(out))
 
 
 def _draw_key(key: str, seed: int) -> Column:
@@ -90,10 +90,12 @@ def _draw_key(key: str, seed: int) -> Column:
 
 def _checked_sizes(strata: DataFrame, total: int) -> DataFrame:
     """Fail when the table is too small for the draw or a class has a single row."""
-    rows = F.sum("n").over(Window.partitionBy())
-    too_few = F.raise_error(F.concat(F.lit(f"cannot draw {total} rows from "), rows.cast("string")))
-    single = F.raise_error(F.lit("a stratum has fewer than 2 rows"))
-    return strata.withColumn("n", F.when(rows < total, too_few).when(F.col("n") < 2, single).otherwise(F.col("n")))
+    rows, least = strata.agg(F.sum("n"), F.min("n")).first()
+    if (rows or 0) < total:
+        raise ValueError(f"cannot draw {total} rows from {rows or 0}")
+    if least is not None and least < 2:
+        raise ValueError("a stratum has fewer than 2 rows")
+    return strata
 
 
 def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int], seed: int) -> DataFrame:
@@ -107,7 +109,8 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     running, whole = of_stratum.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(stratum)
     prefixes = counts.withColumns({"_upto": F.sum("_n").over(running), "n": F.sum("_n").over(whole)})
 
-    strata = _checked_sizes(prefixes.filter(F.col("_upto") == F.col("n")), sum(sizes.values()))
+    strata = pin(prefixes.filter(F.col("_upto") == F.col("n")).select(stratum, "n"), "draw-strata")
+    strata = _checked_sizes(strata, sum(sizes.values()))
     quotas = strata.select(stratum, F.col("n").alias("_left"), F.lit(0).cast("bigint").alias("_end"))
     for name, size in sizes.items():
         quotas = stratum_quota(quotas, size, stratum, "_left", "_quota")
@@ -172,8 +175,8 @@ def split_holdout(
 ) -> DataFrame:
     """Split the held-out rows of a first draw again, with another seed.
 
-    Rows of the other splits keep their split. Both draws end up as two broadcast lookups
-    in one pass over the rows, so nothing is united.
+    Rows of the other splits keep their split. Both draws end up as two joins by size in one
+    pass over the rows, so nothing is united.
     """
     second = _assign(drawn, drawn.filter(F.col(out) == heldout), key, stratum, sizes, seed, "_second")
     split = F.when(F.col(out) == heldout, F.col("_second")).otherwise(F.col(out))
@@ -190,13 +193,27 @@ def assemble_splits(
 ) -> DataFrame:
     """One table of the splits train, test and validation; the last two halve the held-out rows.
 
-    The draw is stratified on the class code of ``stratum``; the code column is dropped.
+    The draw is stratified on ``stratum`` itself, whose sorted order is that of its codes. Both
+    draws work on stored keys and strata, so the texts are read once, by the last join.
     """
-    code = f"{stratum}_class_label"
-    coded = class_encode(df, stratum, code)
-    first = stratified_split(coded, key, code, {"train": train, "heldout": heldout}, seed)
+    keys = pin(df.select(key, stratum), "split-keys")
+    drawn = pin(stratified_split(keys, key, stratum, {"train": train, "heldout": heldout}, seed), "first-draw")
     halves = {"test": heldout - heldout // 2, "validation": heldout // 2}
-    return split_holdout(first, key, code, halves, seed + 1).drop(code)
+    final = pin(split_holdout(drawn, key, stratum, halves, seed + 1).select(key, "split"), "second-draw")
+    columns = [c for c in df.columns if c != "split"]
+    return df.select(*columns).join(final, key).select(*columns, "split")
+
+
+def split_overlap(df: DataFrame, content: Sequence[str] = ("instruction", "context")) -> DataFrame:
+    """Contents that stand in more than one split: their hash, rows, and the splits in order.
+
+    Hashes of the content are combined before the shuffle, so texts are not moved.
+    """
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in content]
+    hashed = df.select(F.md5(F.concat_ws("|", *parts)).alias("content"), "split")
+    splits = F.concat_ws(",", F.array_sort(F.collect_set("split")))
+    found = hashed.groupBy("content").agg(F.count("*").alias("n"), splits.alias("splits"))
+    return found.filter(F.col("splits").contains(","))
 
 
 def split_balance(df: DataFrame, stratum: str = "relevance") -> DataFrame:

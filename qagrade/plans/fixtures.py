@@ -55,7 +55,7 @@ def _generation(v: str, sample: str) -> str:
     WHEN {v} = 8 THEN concat('<think>', text, '</think><answer>', ans, '</answer><contextual-relevance>[relevant]</contextual-relevance><answer-utility>Utility:5</answer-utility><groundness>[Fully supported]')
     ELSE concat('<think>', chr(10), text, chr(10), '</think>', chr(10), '<answer>', chr(10), ans, chr(10), '</answer>', chr(10),
       '<contextual-relevance>', chr(10), '[Relevant]', chr(10), '</contextual-relevance>', chr(10),
-      '<answer-utility>', chr(10), '[Utility:', CAST(1 + (doc_id + {sample}) % 5 AS STRING), ']', chr(10), '</answer-utility>', chr(10),
+      '<answer-utility>', chr(10), '[Utility:', CASE WHEN {v} = 9 THEN '100000000000000000000' ELSE CAST(1 + (doc_id + {sample}) % 5 AS STRING) END, ']', chr(10), '</answer-utility>', chr(10),
       '<groundness>', chr(10), CASE WHEN {v} = 2 THEN '[No support/Contradictory]' ELSE '[Fully supported]' END, chr(10), '</groundness>')
   END"""
 
@@ -64,6 +64,7 @@ def _labels(v: str) -> dict[str, str]:
     return {
         "relevance": f"CASE WHEN {v} IN (1, 12) THEN '[Irrelevant]' ELSE '[Relevant]' END",
         "utility": f"CASE WHEN {v} = 11 THEN NULL WHEN {v} = 10 THEN 'Utility unknown'"
+        f" WHEN {v} = 9 THEN '[Utility:0099999999999999999998]'"
         " ELSE concat('[Utility:', CAST(doc_id % 5 + 1 AS STRING), ']') END",
         "groundness": f"CASE WHEN {v} = 1 THEN NULL WHEN {v} = 2 THEN '[No support / Contradictory]'"
         " ELSE '[Fully supported]' END",

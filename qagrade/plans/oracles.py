@@ -41,7 +41,7 @@ def _count(token: str, text: str = "generation") -> str:
 
 
 def _number(text: str) -> str:
-    return f"coalesce(TRY_CAST(nullif(regexp_extract({text}, '\\[Utility:([0-9]+)\\]', 1), '') AS BIGINT), 0)"
+    return f"coalesce(TRY_CAST(nullif(regexp_extract({text}, '\\[Utility:([0-9]+)\\]', 1), '') AS HUGEINT), 0)"
 
 
 def _same(a: str, b: str) -> str:
@@ -234,7 +234,7 @@ _STATEMENTS: dict[str, str] = {
     "filter_min_context": "SELECT row_id, context FROM parsed WHERE length(context) > 300",
     "filter_has_relevance": "SELECT row_id, relevance FROM parsed WHERE relevance IS NOT NULL",
     "filter_has_answer": "SELECT row_id, answer FROM parsed WHERE answer IS NOT NULL",
-    "class_encode": """SELECT row_id, relevance, CAST(dense_rank() OVER (ORDER BY relevance) - 1 AS INTEGER)
+    "class_encode": """SELECT row_id, relevance, CAST(dense_rank() OVER (ORDER BY relevance) - 1 AS BIGINT)
         AS relevance_class_label FROM eligible""",
     "stratum_quota": """SELECT source, n, CAST(share + CASE WHEN row_number() OVER (ORDER BY rest DESC, source)
           <= 100 - sum(share) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota
@@ -245,6 +245,10 @@ _STATEMENTS: dict[str, str] = {
     "assemble_splits": f"SELECT row_id, instruction, lang, source, {_FIVE}, split FROM assembled",
     "split_balance": """SELECT split, relevance, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY split) AS share
         FROM assembled GROUP BY split, relevance""",
+    "split_overlap": """SELECT md5(CASE WHEN context IS NULL THEN '-' ELSE length(context) || ':' || context END) AS content,
+        count(*) AS n, array_to_string(list_sort(list(DISTINCT s)), ',') AS splits
+        FROM (SELECT *, CASE row_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'test' ELSE 'validation' END AS s FROM eligible)
+        GROUP BY content HAVING count(DISTINCT s) > 1""",
     "user_prompt": "SELECT row_id, user_text AS user_prompt, CAST(context IS NULL AS INTEGER) AS missing_inputs FROM prompted",
     "chat_messages": """SELECT row_id, 0 AS position, 'system' AS role, system_text AS content FROM prompted
         UNION ALL SELECT row_id, 1, 'user', user_text FROM prompted""",
@@ -262,7 +266,7 @@ _STATEMENTS: dict[str, str] = {
     + " FROM counted",
     "tag_structure": f"SELECT {_ID}, {', '.join(V.STRUCTURE_METRICS)} FROM structured",
     "structure_score": f"SELECT {_ID}, overall_structure_score FROM valued",
-    "utility_value": f"SELECT {_ID}, x_value AS extracted_value, e_value AS expected_value FROM valued",
+    "utility_value": f"SELECT {_ID}, CAST(x_value AS VARCHAR) AS extracted_value, CAST(e_value AS VARCHAR) AS expected_value FROM valued",
     "utility_grade": f"SELECT {_ID}, utility_correct FROM scored",
     "utility_grade_reward": f"SELECT {_ID}, utility_reward AS utility_correct FROM scored",
     "relevance_grade": f"SELECT {_ID}, relevance_correct FROM scored",

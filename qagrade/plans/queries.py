@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,15 +17,27 @@ from qagrade.operators.batched import batched_apply
 from qagrade.operators.index import row_index
 from qagrade.plans import fixtures
 from qagrade.sources import io
-from qagrade.sources.scratch import pin, scratch_path
+from qagrade.sources.scratch import pin, scratch_path, use_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEY = judge.GENERATION_KEY
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="qagrade-queries-")
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The library names no folder of its own; this harness does where the session has none.
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            use_folder(_own_folder())
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -71,15 +85,11 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir)
-    for reward in (
-        rewards.reward_correctness,
-        rewards.reward_structure,
-        rewards.reward_relevance,
-        rewards.reward_groundness,
-        rewards.reward_utility,
-    ):
+    rows = fixtures.generations(spark, sf_dir)
+    for reward in (rewards.reward_structure, rewards.reward_relevance, rewards.reward_groundness, rewards.reward_utility):
         rows = reward(rows)
+    rows = rows.select(*KEY, *[c for c in rows.columns if c in rewards.REWARDS])
+    rows = rewards.reward_correctness(judge.attach_judge(rows, fixtures.verdicts(spark, sf_dir)))
     return rewards.reward_total(rows).select(*KEY, *rewards.REWARDS, "reward_total")
 
 
@@ -121,8 +131,9 @@ def sink_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "results")
-    rows = prompts.add_prompts(row_index(_parsed(spark, sf_dir), ["row_id"]))
-    io.write_jsonl(rows, path, order_by=["index"])
+    parsed = _published(spark, sf_dir)
+    rows = parsed.join(row_index(parsed.select("row_id"), ["row_id"]), "row_id")
+    io.write_jsonl(prompts.add_prompts(rows), path)
     schema = (
         "index BIGINT, row_id BIGINT, instruction STRING, context STRING, relevance STRING, answer STRING, "
         "groundness STRING, utility STRING, formatted_text STRING, expected_answer STRING, "
@@ -275,6 +286,13 @@ def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_balance(splits.assemble_splits(_eligible(spark, sf_dir), "row_id"))
 
 
+@query
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Copies in `documents` cross splits; their instruction names the document, so the context is compared.
+    texts = _eligible(spark, sf_dir).withColumn("split", F.element_at(F.array(*map(F.lit, ("train", "test", "validation"))), (F.col("row_id") % 3 + 1).cast("int")))
+    return splits.split_overlap(texts, ["context"])
+
+
 # --- prompts and result rows --------------------------------------------------------------
 
 
@@ -296,7 +314,8 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_index_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_index(_parsed(spark, sf_dir), ["source", "row_id"]).select("index", "source", "row_id")
+    keys = _parsed(spark, sf_dir).select("source", "row_id")
+    return row_index(keys, ["source", "row_id"]).select("index", "source", "row_id")
 
 
 QUERIES["row_index"] = QUERIES.pop("row_index_")
@@ -309,7 +328,7 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     generations = fixtures.generations(spark, sf_dir).select(*KEY, "generation")
-    return prompts.result_rows(_parsed(spark, sf_dir), generations)
+    return prompts.result_rows(_published(spark, sf_dir), generations)
 
 
 @query
@@ -507,7 +526,7 @@ def reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rewards.group_advantage(_totals(spark, sf_dir))
+    scored = rewards.group_advantage(pin(_totals(spark, sf_dir), "totals"))
     return scored.select(*KEY, F.round("advantage", 6).alias("advantage"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
-from qagrade.operators import batched, grade, parse, prompts, rewards, splits, summary
+from qagrade.operators import batched, grade, judge, parse, prompts, rewards, splits, summary
 from qagrade.sources import io
+from qagrade.sources.scratch import pin
 
 
 def prepare_splits(
@@ -52,8 +53,9 @@ def generate_answers(
     rows = io.read_table(spark, splits_in, split=split)
     asked = prompts.add_prompts(rows).select(key, "formatted_text")
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, generation string"
-    answers = batched.batched_apply(asked, generate, schema, batch_rows, setup)
-    io.write_jsonl(prompts.result_rows(rows, answers, key), results_out, order_by=["index"])
+    # stored before it is used: the result reads it twice, and a model must not be asked twice
+    answers = pin(batched.batched_apply(asked, generate, schema, batch_rows, setup), "generations")
+    io.write_jsonl(prompts.result_rows(rows, answers, key), results_out)
 
 
 def grade_results(results: DataFrame, verdicts: DataFrame, graded_out: str, scores_out: str) -> None:
@@ -63,6 +65,33 @@ def grade_results(results: DataFrame, verdicts: DataFrame, graded_out: str, scor
     io.write_scores(summary.score_summary(io.read_table(results.sparkSession, graded_out), "model"), scores_out)
 
 
+def judge_and_grade(
+    results: DataFrame, answers_table: str, fn: Callable[..., pd.DataFrame], graded_out: str, scores_out: str, **options: Any
+) -> None:
+    """Results to requests, answers that are still pending, verdicts, grades and scores.
+
+    ``answers_table`` keeps all answers; a second run asks nothing.
+    """
+    requests = pin(judge.judge_requests(results, **options), "requests")
+    verdicts = judge.verdicts_of(requests, judge.ask_pending(requests, answers_table, fn))
+    grade_results(results, pin(verdicts, "verdicts"), graded_out, scores_out)
+
+
+def judge_and_reward(
+    completions: DataFrame,
+    answers_table: str,
+    fn: Callable[..., pd.DataFrame],
+    out: str,
+    labels: Sequence[str] = ("relevance", "utility", "groundness"),
+) -> None:
+    """Completions to correctness requests on the whole reply, answers, verdicts and rewards."""
+    rows = rewards.completion_text(completions, labels=labels)
+    requests = judge.judge_requests(rows, on_missing="answer", whole_response=True, metrics=["answer_correctness"])
+    requests = pin(requests, "requests")
+    verdicts = judge.verdicts_of(requests, judge.ask_pending(requests, answers_table, fn))
+    io.write_table(rewards.reward_table(completions, pin(verdicts, "verdicts"), labels), out)
+
+
 def reward_completions(completions: DataFrame, verdicts: DataFrame, out: str) -> None:
     """Groups of completions to a reward table with advantages, for a trainer to read."""
     io.write_table(rewards.reward_table(completions, verdicts), out)

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_named: str | None = None
+
+
+def use_folder(path: str | None) -> None:
+    """Name the shared folder for sessions that have no ``spark.checkpoint.dir``."""
+    global _named
+    _named = path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``.
+    """A new path below ``spark.checkpoint.dir``, or below a folder that the caller has named.
 
-    A temporary folder of this machine is used only where that setting is absent, that is
-    in local tests.
+    No folder is guessed: without either it is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="qagrade-")
-    return f"{base.rstrip('/')}/qagrade-{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _named
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/qagrade-{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:
@@ -24,8 +32,17 @@ def pin(df: DataFrame, name: str) -> DataFrame:
 
     What is read later no longer depends on how it was computed, so neither a lost executor
     nor a second use computes it again. Its size is known to the optimiser, which decides
-    on that size whether to broadcast it.
+    on that size whether to broadcast it. :func:`unpin` deletes it.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    pinned = df.sparkSession.read.schema(df.schema).parquet(path)
+    pinned._pinned_at = path
+    return pinned
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete pinned tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._pinned_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,14 +29,6 @@ def test_several_columns_with_one_hot_leading_value(spark):
     assert [r["index"] for r in rows] == list(range(2000))
 
 
-def test_hot_leading_value_is_spread_over_buckets(spark):
-    df = spark.range(2000).select(F.lit("hot").alias("a"), "id")
-    from qagrade.operators import index as module
-
-    bounds = module._order_bounds(df, ["a", "id"], 20, 2000, 0)
-    assert len(bounds) == 19 and len(set(bounds)) == 19
-
-
 def test_null_sorts_first_and_empty_table(spark):
     df = spark.createDataFrame([(None,), (2,), (1,)], "k int")
     assert [(r["index"], r.k) for r in row_index(df, ["k"], rows_per_bucket=1).orderBy("index").collect()] == [(0, None), (1, 1), (2, 2)]

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
 from qagrade.sources import io
-from qagrade.sources.scratch import pin, scratch_path
+from qagrade.sources.scratch import pin, scratch_path, unpin, use_folder
 
 
 def plan(df):
@@ -56,6 +57,18 @@ def test_score_file(spark, tmp_path):
 
 
 def test_scratch_is_below_the_shared_folder(spark):
-    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
-    pinned = pin(spark.range(5).withColumn("v", F.lit("a")), "x")
-    assert pinned.count() == 5 and "Range" not in plan(pinned)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(folder)
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(bare, "x")
+    use_folder("/named")
+    assert scratch_path(bare, "x").startswith("/named/")
+    use_folder(None)
+
+
+def test_pinned_tables_can_be_deleted(spark):
+    table = pin(spark.range(3), "gone")
+    assert Path(table._pinned_at).exists()
+    unpin(table)
+    assert not Path(table._pinned_at).exists()

@@ -116,10 +116,21 @@ def test_class_encode(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("C",)], "s string")
     coded = splits.class_encode(df, "s", "code")
     assert sorted(map(tuple, coded.distinct().collect()), key=str) == [("C", 0), ("a", 1), ("b", 2), (None, None)]
-    assert coded.schema["code"].metadata == {"names": ["C", "a", "b"]}
-    # beyond the bound on names the codes are the same
-    joined = splits.class_encode(df, "s", "code", max_named=2)
-    assert {r.s: r.code for r in joined.collect()} == {"C": 0, "a": 1, "b": 2, None: None}
+    assert [(r.s, r.code) for r in splits.class_codes(df, "s", "code").orderBy("code").collect()] == [("C", 0), ("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_class_encode_is_one_way_for_any_number(spark, n):
+    df = spark.range(n).select("id", F.format_string("s%05d", F.col("id")).alias("s"), F.lit(1).alias("z"))
+    coded = splits.class_encode(df, "s", "code")
+    assert coded.dtypes == [("id", "bigint"), ("s", "string"), ("z", "int"), ("code", "bigint")]
+    assert all(r.id == r.code for r in coded.collect())
+
+
+def test_split_overlap(spark):
+    rows = [("a", "c", "train"), ("a", "c", "test"), ("b", "c", "train"), ("b", "c", "train"), (None, "c", "test")]
+    df = spark.createDataFrame(rows, "instruction string, context string, split string")
+    assert [(r.n, r.splits) for r in splits.split_overlap(df).collect()] == [(2, "test,train")]
 
 
 def test_quality_filter(spark):

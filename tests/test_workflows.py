@@ -4,6 +4,7 @@ import json
 from pathlib import Path
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from qagrade.plans import fixtures, workflows
 from qagrade.sources import io
@@ -17,10 +18,14 @@ def test_from_annotated_outputs_to_scores(spark, sf_dir, tmp_path):
         "train": 60, "test": 10, "validation": 10,
     }
 
+    called = spark.sparkContext.accumulator(0)
+
     def generate(batch: pd.DataFrame, model: str) -> pd.DataFrame:
+        called.add(len(batch))
         return batch[["row_id"]].assign(generation=f"<answer>{model}</answer>")
 
     workflows.generate_answers(spark, path["splits"], path["results"], generate, setup=lambda: "m")
+    assert called.value == 10  # once a prompt
     schema = "row_id long, index long, relevance string, utility string, groundness string, generation string"
     results = workflows.named_results(spark, path["results"], "m", schema)
     assert sorted(r["index"] for r in results.collect()) == list(range(10))
@@ -30,6 +35,25 @@ def test_from_annotated_outputs_to_scores(spark, sf_dir, tmp_path):
     scores = json.loads(line)
     assert (scores["model"], scores["n"], scores["answer_structure"], scores["overall_structure_score"]) == ("m", 10, 1.0, 0.2)
 
+    asked = spark.sparkContext.accumulator(0)
+
+    def lengths(batch: pd.DataFrame) -> pd.DataFrame:
+        asked.add(len(batch))
+        return batch[["request_id", "metric"]].assign(score=1.0)
+
+    for run in ("one", "two"):
+        workflows.judge_and_grade(
+            results.withColumns({"instruction": results.relevance, "context": results.relevance, "answer": results.relevance}),
+            str(tmp_path / "answers"), lengths, str(tmp_path / f"graded-{run}"), str(tmp_path / f"scores-{run}"),
+        )
+    assert asked.value == spark.read.parquet(str(tmp_path / "answers")).count() > 0
+    completions = fixtures.completions(spark, sf_dir).withColumns(
+        {c: F.col("row_id").cast("string") for c in ("instruction", "context", "answer")}
+    )
+    workflows.judge_and_reward(completions, str(tmp_path / "answers"), lengths, str(tmp_path / "judged-rewards"))
+    assert spark.read.parquet(str(tmp_path / "judged-rewards")).where("reward_correctness = 20").count() == 8 * completions.count() / 2
+    assert asked.value == spark.read.parquet(str(tmp_path / "answers")).count()
+
     workflows.reward_completions(fixtures.completions(spark, sf_dir), fixtures.verdicts(spark, sf_dir), path["rewards"])
     table = spark.read.parquet(path["rewards"])
     assert table.count() == 8 * spark.read.parquet(f"{sf_dir}/documents.parquet").count()
