@@ -135,10 +135,10 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     return pin(last_rows.groupBy(stratum).agg(*last), "split-ends")
 
 
-def _assign(
-    df: DataFrame, drawn_from: DataFrame, key: str, stratum: str, sizes: Mapping[str, int], seed: int, out: str
+def _place(
+    df: DataFrame, ends: DataFrame, key: str, stratum: str, sizes: Mapping[str, int], seed: int, out: str
 ) -> DataFrame:
-    """Add to ``df`` the split each row would fall in by the draw from ``drawn_from``.
+    """Add to ``df`` the split each row falls in by the ends of a draw.
 
     The ends are a pinned table of one row per class: Spark broadcasts it when its size
     allows, and otherwise shuffles two plain inputs, of which it splits hot partitions.
@@ -146,7 +146,7 @@ def _assign(
     split = F.lit(None).cast("string")
     for name in reversed(sizes):
         split = F.when(_draw_key(key, seed) <= F.col(f"_last_{name}"), name).otherwise(split)
-    placed = df.join(_split_ends(drawn_from, key, stratum, sizes, seed), stratum)
+    placed = df.join(ends, stratum)
     return placed.select(*[c for c in df.columns if c != out], split.alias(out))
 
 
@@ -161,7 +161,8 @@ def stratified_split(
     same seed draws the same rows whatever the partitioning. Rows without a stratum are
     not drawn.
     """
-    return _assign(df, df, key, stratum, sizes, seed, out).filter(F.col(out).isNotNull())
+    ends = _split_ends(df, key, stratum, sizes, seed)
+    return _place(df, ends, key, stratum, sizes, seed, out).filter(F.col(out).isNotNull())
 
 
 def split_holdout(
@@ -178,7 +179,14 @@ def split_holdout(
     Rows of the other splits keep their split. Both draws end up as two joins by size in one
     pass over the rows, so nothing is united.
     """
-    second = _assign(drawn, drawn.filter(F.col(out) == heldout), key, stratum, sizes, seed, "_second")
+    ends = _split_ends(drawn.filter(F.col(out) == heldout), key, stratum, sizes, seed)
+    return _halved(drawn, ends, key, stratum, sizes, seed, heldout, out)
+
+
+def _halved(
+    drawn: DataFrame, ends: DataFrame, key: str, stratum: str, sizes: Mapping[str, int], seed: int, heldout: str, out: str
+) -> DataFrame:
+    second = _place(drawn, ends, key, stratum, sizes, seed, "_second")
     split = F.when(F.col(out) == heldout, F.col("_second")).otherwise(F.col(out))
     return second.withColumn(out, split).drop("_second").filter(F.col(out).isNotNull())
 
@@ -194,14 +202,17 @@ def assemble_splits(
     """One table of the splits train, test and validation; the last two halve the held-out rows.
 
     The draw is stratified on ``stratum`` itself, whose sorted order is that of its codes. Both
-    draws work on stored keys and strata, so the texts are read once, by the last join.
+    draws work on stored keys and strata, so the texts are read once, by the last pass, and are
+    not moved.
     """
     keys = pin(df.select(key, stratum), "split-keys")
-    drawn = pin(stratified_split(keys, key, stratum, {"train": train, "heldout": heldout}, seed), "first-draw")
+    sizes = {"train": train, "heldout": heldout}
     halves = {"test": heldout - heldout // 2, "validation": heldout // 2}
-    final = pin(split_holdout(drawn, key, stratum, halves, seed + 1).select(key, "split"), "second-draw")
-    columns = [c for c in df.columns if c != "split"]
-    return df.select(*columns).join(final, key).select(*columns, "split")
+    ends = _split_ends(keys, key, stratum, sizes, seed)
+    held = _place(keys, ends, key, stratum, sizes, seed, "split").filter(F.col("split") == "heldout")
+    second = _split_ends(held, key, stratum, halves, seed + 1)
+    drawn = _place(df, ends, key, stratum, sizes, seed, "split").filter(F.col("split").isNotNull())
+    return _halved(drawn, second, key, stratum, halves, seed + 1, "heldout", "split")
 
 
 def split_overlap(df: DataFrame, content: Sequence[str] = ("instruction", "context")) -> DataFrame:
