@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from qagrade.llm.common import narrow
+from qagrade.llm.common import narrow, worker_cache
 
 #: Entries of each half of a memo; when the new half is full it becomes the old one.
 MEMO_ENTRIES = 150_000
 _BITS = 20
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = worker_cache()
 
 
 def read_ranks(path: str) -> list[bytes]:

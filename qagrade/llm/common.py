@@ -1,6 +1,6 @@
 """Shared helpers: tables in the shared folder, Arrow text buffers, words and their hashes.
 
-Texts are handled in slices of about a megabyte with numpy, inside tasks that Spark deals out.
+Texts are handled in slices of about half a megabyte with numpy, inside tasks that Spark deals out.
 A NULL text is the empty text everywhere. Word identities are 64-bit hashes of the bytes.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Polynomial hashes modulo 2^64 are safe for short strings only; longer words get a digest.
 LONG_WORD = 512
 
@@ -59,7 +59,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def _powers_for(n: int, base: int) -> np.ndarray:
-    return _powers(max(1 << max(1, n - 1).bit_length(), 1 << 21), base)
+    return _powers(max(1 << max(1, n - 1).bit_length(), 1 << 20), base)
 
 
 # --- session and tables -------------------------------------------------------------------
@@ -128,6 +128,15 @@ def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A table that a worker keeps between tasks, until it gets texts for another operator."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
 # --- texts ---------------------------------------------------------------------------------
 
 
@@ -147,6 +156,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets from 0, bytes): whole texts, about `limit` bytes at once."""
+    for cache in _CACHES:
+        cache.clear()
     offsets, data = buffers(column)
     n, row = len(offsets) - 1, 0
     while row < n:

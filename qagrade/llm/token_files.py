@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qagrade.llm.common import discard, narrow, stored
+from qagrade.llm.common import discard, narrow, stored, worker_cache
 
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
@@ -39,7 +39,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _MARK = "\x7f"
 #: Signs that a tokenizer parts from the letter or digit before them.
 _SIGNS = ".,;:!?*$%&#|"
-_WORKER: dict[str, CachedTokenizer] = {}
+_WORKER: dict[str, CachedTokenizer] = worker_cache()
 
 
 # --- ids -----------------------------------------------------------------------------------
