@@ -335,7 +335,13 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = classes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     open_ = classes.join(several, "key").withColumn("parts", F.ceil(F.col("many") / GROUP).cast("int"))
     open_ = open_.withColumn("group", F.xxhash64("key", F.pmod("ctx", F.col("parts"))))
-    told = stored(_compared(_with_bytes(texts, open_)), "strings")
+    open_ = stored(open_.drop("many"), "open")
+    release(spark)
+    filled = stored(_with_bytes(texts, open_), "filled", compression="zstd")
+    discard(open_)
+    release(spark)
+    told = stored(_compared(filled), "strings")
+    discard(filled)
     release(spark)
     alone = told.where("hash IS NULL").select("ctx", "strings")
     combined = told.where("hash IS NOT NULL")
