@@ -36,7 +36,7 @@ PERCENT = 85
 SKETCH_BITS = 22
 SEGMENT_BITS = 16
 HUBS = 3
-SHARED = 4  #: prefix shingles that similar sets have in common at least
+SHARED = 8  #: prefix shingles that similar sets have in common at least
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
