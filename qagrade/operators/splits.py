@@ -60,16 +60,18 @@ def class_encode(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def stratum_quota(
-    counts: DataFrame, total: int, stratum: str = "relevance", n: str = "n", out: str = "quota"
+    counts: DataFrame, total: int, stratum: str = "relevance", n: str = "n", out: str = "quota", rows: int | None = None
 ) -> DataFrame:
     """Split ``total`` rows over the strata in proportion to their sizes ``n``.
 
     Largest remainder in whole numbers: everyone gets the rounded-down share, what is left
     goes to the largest remainders, equal ones in label order. ``counts`` has one row per
     class and may have very many: sums are combined before their shuffle, and the classes
-    that get one more are a distributed top-k.
+    that get one more are a distributed top-k. ``rows`` is the sum of the sizes, for callers
+    that know it.
     """
-    rows = counts.agg(F.sum(F.col(n).cast("decimal(38,0)"))).first()[0] or 0
+    if rows is None:
+        rows = counts.agg(F.sum(F.col(n).cast("decimal(38,0)"))).first()[0] or 0
     if not rows:
         return counts.withColumn(out, F.lit(0).cast("bigint"))
     counts = counts.drop(out)
@@ -77,6 +79,8 @@ def stratum_quota(
     shared = shared.withColumn("_whole", F.lit(rows).cast("decimal(19,0)"))
     shared = shared.withColumns({"_share": F.expr("CAST(_wanted div _whole AS BIGINT)"), "_rest": F.expr("_wanted % _whole")})
     spare = total - shared.agg(F.sum("_share")).first()[0]
+    if not spare:
+        return shared.select(*counts.columns, F.col("_share").alias(out))
     more = shared.orderBy(F.col("_rest").desc(), F.col(stratum)).limit(int(spare))
     more = more.select(F.col(stratum).alias("_more"), F.lit(1).alias("_one"))
     given = shared.join(more, F.col(stratum).eqNullSafe(F.col("_more")), "left")
@@ -88,14 +92,14 @@ def _draw_key(key: str, seed: int) -> Column:
     return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("hash"), F.col(key).alias("key"))
 
 
-def _checked_sizes(strata: DataFrame, total: int) -> DataFrame:
-    """Fail when the table is too small for the draw or a class has a single row."""
+def _checked_rows(strata: DataFrame, total: int) -> int:
+    """All rows; an error when there are too few for the draw or a class has a single one."""
     rows, least = strata.agg(F.sum("n"), F.min("n")).first()
     if (rows or 0) < total:
         raise ValueError(f"cannot draw {total} rows from {rows or 0}")
     if least is not None and least < 2:
         raise ValueError("a stratum has fewer than 2 rows")
-    return strata
+    return rows or 0
 
 
 def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int], seed: int) -> DataFrame:
@@ -110,10 +114,12 @@ def _split_ends(df: DataFrame, key: str, stratum: str, sizes: Mapping[str, int],
     prefixes = counts.withColumns({"_upto": F.sum("_n").over(running), "n": F.sum("_n").over(whole)})
 
     strata = pin(prefixes.filter(F.col("_upto") == F.col("n")).select(stratum, "n"), "draw-strata")
-    strata = _checked_sizes(strata, sum(sizes.values()))
+    rows = _checked_rows(strata, sum(sizes.values()))
     quotas = strata.select(stratum, F.col("n").alias("_left"), F.lit(0).cast("bigint").alias("_end"))
     for name, size in sizes.items():
-        quotas = stratum_quota(quotas, size, stratum, "_left", "_quota")
+        # stored, so that what follows does not compute it again
+        quotas = pin(stratum_quota(quotas, size, stratum, "_left", "_quota", rows), "quotas")
+        rows -= size
         quotas = quotas.withColumn(f"_end_{name}", F.col("_end") + F.col("_quota"))
         quotas = quotas.withColumns({"_left": F.col("_left") - F.col("_quota"), "_end": F.col(f"_end_{name}")})
     ends = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(f"_end_{name}").alias("_target")) for name in sizes])
