@@ -149,12 +149,9 @@ def _places_fit(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def _sharing(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups `x`, `y` whose prefixes share enough."""
-    side = lambda x: prefixes.select(F.col("grp").alias(x), F.col("n").alias(f"{x}n"), F.col("prefix").alias(f"{x}p"))
-    rows = pairs.join(side("x"), "x").join(side("y"), "y")
-    least = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("xn", "yn") / 100))
-    return rows.where(F.size(F.array_intersect("xp", "yp")) >= least).select("x", "y")
+def _least_shared(limit: int, percent: int) -> Column:
+    """Prefix shingles that similar sets of sizes xn and yn share at least, up to `limit`."""
+    return F.least(F.lit(limit), F.ceil(percent * F.greatest("xn", "yn") / 100))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -192,15 +189,13 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     postings = stored(tokens.join(several, "token").distinct(), "postings")
     release(spark)
     leads = stored(groups.select("grp", F.col("lead.set").alias("set")), "leads")
-    prefixes = real.join(heads, ["grp", "doc_id", "set"], "left_semi").select("grp", "n", "prefix").dropDuplicates(["grp"])
     # sets of one group meet in its lead, groups of a shingle in its hubs
     inner = members.join(leads.select("grp", F.col("set").alias("b")), "grp").where(F.col("set") != F.col("b"))
-    stars = _sharing(_stars(postings, percent), prefixes, percent)
-    stars = stars.join(leads.select(F.col("grp").alias("x"), F.col("set").alias("a")), "x")
+    stars = _stars(postings, percent).join(leads.select(F.col("grp").alias("x"), F.col("set").alias("a")), "x")
     stars = stars.join(leads.select(F.col("grp").alias("y"), F.col("set").alias("b")), "y").select("a", "b")
     links = _verified(inner.select(F.col("set").alias("a"), "b").union(stars).distinct(), docs, members, k, percent)
     labels = components(links)
-    rest = _all_pairs(_apart(postings, members, labels), prefixes, members, labels, percent)
+    rest = _all_pairs(_apart(postings, members, labels), members, labels, percent)
     links = stored(links.union(_verified(rest, docs, members, k, percent)), "links")
     labels = components(links)
     named = real.join(labels, real["set"] == labels["node"], "left").select(
@@ -235,22 +230,26 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     ends = postings.select("token", F.col("grp").alias("hub"), F.col("n").alias("yn"), F.col("at").alias("yat"))
     rows = postings.select("token", "grp", F.col("n").alias("xn"), F.col("at").alias("xat"))
     rows = rows.join(hubs.join(ends, ["token", "hub"]), "token").where(F.col("grp") != F.col("hub"))
-    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit("x", "y", percent))
-    return rows.select(F.col("grp").alias("x"), F.col("hub").alias("y")).distinct()
+    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent))
+    # near copies have the same hub for most shingles; what this leaves out is paired later
+    pairs = rows.groupBy(F.col("grp").alias("x"), F.col("hub").alias("y"), "xn", "yn").count()
+    return pairs.where(F.col("count") >= _least_shared(SHARED // 2, percent)).select("x", "y")
 
 
-def _all_pairs(apart: DataFrame, prefixes: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(apart: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets of different components whose groups share a prefix shingle, or are one."""
     x = apart.select("token", F.col("grp").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
     y = apart.select("token", F.col("grp").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
     rows = x.join(y, "token").where(F.col("x") < F.col("y"))
     rows = rows.where(~((F.col("xlo") == F.col("xhi")) & (F.col("xlo") == F.col("ylo")) & (F.col("ylo") == F.col("yhi"))))
-    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit("x", "y", percent))
+    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent))
     named = members.join(labels, members["set"] == labels["node"], "left").select("grp", "set", F.coalesce("label", "set").alias("label"))
     named = stored(named, "named")
     one = named.select(F.col("grp").alias("x"), F.col("set").alias("a"), F.col("label").alias("la"))
     two = named.select(F.col("grp").alias("y"), F.col("set").alias("b"), F.col("label").alias("lb"))
-    pairs = _sharing(rows.select("x", "y").distinct(), prefixes, percent)
+    # groups of different components have all shingles that they share among these
+    pairs = rows.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("shared"), F.max(_places_fit("x", "y", percent)).alias("fit"))
+    pairs = pairs.where(F.col("fit") & (F.col("shared") >= _least_shared(SHARED, percent))).select("x", "y")
     across = pairs.join(one, "x").join(two, "y")
     mixed = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("grp").alias("x"))
     within = one.join(mixed, "x").join(two, one["x"] == two["y"]).where(F.col("a") < F.col("b"))
