@@ -99,11 +99,11 @@ def new_table(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}-{name}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
     path = new_table(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

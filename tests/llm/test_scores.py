@@ -144,6 +144,33 @@ def test_tree_is_a_distribution_and_mixes_all_depths():
         assert math.isclose(got, want, rel_tol=1e-4), (text, got, want)
 
 
+def test_scores_have_every_context_seen_twice(spark, monkeypatch):
+    """More than 6144 contexts of a depth, several chunks and blocks, against the tree in one memory."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghi ü"), rng.integers(0, 6000))) for _ in range(30)] + ["abcab", "", None]
+    monkeypatch.setattr(language_model, "CHUNK", 20_000)
+    monkeypatch.setattr(language_model, "BLOCK_ROWS", 5_000)
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    tree = tree_of([t for t, h in zip(texts, held, strict=True) if not h], 5)
+    full = {}
+    for t, h in zip(texts, held, strict=True):
+        x = b"\xff" * 5 + (t or "").encode() + b"\xff"
+        for p in range(5, len(x)) if not h else ():
+            for d in range(6):
+                table = full.setdefault((d, int.from_bytes(x[p - d : p], "big")), np.zeros(256, np.int64))
+                table[x[p]] += 1
+    kept = [sorted(c for (e, c), v in full.items() if e == d and (not d or v.sum() > 1)) for d in range(6)]
+    assert max(map(len, kept)) > 6144 and len(tree.logp) > sum(map(len, kept))
+    tables = [np.array([full[d, c] for c in own]) for d, own in enumerate(kept)]
+    tree = language_model.ContextTree.of(5, [np.array(c, np.uint64) for c in kept], tables)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = language_model.scored(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        assert math.isclose(r.score, tree.log10(np.array([0, len(data)]), data)[0], rel_tol=1e-5)
+
+
 def test_language_model_of_odd_tables(empty, odd):
     assert language_model.scored(empty).count() == 0
     assert language_model.scored(odd).count() == odd.count()
