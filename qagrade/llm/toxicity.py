@@ -2,7 +2,7 @@
 
 Labels are of whole texts. A sentence's features are its words (A-Z lowered, signs at the ends
 off) and their first 4, 6 and 7 bytes, hashed. Of a bounded sample of labelled rows
-(`TRAINING_ROWS`, those of least id hash) the `FEATURES` features that most speak for the label are
+(`TRAINING_ROWS`, those of least id hash) the `FEATURES` features that most speak for or against the label are
 chosen by the G statistic of their document counts, counted in Spark; a logistic weight for each and one bias
 are fitted on the driver by the likelihood of the labels under
 1 - product over sentences of (1 - sigmoid(weights)). Then every text is scored and its
@@ -117,7 +117,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 
 
 def telling_features(train: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Hashes of the features that most speak for the label by their document counts, sorted."""
+    """Hashes of the features that most speak for or against the label by their document counts, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +155,7 @@ def telling_features(train: DataFrame, features: int = FEATURES) -> np.ndarray:
     for seen, total in (("bad", bad), ("good", good)):
         share = total / (bad + good)
         gain = gain + term(F.col(seen), n * share) + term(total - F.col(seen), (bad + good - n) * share)
-    kept = counts.where((n >= MIN_ROWS) & (F.col("bad") * good > F.col("good") * bad)).orderBy(F.desc(gain), "feature").limit(features)
+    kept = counts.where((n >= MIN_ROWS)).orderBy(F.desc(gain), "feature").limit(features)
     return np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64).view(np.uint64))
 
 

@@ -249,6 +249,14 @@ def test_toxicity_never_sees_held_out_labels(spark):
     assert scores[0] == pytest.approx(scores[1])
 
 
+def test_features_speak_for_and_against(spark):
+    rows = [("grim dusk", 1)] * 20 + [("calm dusk", 0)] * 20 + [("dusk", i % 2) for i in range(20)]
+    known = toxicity.telling_features(spark.createDataFrame(rows, "text string, toxic long"))
+    for word in (b"grim", b"calm"):
+        data = np.frombuffer(word, np.uint8)
+        assert toxicity.span_hashes(data, np.array([0]), np.array([4]))[0] in known
+
+
 def test_toxicity_of_odd_tables(docs, empty, odd, labels):
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} <= {0.0} | {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect() if r.score < 1e-9}
