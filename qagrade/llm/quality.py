@@ -57,15 +57,16 @@ def _grams(tokens: Column, buckets: int):
     )
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Distinct ids of at most `rows` trusted texts, those of least hash."""
+def trusted_ids(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
+    """Distinct ids of at most `rows` trusted texts, those of least hash of the ids that have a text."""
     good = narrow(labels, "doc_id", "quality").where("quality = 1 AND doc_id IS NOT NULL")
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    good = good.select("doc_id").distinct().join(narrow(docs, "doc_id"), "doc_id", "left_semi")
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TARGET_ROWS) -> list[float]:
     """Log ratio of each bucket. All texts are counted; one row a bucket comes to the driver."""
-    trusted = F.broadcast(trusted_ids(labels, rows).withColumn("trusted", F.lit(1)))  # `rows` ids at most
+    trusted = F.broadcast(trusted_ids(docs, labels, rows).withColumn("trusted", F.lit(1)))  # `rows` ids at most
     grams = narrow(docs, "doc_id", "text").join(trusted, "doc_id", "left").select("trusted", tokens(F.col("text")).alias("t"))
     both = _grams(F.col("t"), buckets)
     pairs = F.transform("t", lambda x, i: F.array(*both(x, i)))

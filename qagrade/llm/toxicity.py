@@ -2,7 +2,7 @@
 
 Labels are of whole texts. A sentence's features are its words (A-Z lowered, signs at the ends
 off) and their first 4, 6 and 7 bytes, hashed. Of a bounded sample of labelled rows
-(`TRAINING_ROWS`, those of least id hash) the `FEATURES` features that most speak for or against the label are
+(`TRAINING_ROWS`, those of least id hash of the labelled documents) the `FEATURES` features that most speak for or against the label are
 chosen by the G statistic of their document counts, counted in Spark; a logistic weight for each and one bias
 are fitted on the driver by the likelihood of the labels under
 1 - product over sentences of (1 - sigmoid(weights)). Then every text is scored and its
@@ -10,7 +10,7 @@ sentences above `OFFENDING` are located.
 
 Defined results: NULL and empty texts have no sentence and score 0; rows repeat as they are; only
 `doc_id` and `text` of the documents are read; labels that are NULL do not train, an id labelled
-twice counts as toxic if any of its labels is; without any training row every score is 0.
+twice counts as toxic if any of its labels is, equal texts of one id train once; without any training row every score is 0.
 """
 
 from __future__ import annotations
@@ -111,9 +111,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     """The texts and labels (`toxic` 0 or 1) of the bounded sample."""
     own = narrow(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = narrow(docs, "doc_id", "text").withColumn("which", F.xxhash64("text"))
+    # the bound is of documents that are there, one row an id and text
+    own = texts.select("doc_id", "which").join(own, "doc_id").distinct()
+    own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "which").limit(rows)
     # `rows` rows at most, so the broadcast is bounded
-    return narrow(docs, "doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
+    found = texts.join(F.broadcast(own), ["doc_id", "which"])
+    return found.groupBy("doc_id", "which").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def telling_features(train: DataFrame, features: int = FEATURES) -> np.ndarray:

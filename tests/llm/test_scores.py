@@ -257,6 +257,16 @@ def test_features_speak_for_and_against(spark):
         assert toxicity.span_hashes(data, np.array([0]), np.array([4]))[0] in known
 
 
+def test_samples_are_bounded_by_the_documents_at_hand(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][5:8]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] * 4 + [(ids[0], "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(400)], "doc_id long, toxic int, quality int")
+    rows = toxicity.training_rows(docs, labels, 4).collect()
+    assert sorted(map(tuple, rows)) == sorted([*((f"text {i}", i % 2) for i in ids), ("other", ids[0] % 2)])
+    assert toxicity.training_rows(docs, labels, 1).count() == 1
+    assert {r.doc_id for r in quality.trusted_ids(docs, labels, 3).collect()} == set(ids)
+
+
 def test_toxicity_of_odd_tables(docs, empty, odd, labels):
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} <= {0.0} | {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect() if r.score < 1e-9}
