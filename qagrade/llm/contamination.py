@@ -5,7 +5,8 @@ For each class a document is cut into windows of 2^(c+2) shingles that overlap b
 passage as long as any item of the class lies within one window and makes up a good part of it.
 Window and item get a one-permutation MinHash of `BINS` bins (an item's shingle is the least of
 its bin in the window with the odds of their Jaccard similarity); a bin with equal values makes a
-candidate. Candidates are verified exactly: the share of the item's distinct shingles that occur
+candidate. What that misses by chance is found exactly: an item of n shingles of which m have to be
+found has n - m + 1 that cannot all be absent, so the least n - m + 1 are looked up in every text. Candidates are verified exactly: the share of the item's distinct shingles that occur
 anywhere in the document has to reach `CONTAINMENT`.
 
 The signatures of a block of at most `BLOCK_SHINGLES` item shingles are sent to the tasks; larger
@@ -60,9 +61,11 @@ class ItemBlock:
     sets: list[np.ndarray]
     short: dict[int, list[int]]  #: hash of a whole short item to its numbers
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    least: tuple[np.ndarray, np.ndarray, np.ndarray]  #: shingles of which a matching text has one
 
     @staticmethod
-    def of(ids: list, sets: list[np.ndarray], short: list[bool]) -> ItemBlock:
+    def of(ids: list, sets: list[np.ndarray], short: list[bool], containment: float) -> ItemBlock:
+        least: list[tuple[int, np.ndarray]] = []
         by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
         brief: dict[int, list[int]] = {}
         for i, own in enumerate(sets):
@@ -70,15 +73,19 @@ class ItemBlock:
                 brief.setdefault(int(own[0]), []).append(i)
             elif len(own):
                 by_class.setdefault(size_class(len(own)), []).append((i, minima(own[None, :])[1]))
-        classes = {}
-        for c, own in by_class.items():
-            value = np.concatenate([v for _, v in own])
-            item = np.concatenate([np.full(len(v), i) for i, v in own])
-            by = np.argsort(value, kind="stable")
-            screen = np.zeros(1 << _FILTER_BITS, bool)
-            screen[value & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            classes[c] = (value[by], item[by], screen)
-        return ItemBlock(ids, sets, brief, classes)
+                wanted = int(np.ceil(containment * len(own) - 1e-9))
+                least.append((i, own[: len(own) - wanted + 1]))
+        return ItemBlock(ids, sets, brief, {c: _lookup(own) for c, own in by_class.items()}, _lookup(least))
+
+
+def _lookup(own: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted values of items, the item of each, and a screen of the values' low bits."""
+    value = np.concatenate([np.zeros(0, np.uint64), *[v for _, v in own]])
+    item = np.concatenate([np.zeros(0, np.int64), *[np.full(len(v), i) for i, v in own]])
+    by = np.argsort(value, kind="stable")
+    screen = np.zeros(1 << _FILTER_BITS, bool)
+    screen[value & np.uint64((1 << _FILTER_BITS) - 1)] = True
+    return value[by], item[by], screen
 
 
 def _half_windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +104,14 @@ def candidates(block: ItemBlock, words: Words) -> np.ndarray:
     at, hashes = words.windows(SHINGLE)
     first = np.searchsorted(at, words.first, "left")
     found = [np.zeros((0, 2), np.int64)]
-    for c, (value, item, screen) in block.classes.items():
+    for c, (value, item, screen) in ((None, block.least), *block.classes.items()):
         if not len(hashes):
             break
-        text, windows = _half_windows(hashes, first, 4 << c)
-        row, own = minima(windows)
+        if c is None:
+            row, own, text = at, hashes, words.doc
+        else:
+            text, windows = _half_windows(hashes, first, 4 << c)
+            row, own = minima(windows)
         maybe = np.flatnonzero(screen[own & np.uint64((1 << _FILTER_BITS) - 1)])
         own, doc = own[maybe], text[row[maybe]]
         low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
@@ -114,7 +124,7 @@ def candidates(block: ItemBlock, words: Words) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def item_blocks(benchmark: DataFrame, limit: int = BLOCK_SHINGLES) -> Iterator[ItemBlock]:
+def item_blocks(benchmark: DataFrame, containment: float, limit: int = BLOCK_SHINGLES) -> Iterator[ItemBlock]:
     """The items in blocks of about `limit` shingles, one block on the driver at a time."""
     ids: list = []
     sets: list[np.ndarray] = []
@@ -129,10 +139,10 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_SHINGLES) -> Iterator[I
         short.append(0 < len(words) < SHINGLE)
         total += len(own)
         if total >= limit:
-            yield ItemBlock.of(ids, sets, short)
+            yield ItemBlock.of(ids, sets, short, containment)
             ids, sets, short, total = [], [], [], 0
     if ids:
-        yield ItemBlock.of(ids, sets, short)
+        yield ItemBlock.of(ids, sets, short, containment)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -144,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     schema = f"doc_id {doc_kind}, item_id {item_kind}, n_item long, n_shared long, containment double"
     texts, item_type = narrow(docs, "doc_id", "text"), to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, containment):
         own = texts.mapInArrow(_search(spark.sparkContext.broadcast(block), containment, item_type), schema)
         out = own if out is None else out.unionByName(own)
     return spark.createDataFrame([], schema) if out is None else out
@@ -197,7 +207,7 @@ def _search(shared, containment: float, item_type: pa.DataType):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of `docs`, with all columns, whose texts hold no test item."""
     at = docs.columns.index("text")
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, containment):
         docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), containment, at), docs.schema)
     return docs
 

@@ -202,6 +202,17 @@ def test_contamination(docs, by_id, benchmark, block, monkeypatch):
     assert {r.doc_id for r in left.collect()} == set(by_id) - {i for i, _ in got}
 
 
+def test_contamination_finds_every_small_item(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(10)]
+    items = [" ".join(t.split()[p : p + rng.randint(5, 20)]) for t in texts for p in range(0, 360, 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, benchmark).collect()}
+    assert got == contained(dict(enumerate(texts)), benchmark) and len(got) == len(items)
+
+
 def test_contamination_of_odd_tables(docs, empty, odd, benchmark):
     assert contamination.contaminated(empty, benchmark).count() == 0
     assert contamination.contaminated(docs, benchmark.limit(0)).count() == 0
