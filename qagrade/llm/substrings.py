@@ -104,12 +104,14 @@ def compacted_paths(edges: DataFrame) -> DataFrame:
     joined = table.join(previous, "before", "left")
     on = (F.col("before") == F.col("other")) & (F.col("before") != 0) & (F.col("times") == F.col("times_before"))
     first = ~F.coalesce(on, F.lit(False))
-    along = Window.partitionBy("source_doc").orderBy("source_at")
-    flagged = joined.select("edge", "source_doc", "source_at", first.alias("first"))
-    # the source place of each edge of a path follows that of the one before; a gap begins anew
+    along = Window.partitionBy("source_doc").orderBy("source_at", "edge")
+    flagged = joined.select("edge", "before", "source_doc", "source_at", first.alias("first"))
+    # the source place of each edge of a path follows that of the one before; a gap begins anew, and
+    # so does an edge that comes after one of another text of that id
     gap = F.col("source_at") - F.coalesce(F.lag("source_at").over(along), F.lit(-2)) != 1
-    flagged = flagged.withColumn("begins", (F.col("first") | gap).cast("int"))
-    numbered = flagged.withColumn("path", F.sum("begins").over(along))
+    other = F.coalesce(F.lag("edge").over(along) != F.col("before"), F.lit(True))
+    flagged = flagged.withColumn("begins", (F.col("first") | gap | other).cast("int"))
+    numbered = flagged.withColumn("path", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     paths = numbered.groupBy("source_doc", "path").agg(
         F.min_by("edge", "source_at").alias("edge"),
         F.max_by("edge", "source_at").alias("last"),

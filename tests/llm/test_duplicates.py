@@ -113,6 +113,12 @@ def test_substrings_of_a_family(spark):
     assert got == cut_words(by_id)
 
 
+def test_substrings_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, "x " + a), (3, "y z " + b)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.digests(docs).collect()} == {1: (60, 0), 2: (61, 60), 3: (62, 60)}
+
+
 def cut_bytes(by_id):
     least = {}
     for i in sorted(by_id):
