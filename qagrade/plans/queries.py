@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,25 +15,19 @@ from qagrade.operators import grade, judge, parse, prompts, rewards, splits, sum
 from qagrade.operators.batched import batched_apply
 from qagrade.operators.index import row_index
 from qagrade.plans import fixtures
+from qagrade.plans.harness import ensure_folder
 from qagrade.sources import io
-from qagrade.sources.scratch import pin, scratch_path, use_folder
+from qagrade.sources.scratch import pin, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEY = judge.GENERATION_KEY
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="qagrade-queries-")
-
-
 def query(fn: Query) -> Query:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # The library names no folder of its own; this harness does where the session has none.
-        if not spark.conf.get("spark.checkpoint.dir", None):
-            use_folder(_own_folder())
+        ensure_folder(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
