@@ -10,7 +10,6 @@ import functools
 import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -21,6 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qagrade.plans.harness import ensure_folder
+from qagrade.sources.scratch import pin, unpin
+
 #: Words are runs of anything but the space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 19
@@ -81,42 +83,17 @@ def ship(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     ship(spark)
+    ensure_folder(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not getattr(context, "_qagrade_folder", None):
-            context._qagrade_folder = f"file://{tempfile.mkdtemp(prefix='qagrade-llm-')}"
-        folder = context._qagrade_folder
-    return folder
-
-
-def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}-{name}"
-
-
 def stored(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there."""
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.options(compression=compression, **options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
+    return pin(df, f"llm-{name}", compression=compression, **options)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_stored_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+#: Delete stored tables that no later step reads; what is left goes with the operator's scope.
+discard = unpin
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:

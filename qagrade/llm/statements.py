@@ -46,4 +46,55 @@ SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
 
-SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_substrings": OP4, "op5_contamination": OP5}
+#: CRC-32 of the decimal id, before its last complement.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+OP11 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND xor({_CRC}, 4294967295::BIGINT) % 5 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS changed
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src FROM leaves),
+nodes(src, lvl, pos, h) AS (
+  SELECT src, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT src, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM nodes) WHERE n > 1 GROUP BY src, lvl, pos // 16),
+subroots AS (SELECT src, arg_max(h, lvl) AS h, max(lvl) AS height FROM nodes GROUP BY src),
+tops(lvl, pos, h) AS (
+  SELECT 0, src, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY lvl, pos // 16),
+summit AS (SELECT arg_max(h, lvl) AS root, max(lvl) AS height FROM tops),
+runs AS (SELECT src, lvl, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY ALL),
+topruns AS (SELECT lvl, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM tops GROUP BY ALL),
+steps AS (
+  SELECT p.doc_id, p.leaf, p.changed, p.src, p.pos, r.lvl, r.hs, (p.pos // (16 ** r.lvl)::BIGINT) % 16 AS i
+  FROM placed p JOIN subroots s USING (src) JOIN runs r ON r.src = p.src AND r.lvl < s.height AND r.run = p.pos // (16 ** (r.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.changed, p.src, p.pos, s.height + r.lvl, r.hs, (p.src // (16 ** r.lvl)::BIGINT) % 16
+  FROM placed p JOIN subroots s USING (src) JOIN topruns r ON r.run = p.src // (16 ** (r.lvl + 1))::BIGINT, summit WHERE r.lvl < summit.height),
+sides AS (SELECT src, pos, lvl, array_to_string(hs[1:i], '') AS l, array_to_string(hs[i + 2:16], '') AS r FROM steps),
+proofs AS (SELECT src, pos, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof_sha256,
+    list(l ORDER BY lvl) AS ls, list(r ORDER BY lvl) AS rs FROM sides GROUP BY src, pos),
+paths AS (SELECT p.*, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+    coalesce(q.ls, []) AS ls, coalesce(q.rs, []) AS rs FROM placed p LEFT JOIN proofs q USING (src, pos)),
+folds AS (SELECT *, list_reduce(list_concat([coalesce(changed, leaf)], list_transform(range(1, len(ls) + 1), lambda k: CAST(k AS VARCHAR))),
+    lambda h, k: sha256(ls[CAST(k AS BIGINT)] || h || rs[CAST(k AS BIGINT)])) AS folded_root FROM paths)
+SELECT f.doc_id, f.leaf, s.h AS subroot, summit.root, f.proof_sha256, f.folded_root, f.folded_root = summit.root AS verified
+FROM folds f JOIN subroots s USING (src), summit"""
+
+SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_substrings": OP4, "op5_contamination": OP5, "op11_merkle": OP11}
