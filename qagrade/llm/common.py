@@ -151,11 +151,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of the texts of a slice: byte bounds, text number and, on demand, hashes."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, blank: np.ndarray = _SPACE):
         self.offsets, self.data = offsets, data
         n = len(data)
         solid = np.zeros(n + 2, bool)
-        solid[1:-1] = ~_SPACE[data]
+        solid[1:-1] = ~blank[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1])) if n else np.zeros(0, np.int64)

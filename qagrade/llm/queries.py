@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qagrade.llm import byte_bpe, contamination, language_model, merkle, ngram_join, quality, secrets, substrings, suffixes, token_files, toxicity
+from qagrade.llm import byte_bpe, collocations, contamination, language_model, licences, merkle, ngram_join, quality, secrets, substrings, suffixes, token_files, toxicity
 from qagrade.llm.common import documents
 from qagrade.llm.statements import SQL
 
@@ -69,6 +69,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(documents(spark, sf_dir))
 
 
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and the best covered notice of every document."""
+    return licences.labelled(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words belong together most."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_licences": op12_licences,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["QUERIES", "SQL"]

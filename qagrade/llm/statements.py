@@ -97,4 +97,28 @@ folds AS (SELECT *, list_reduce(list_concat([coalesce(changed, leaf)], list_tran
 SELECT f.doc_id, f.leaf, s.h AS subroot, summit.root, f.proof_sha256, f.folded_root, f.folded_root = summit.root AS verified
 FROM folds f JOIN subroots s USING (src), summit"""
 
-SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_substrings": OP4, "op5_contamination": OP5, "op11_merkle": OP11}
+OP13 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+same AS (SELECT lang, w, count(*) AS many FROM words WHERE len(w) > 0 GROUP BY ALL),
+grams AS (SELECT lang, many, k, w[i:i + k - 1] AS g FROM (
+    SELECT lang, w, many, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+    FROM same, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, sum(many)::BIGINT AS f FROM grams GROUP BY ALL HAVING sum(many) >= 30),
+total AS (SELECT lang, sum(many * len(w))::BIGINT AS n FROM same GROUP BY lang),
+cuts AS (SELECT lang, g, k, f AS a, unnest(generate_series(1, k - 1)) AS c FROM f WHERE k > 1),
+scores AS (SELECT x.lang, x.g, x.k, x.a, c, y.f AS l, z.f AS r, ((2000000::HUGEINT * x.a) // (y.f::HUGEINT + z.f))::BIGINT AS score
+    FROM cuts x JOIN f y ON y.lang = x.lang AND y.g = x.g[1:c] JOIN f z ON z.lang = x.lang AND z.g = x.g[c + 1:]),
+weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, g[i:i + len - 1] AS g, a FROM (
+    SELECT lang, g, a, k, len, unnest(generate_series(1, k - len + 1)) AS i
+    FROM (SELECT lang, g, a, k, unnest(generate_series(2, k - 1)) AS len FROM weakest WHERE k > 2))),
+covers AS (SELECT lang, g, max(a) AS longer FROM inner_ GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN covers c USING (lang, g) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+JOIN total USING (lang) WHERE rank <= 2000"""
+
+SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_substrings": OP4, "op5_contamination": OP5, "op11_merkle": OP11, "op13_collocations": OP13}
