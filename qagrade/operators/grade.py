@@ -198,10 +198,15 @@ def grade_tokens(df: DataFrame, normalize_slash: bool = False) -> DataFrame:
     return graded.drop("_got", "_wanted")
 
 
-def grade_generations(df: DataFrame, verdicts: DataFrame, normalize_slash: bool = False) -> DataFrame:
-    """All 14 metrics per generation; missing verdicts stay NULL and count 0 in the scores."""
+def grade_generations(
+    df: DataFrame, verdicts: DataFrame, normalize_slash: bool = False, verdict_order: str | None = None
+) -> DataFrame:
+    """All 14 metrics per generation; missing verdicts stay NULL and count 0 in the scores.
+
+    ``verdict_order`` tells which of several verdicts counts, see :func:`judge.wide_verdicts`.
+    """
     graded = grade_tokens(extracted_tokens(grade_structure(df)), normalize_slash)
-    graded = attach_judge(graded, verdicts)
+    graded = attach_judge(graded, verdicts, order=verdict_order)
     content = content_score(*[F.col(c) for c in V.CONTENT_METRICS])
     graded = graded.withColumn("content_score", content)
     return graded.withColumn("overall_score", overall_score(F.col("overall_structure_score"), F.col("content_score")))

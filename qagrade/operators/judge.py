@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -11,26 +12,47 @@ from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
 from qagrade.functions.text import tag_content
-from qagrade.operators.batched import batched_apply
-from qagrade.sources.scratch import pin
+from qagrade.operators.answers import SCHEMA, AnswerLog, batch_of
+from qagrade.operators.batched import BATCH_ROWS, batched_apply, batched_store
+from qagrade.sources.scratch import pin, scope
 
 GENERATION_KEY = ("row_id", "model", "sample")
 REQUEST_COLUMNS = ("metric", "question", "answer", "expected", "context")
 
 
-def wide_verdicts(verdicts: DataFrame, key: Sequence[str] = GENERATION_KEY) -> DataFrame:
-    """Verdicts with one column per metric; one shuffle, combined before it."""
-    return verdicts.groupBy(*key).agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in V.VERDICTS])
+def _latest(order: str | None) -> Column:
+    """The score that counts of several: that of the largest ``order``, of equal ones the largest."""
+    score = F.struct(*([F.col(order).alias("_order")] if order else []), "score")
+    return F.when(F.col("score").isNotNull(), score)
 
 
-def attach_judge(df: DataFrame, verdicts: DataFrame, key: Sequence[str] = GENERATION_KEY) -> DataFrame:
-    """Add the three verdicts by key; ``judged`` counts those that are there.
+def wide_verdicts(verdicts: DataFrame, key: Sequence[str] = GENERATION_KEY, order: str | None = None) -> DataFrame:
+    """Verdicts with one column per metric; one shuffle, combined before it.
+
+    A generation may have been judged several times. The verdict with the largest ``order``, a
+    number or time in the verdicts, counts; of those of equal order, and without one, the largest
+    score. ``judge_conflicts`` is the number of metrics whose verdicts are not all equal. Rows
+    without a score are no verdicts.
+    """
+    of = {m: F.col("metric") == m for m in V.VERDICTS}
+    latest = [F.max(F.when(is_m, _latest(order)))["score"].alias(m) for m, is_m in of.items()]
+    differ = [(F.min(F.when(is_m, F.col("score"))) < F.max(F.when(is_m, F.col("score")))).cast("int") for is_m in of.values()]
+    conflicts = sum((F.coalesce(d, F.lit(0)) for d in differ), F.lit(0))
+    return verdicts.groupBy(*key).agg(*latest, conflicts.alias("judge_conflicts"))
+
+
+def attach_judge(
+    df: DataFrame, verdicts: DataFrame, key: Sequence[str] = GENERATION_KEY, order: str | None = None
+) -> DataFrame:
+    """Add the three verdicts by key; ``judged`` counts those that are there, ``judge_conflicts``
+    those that were contradicted, see :func:`wide_verdicts`.
 
     The key identifies a generation, so the join is one to one. Columns that are not used
     later, such as the text, do not take part in its shuffle.
     """
     judged = sum((F.col(m).isNotNull().cast("int") for m in V.VERDICTS), F.lit(0))
-    return df.drop(*V.VERDICTS).join(wide_verdicts(verdicts, key), list(key), "left").withColumn("judged", judged)
+    joined = df.drop(*V.VERDICTS, "judge_conflicts").join(wide_verdicts(verdicts, key, order), list(key), "left")
+    return joined.withColumns({"judged": judged, "judge_conflicts": F.coalesce("judge_conflicts", F.lit(0))})
 
 
 def _request_id() -> Column:
@@ -95,7 +117,7 @@ def batched_judge(
     requests: DataFrame,
     answered: DataFrame,
     fn: Callable[..., pd.DataFrame],
-    batch_rows: int = 64,
+    batch_rows: int = BATCH_ROWS,
     setup: Callable[[], Any] | None = None,
 ) -> DataFrame:
     """Ask ``fn`` for the requests that are not in ``answered`` yet: (request_id, metric, score).
@@ -105,32 +127,66 @@ def batched_judge(
     stored before they are returned, so a second use does not ask again.
     """
     pending = distinct_requests(requests).join(answered.select("request_id").distinct(), "request_id", "left_anti")
-    return pin(batched_apply(pending, fn, "request_id string, metric string, score double", batch_rows, setup), "answers")
+    return batched_store(pending, fn, SCHEMA, "answers", batch_rows, setup)
 
 
 def ask_pending(
     requests: DataFrame,
     answers_table: str,
     fn: Callable[..., pd.DataFrame],
-    batch_rows: int = 64,
+    batch_rows: int = BATCH_ROWS,
     setup: Callable[[], Any] | None = None,
+    batch_requests: int = 100_000,
+    claim_seconds: float = 24 * 3600.0,
+    patience: float = 3600.0,
 ) -> DataFrame:
-    """Append the answers to pending requests to the table at ``answers_table`` and return it.
+    """Store the answers to pending requests in the log at ``answers_table`` and return all of it.
 
-    A later call asks for what is not in the table only; the table may be absent at first.
+    The log is asked for and stored batch by batch, see :mod:`qagrade.operators.answers`: a run
+    that ended half-way is continued by the next one, and runs at the same time share the work. A
+    batch that another run has claimed is waited for, ``patience`` seconds without any progress at
+    most. ``batch_requests`` sets the size of batches when the log is new.
     """
-    spark, schema = requests.sparkSession, "request_id string, metric string, score double"
-    path = spark._jvm.org.apache.hadoop.fs.Path(answers_table)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    known = spark.read.schema(schema).parquet(answers_table) if there else spark.createDataFrame([], schema)
-    batched_judge(requests, known, fn, batch_rows, setup).write.mode("append").parquet(answers_table)
-    return spark.read.schema(schema).parquet(answers_table)
-
+    log = AnswerLog(requests.sparkSession, answers_table, claim_seconds)
+    with scope():
+        known = log.answers().select("request_id")
+        pending = pin(distinct_requests(requests).join(known, "request_id", "left_anti"), "pending")
+        digits = log.digits(pending.count(), batch_requests)
+        named = pending.withColumn("_batch", batch_of(F.col("request_id"), digits))
+        waiting = sorted(r[0] for r in named.select("_batch").distinct().collect())
+        since = time.monotonic()
+        while waiting:
+            left = []
+            for batch in waiting:
+                with log.claim(batch) as ours:
+                    if not ours:
+                        left.append(batch)
+                        continue
+                    rows = named.where(F.col("_batch") == batch).drop("_batch")
+                    # what another run has stored since then
+                    rows = rows.join(log.answers(batch).select("request_id"), "request_id", "left_anti")
+                    if not rows.isEmpty():
+                        log.store(batch, batched_apply(rows, fn, SCHEMA, batch_rows, setup))
+                since = time.monotonic()
+            waiting = left
+            if waiting and time.monotonic() - since > patience:
+                raise TimeoutError(f"other runs hold {len(waiting)} batches of {answers_table}")
+            if waiting:
+                time.sleep(min(1.0, patience))
+    return log.answers()
+
+
+def verdicts_of(
+    requests: DataFrame, answers: DataFrame, key: Sequence[str] = GENERATION_KEY, order: str | None = None
+) -> DataFrame:
+    """Answers handed back to every generation that asked: (key, metric, score), one row a request.
 
-def verdicts_of(requests: DataFrame, answers: DataFrame, key: Sequence[str] = GENERATION_KEY) -> DataFrame:
-    """Answers handed back to every generation that asked: (key, metric, score)."""
+    Of several answers to a request the one with the largest ``order`` counts, of equal ones, and
+    without an order, the largest score.
+    """
     asked = requests.select(*key, "metric", "request_id")
-    return asked.join(answers.select("request_id", "score"), "request_id").select(*key, "metric", "score")
+    once = answers.groupBy("request_id").agg(F.max(_latest(order))["score"].alias("score"))
+    return asked.join(once, "request_id").select(*key, "metric", "score")
 
 
 def judge_pass(df: DataFrame) -> DataFrame:

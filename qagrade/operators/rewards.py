@@ -18,7 +18,7 @@ from qagrade.operators.grade import (
     utility_values,
 )
 from qagrade.operators.judge import GENERATION_KEY, attach_judge
-from qagrade.sources.scratch import pin
+from qagrade.sources.scratch import pin, scoped
 
 REWARDS = tuple(f"reward_{name}" for name in V.REWARD_SCALES)
 
@@ -87,17 +87,33 @@ def reward_order(df: DataFrame) -> DataFrame:
     return df.withColumn("reward_order", structure_order(F.coalesce("generation", F.lit(""))))
 
 
+def reward_faithfulness(df: DataFrame) -> DataFrame:
+    """The verdict on faithfulness, a missing one as 0; it counts only where a weight names it."""
+    return df.withColumn("reward_faithfulness", F.coalesce("faithfulness", F.lit(0.0)))
+
+
+def reward_relevancy(df: DataFrame) -> DataFrame:
+    """The verdict on the answer's relevancy, a missing one as 0; it counts only where a weight names it."""
+    return df.withColumn("reward_relevancy", F.coalesce("answer_relevancy", F.lit(0.0)))
+
+
+#: Rewards that are off without a weight: by the text, and by the verdicts.
+_OF_TEXT = {"order": reward_order}
+_OF_VERDICTS = {"faithfulness": reward_faithfulness, "relevancy": reward_relevancy}
+
+
 def reward_total(df: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Sum of the five rewards, or their weighted sum (weights by name, 1.0 where absent).
 
-    A weight for ``order`` adds the order reward, which is off otherwise.
+    A weight for ``order``, ``faithfulness`` or ``relevancy`` adds that reward, which is off otherwise.
     """
     weights = weights or {}
-    names = [*V.REWARD_SCALES, *(["order"] if "order" in weights else [])]
+    names = [*V.REWARD_SCALES, *[n for n in (*_OF_TEXT, *_OF_VERDICTS) if n in weights]]
     parts = [F.col(f"reward_{name}") * F.lit(float(weights.get(name, 1.0))) for name in names]
     return df.withColumn("reward_total", sum(parts[1:], parts[0]))
 
 
+@scoped
 def group_advantage(
     df: DataFrame, group: Sequence[str] = ("row_id", "model"), reward: str = "reward_total"
 ) -> DataFrame:
@@ -119,11 +135,13 @@ def group_advantage(
     return df.join(stats, same).select(*[df[c] for c in df.columns], advantage.alias("advantage"))
 
 
+@scoped
 def reward_table(
     df: DataFrame,
     verdicts: DataFrame,
     labels: Sequence[str] = ("relevance", "utility", "groundness"),
     weights: Mapping[str, float] | None = None,
+    verdict_order: str | None = None,
 ) -> DataFrame:
     """One row per completion: key, the five rewards, their total and the group's advantage.
 
@@ -131,11 +149,16 @@ def reward_table(
     written as an intermediate table, because the advantage reads them twice and reading
     the texts again would cost more.
     """
+    weights = weights or {}
+    by_text = [fn for name, fn in _OF_TEXT.items() if name in weights]
+    by_verdict = [fn for name, fn in _OF_VERDICTS.items() if name in weights]
+    names = [*REWARDS, *[f"reward_{name}" for name in (*_OF_TEXT, *_OF_VERDICTS) if name in weights]]
     rows = completion_text(df, labels=labels)
-    ordered = [reward_order] if "order" in (weights or {}) else []
-    for reward in (reward_structure, reward_relevance, reward_groundness, reward_utility, *ordered):
+    for reward in (reward_structure, reward_relevance, reward_groundness, reward_utility, *by_text):
         rows = reward(rows)
-    names = [*REWARDS, *(["reward_order"] if ordered else [])]
     rows = rows.select(*GENERATION_KEY, *[c for c in rows.columns if c in names])
-    rows = reward_total(reward_correctness(attach_judge(rows, verdicts)), weights)
+    rows = attach_judge(rows, verdicts, order=verdict_order)
+    for reward in (reward_correctness, *by_verdict):
+        rows = reward(rows)
+    rows = reward_total(rows, weights)
     return group_advantage(pin(rows.select(*GENERATION_KEY, *names, "reward_total"), "rewards"))

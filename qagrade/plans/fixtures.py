@@ -127,6 +127,17 @@ WHERE labelled OR metric <> 'faithfulness'
 """
 
 
+# The verdicts as a log: some generations were judged again, with another score or the same one,
+# and two judgements may have the same number.
+VERDICT_LOG_SQL = f"""
+SELECT row_id, model, sample, metric, score, 1 AS seq FROM ({VERDICTS_SQL}) one
+UNION ALL
+SELECT row_id, model, sample, metric, CAST((row_id * 3 + sample + length(metric)) % 5 AS DOUBLE) / 4 AS score,
+  1 + CAST(row_id % 3 AS INT) AS seq
+FROM ({VERDICTS_SQL}) two WHERE (row_id + sample) % 4 = 1
+"""
+
+
 def for_duckdb(statement: str) -> str:
     return statement.format(documents="documents", labels="labels", unnest="unnest", list="list_value")
 
@@ -152,5 +163,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _for_spark(spark, sf_dir, VERDICTS_SQL)
 
 
+def verdict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _for_spark(spark, sf_dir, VERDICT_LOG_SQL)
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _for_spark(spark, sf_dir, COMPLETIONS_SQL)

@@ -286,6 +286,14 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_overlap(texts, ["context"])
 
 
+@query
+def split_overlap_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Three quarters of the rows are drawn, so that copies cross.
+    eligible = _eligible(spark, sf_dir)
+    n = eligible.count()
+    return splits.split_overlap(splits.assemble_splits(eligible, "row_id", train=n // 2, heldout=n // 4), ["context"])
+
+
 # --- prompts and result rows --------------------------------------------------------------
 
 
@@ -305,6 +313,19 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prompts.conversation_messages(io.read_table(spark, f"{sf_dir}/conversations.parquet"))
+    messages = F.col("messages")
+    return rows.select(
+        "conv_id",
+        "n_messages",
+        F.element_at(messages, 1)["role"].alias("first_role"),
+        F.element_at(messages, -1)["content"].alias("last_content"),
+        prompts.render_chat(messages).alias("formatted_text"),
+    )
+
+
 @query
 def row_index_(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _parsed(spark, sf_dir).select("source", "row_id")
@@ -331,6 +352,14 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def result_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Generations of documents that parsing drops have no prompt; rows without a relevance get no key.
+    asked = _published(spark, sf_dir).select(F.when(F.col("relevance").isNotNull(), F.col("row_id")).alias("row_id"))
+    said = fixtures.generations(spark, sf_dir).filter("generation <> '' AND model = 'base' AND sample = 0").select("row_id")
+    return prompts.result_account(asked, said)
+
+
 @query
 def sample_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     preview = prompts.sample_preview(_results(spark, sf_dir))
@@ -451,6 +480,13 @@ def judge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select(*KEY, *V.VERDICTS, "judged")
 
 
+@query
+def judge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fixtures.verdict_log(spark, sf_dir)
+    judged = judge.attach_judge(fixtures.generations(spark, sf_dir), log, order="seq")
+    return judged.select(*KEY, *V.VERDICTS, "judged", "judge_conflicts")
+
+
 @query
 def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = judge.judge_requests(fixtures.generations(spark, sf_dir), on_missing="answer")
@@ -512,6 +548,13 @@ def reward_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewards.reward_utility(fixtures.generations(spark, sf_dir)).select(*KEY, "reward_utility")
 
 
+@query
+def reward_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = {"faithfulness": 30.0, "relevancy": 20.0, "order": 5.0}
+    table = rewards.reward_table(fixtures.completions(spark, sf_dir), fixtures.verdict_log(spark, sf_dir), weights=weights, verdict_order="seq")
+    return table.select(*KEY, "reward_faithfulness", "reward_relevancy", "reward_order", "reward_total")
+
+
 @query
 def reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir).select(*KEY, "reward_total")

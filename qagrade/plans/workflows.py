@@ -1,9 +1,13 @@
-"""The three ways through the library, from stored tables to stored tables."""
+"""The three ways through the library, from stored tables to stored tables.
+
+Each deletes its intermediate tables when it ends.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
-from typing import Any
+from typing import Any, TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +16,21 @@ from pyspark.sql import functions as F
 from qagrade.functions import vocab as V
 from qagrade.operators import batched, grade, judge, parse, prompts, rewards, splits, summary
 from qagrade.sources import io
-from qagrade.sources.scratch import pin
+from qagrade.sources.scratch import pin, scope
+
+_Fn = TypeVar("_Fn", bound=Callable[..., None])
+
+
+def workflow(fn: _Fn) -> _Fn:
+    @functools.wraps(fn)
+    def run(*args, **kwargs) -> None:
+        with scope():
+            fn(*args, **kwargs)
+
+    return run
 
 
+@workflow
 def prepare_splits(
     spark: SparkSession,
     annotated: str,
@@ -35,6 +51,7 @@ def prepare_splits(
     io.write_splits(splits.assemble_splits(eligible, key, train=train, heldout=heldout, seed=seed), splits_out)
 
 
+@workflow
 def generate_answers(
     spark: SparkSession,
     splits_in: str,
@@ -54,10 +71,11 @@ def generate_answers(
     asked = prompts.add_prompts(rows).select(key, "formatted_text")
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, generation string"
     # stored before it is used: the result reads it twice, and a model must not be asked twice
-    answers = pin(batched.batched_apply(asked, generate, schema, batch_rows, setup), "generations")
+    answers = batched.batched_store(asked, generate, schema, "generations", batch_rows, setup)
     io.write_jsonl(prompts.result_rows(rows, answers, key), results_out)
 
 
+@workflow
 def grade_results(results: DataFrame, verdicts: DataFrame, graded_out: str, scores_out: str) -> None:
     """Generations of one or more models to a table of grades and one score object per model."""
     graded = grade.grade_generations(results, verdicts)
@@ -65,6 +83,7 @@ def grade_results(results: DataFrame, verdicts: DataFrame, graded_out: str, scor
     io.write_scores(summary.score_summary(io.read_table(results.sparkSession, graded_out), "model"), scores_out)
 
 
+@workflow
 def judge_and_grade(
     results: DataFrame, answers_table: str, fn: Callable[..., pd.DataFrame], graded_out: str, scores_out: str, **options: Any
 ) -> None:
@@ -77,6 +96,7 @@ def judge_and_grade(
     grade_results(results, pin(verdicts, "verdicts"), graded_out, scores_out)
 
 
+@workflow
 def judge_and_reward(
     completions: DataFrame,
     answers_table: str,
@@ -92,6 +112,7 @@ def judge_and_reward(
     io.write_table(rewards.reward_table(completions, pin(verdicts, "verdicts"), labels), out)
 
 
+@workflow
 def reward_completions(completions: DataFrame, verdicts: DataFrame, out: str) -> None:
     """Groups of completions to a reward table with advantages, for a trainer to read."""
     io.write_table(rewards.reward_table(completions, verdicts), out)

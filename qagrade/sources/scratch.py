@@ -58,8 +58,9 @@ _current: ContextVar[Scope] = ContextVar("qagrade_scope", default=_ROOT)
 
 @atexit.register
 def _at_exit() -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        _ROOT.close()
+    for path in list(_ROOT._owned):
+        with contextlib.suppress(Exception):  # the session may be gone
+            _ROOT.drop(path)
 
 
 @contextlib.contextmanager

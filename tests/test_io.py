@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qagrade.functions import vocab as V
 from qagrade.sources import io
-from qagrade.sources.scratch import pin, scratch_path, unpin, use_folder
+from qagrade.sources.scratch import pin, scope, scoped, scratch_path, unpin, use_folder
 
 
 def plan(df):
@@ -72,3 +72,26 @@ def test_pinned_tables_can_be_deleted(spark):
     assert Path(table._pinned_at).exists()
     unpin(table)
     assert not Path(table._pinned_at).exists()
+
+
+def test_a_scope_deletes_what_it_owns_but_for_what_a_result_reads(spark):
+    @scoped
+    def operator():
+        inner = pin(spark.range(3), "inner")
+        read = pin(inner.selectExpr("id + 1 AS id"), "read")
+        operator.tables = (Path(inner._pinned_at), Path(read._pinned_at))
+        return read.selectExpr("id * 2 AS id").filter("id > 2")
+
+    with scope() as own:
+        result = operator().withColumn("more", F.lit(1))
+        inner, read = operator.tables
+        assert not inner.exists() and read.exists() and len(own) == 1
+        assert sorted(r.id for r in result.collect()) == [4, 6]
+    assert not read.exists()
+
+
+def test_a_scope_deletes_after_an_error_too(spark):
+    with pytest.raises(RuntimeError), scope():
+        path = Path(pin(spark.range(3), "x")._pinned_at)
+        raise RuntimeError
+    assert not path.exists()

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as driver
 from qagrade.plans.queries import QUERIES
+from qagrade.sources.scratch import scope
 
 SQL = driver.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -32,7 +33,14 @@ def test_every_query_has_a_statement():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    df = driver.queries()[name](spark, sf_dir)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    with scope():
+        compare(driver.queries()[name](spark, sf_dir), con, name)
+    assert set(os.listdir(folder)) == before
+
+
+def compare(df, con, name):
     columns = sorted(df.columns)
     expected = con.sql(SQL[name])
     assert sorted(expected.columns) == columns

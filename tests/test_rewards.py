@@ -101,3 +101,17 @@ def test_order_reward_counts_by_weight_only(spark):
     df = spark.range(1).select(*[F.lit(1.0).alias(name) for name in rewards.REWARDS], F.lit(1.0).alias("reward_order"))
     assert rewards.reward_total(df).first().reward_total == 5.0
     assert rewards.reward_total(df, {"order": 7.0}).first().reward_total == 12.0
+
+
+def test_verdict_rewards_count_by_weight_only(spark):
+    texts = spark.createDataFrame([(1, "m", [[("assistant", "x")]], ["r"], ["u"], ["g"])],
+                                  "row_id long, model string, completions array<array<struct<role: string, content: string>>>, "
+                                  "relevance array<string>, utility array<string>, groundness array<string>")
+    verdicts = spark.createDataFrame(
+        [(1, "m", 0, "faithfulness", 0.5, 1), (1, "m", 0, "faithfulness", 1.0, 2), (1, "m", 0, "answer_correctness", 0.25, 1)],
+        f"{KEY}, metric string, score double, seq int",
+    )
+    plain = rewards.reward_table(texts, verdicts).first()
+    assert plain.reward_total == 5.0 and not hasattr(plain, "reward_faithfulness")
+    row = rewards.reward_table(texts, verdicts, weights={"faithfulness": 30.0, "relevancy": 9.0}, verdict_order="seq").first()
+    assert (row.reward_faithfulness, row.reward_relevancy, row.reward_total) == (1.0, 0.0, 35.0)

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from qagrade.operators import splits
+from qagrade.sources.scratch import pin, scope
 
 
 def table(spark, sizes, partitions=4):
@@ -19,6 +21,10 @@ def table(spark, sizes, partitions=4):
     return spark.createDataFrame(rows, "k long, s string").repartition(partitions)
 
 
+def folder_of(spark):
+    return spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+
 def quotas(counts, total):
     rows = sum(counts.values())
     share = {s: total * n // rows for s, n in counts.items()}
@@ -41,12 +47,13 @@ def brute_force(rows, sizes, seed):
     return drawn
 
 
-@pytest.mark.parametrize("digits", [1, 2, 4])
+@pytest.mark.parametrize("roots", [0.01, 0.5, 8.0])
 @pytest.mark.parametrize(
     "sizes", [{"train": 60, "heldout": 20}, {"train": 1, "heldout": 0}, {"a": 50, "b": 50, "c": 80}]
 )
-def test_draw_equals_brute_force(spark, monkeypatch, digits, sizes):
-    monkeypatch.setattr(splits, "_PREFIX_DIGITS", digits)
+def test_draw_equals_brute_force(spark, monkeypatch, roots, sizes):
+    """Also where the stretch looked at first is too narrow for the ends, and is widened."""
+    monkeypatch.setattr(splits, "_ROOTS", roots)
     df = table(spark, {"hot": 120, "mid": 50, "cold": 10})
     drawn = splits.stratified_split(df, "k", "s", sizes, seed=5)
     got = {r.k: r.split for r in drawn.collect()}
@@ -91,6 +98,33 @@ def test_assembled_splits(spark):
     assert shares["train", "[Irrelevant]"] == pytest.approx(0.33)
 
 
+def test_both_draws_equal_brute_force_in_few_jobs_and_leave_nothing(spark, tmp_path):
+    df = table(spark, {"hot": 3000, "mid": 500, "cold": 40, "rare": 2}).withColumnRenamed("s", "relevance")
+    df = pin(df, "table")
+    before = set(os.listdir(folder_of(spark)))
+    context = spark.sparkContext
+    context.setJobGroup("draw", "draw")
+    with scope():
+        drawn = splits.assemble_splits(df, "k", train=1000, heldout=400)
+        left = set(os.listdir(folder_of(spark))) - before
+        rows = drawn.collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("draw"))
+    context.setJobGroup("", "")
+    assert len(left) == 1 and set(os.listdir(folder_of(spark))) == before
+    assert jobs <= 17, jobs  # 15 without the two that read the result
+    first = brute_force([(r.k, r.relevance) for r in df.collect()], {"train": 1000, "heldout": 400}, 0)
+    held = [(r.k, r.relevance) for r in df.collect() if first.get(r.k) == "heldout"]
+    want = {k: s for k, s in first.items() if s == "train"} | brute_force(held, {"test": 200, "validation": 200}, 1)
+    assert {r.k: r.split for r in rows} == want
+
+
+def test_rows_of_strata_without_held_out_rows_keep_their_split(spark):
+    rows = [(k, "a" if k < 60 else "b", "train" if k >= 60 or k % 2 else "heldout") for k in range(80)]
+    drawn = spark.createDataFrame(rows, "k long, s string, split string")
+    halved = splits.split_holdout(drawn, "k", "s", {"x": 10, "y": 20})
+    assert Counter(r.split for r in halved.collect()) == {"train": 50, "x": 10, "y": 20}
+
+
 def test_many_strata_take_the_same_way(spark):
     df = spark.range(3000).select(F.col("id").alias("k"), F.format_string("s%03d", F.col("id") % 300).alias("s"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 import pandas as pd
@@ -11,6 +12,13 @@ from qagrade.sources import io
 
 
 def test_from_annotated_outputs_to_scores(spark, sf_dir, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    run_all(spark, sf_dir, tmp_path)
+    assert set(os.listdir(folder)) == before
+
+
+def run_all(spark, sf_dir, tmp_path):
     path = {name: str(tmp_path / name) for name in ("tagged", "parsed", "splits", "results", "graded", "scores", "rewards")}
     io.write_table(fixtures.tagged(spark, sf_dir), path["tagged"])
     workflows.prepare_splits(spark, path["tagged"], path["parsed"], path["splits"], train=60, heldout=20)
