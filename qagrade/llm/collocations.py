@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qagrade.llm.common import Words, _splitmix, lowered, narrow, slices, span_hashes, stored, window_hashes
+from qagrade.llm.common import KeyFilter, Words, _splitmix, key_filter, lowered, narrow, slices, span_hashes, stored, window_hashes
 from qagrade.sources.scratch import scoped
 
 LONGEST = 4
@@ -39,9 +39,6 @@ BEST = 2000
 SCALE = 2_000_000
 #: One word in so many cuts a piece.
 TRIGGER = 32
-#: Bits of the filters: about 16 for each frequent phrase, within these bounds (32 MB at most).
-FILTER_BITS = (20, 28)
-_SEGMENT_BITS = 20
 _HELD = 1 << 20  #: counts that a task keeps before it sends them on
 _RANK_SLICES = 64
 
@@ -118,7 +115,7 @@ class _Chunks:
         with np.errstate(over="ignore"):
             return _splitmix(hashes ^ self.lang[: len(hashes)])
 
-    def starts(self, n: int, filter_: tuple[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    def starts(self, n: int, filter_: KeyFilter | None) -> tuple[np.ndarray, np.ndarray]:
         """Words at which an own phrase of `n` words starts whose parts pass the filter, and its key."""
         doc = self.words.doc
         at = len(doc) - n + 1
@@ -126,18 +123,12 @@ class _Chunks:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         good = self.own[:at] & (doc[:at] == doc[n - 1 :])
         if filter_ is not None:
-            passed = _passes(filter_, self.keys(n - 1))
+            passed = filter_.passes(self.keys(n - 1))
             good &= passed[:-1] & passed[1:]
         start = np.flatnonzero(good)
         return start, self.keys(n)[start]
 
 
-def _passes(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    bits, bitmap = filter_
-    at = (keys >> _U(64 - bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 def _slices_of(batch: pa.RecordBatch) -> Iterator[tuple[_Chunks, int, int]]:
     """The slices of a batch of the dictionary (lang, chunk, own, many)."""
     lang = batch.column(0).dictionary_encode()
@@ -190,31 +181,6 @@ def _rows(key: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _filter(frequent: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of the keys' first bits, made in segments by tasks."""
-    wanted = int(16 * max(frequent.count(), 1)).bit_length()
-    bits = min(max(wanted, FILTER_BITS[0]), FILTER_BITS[1])
-    size = 1 << _SEGMENT_BITS
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = (batch.column(0).to_numpy().view(_U) >> _U(64 - bits)).astype(np.int64)
-            for segment in np.unique(at // size):
-                marked = found.setdefault(int(segment), np.zeros(size, bool))
-                marked[at[at // size == segment] % size] = True
-        for segment, marked in found.items():
-            packed = np.packbits(marked, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([packed])], ["segment", "bits"])
-
-    segment = F.shiftrightunsigned("key", 64 - bits + _SEGMENT_BITS)
-    rows = frequent.select("key").repartition(segment).mapInArrow(build, "segment long, bits binary").toArrow()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for i, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[i * size // 8 : (i + 1) * size // 8] = np.frombuffer(packed, np.uint8)
-    return bits, out
-
-
 def _texts(dictionary: DataFrame, filters: list) -> DataFrame:
     """key, words, lang and phrase of all phrases that pass the filter of their length, at least once a task."""
 
@@ -224,7 +190,7 @@ def _texts(dictionary: DataFrame, filters: list) -> DataFrame:
             for own, row, _ in _slices_of(batch):
                 for n, shared in enumerate(filters, 1):
                     start, key = own.starts(n, filters[n - 2].value if n > 1 else None)
-                    good = _passes(shared.value, key)
+                    good = shared.value.passes(key)
                     key, at = np.unique(key[good], return_index=True)
                     new = np.isin(key, seen[n - 1], assume_unique=True, invert=True)
                     key, start = key[new], start[good][at[new]]
@@ -257,7 +223,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     counts, filters = [], []
     for n in range(1, longest + 1):
         counts.append(_frequent(dictionary, n, filters[-1] if filters else None, least))
-        filters.append(context.broadcast(_filter(counts[-1])))
+        filters.append(context.broadcast(key_filter(counts[-1])))
     keyed = counts[0].withColumn("words", F.lit(1))
     for n, found in enumerate(counts[1:], 2):
         keyed = keyed.unionByName(found.withColumn("words", F.lit(n)))

@@ -96,8 +96,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy", **options: str
 discard = unpin
 
 
+#: Bytes of texts that are handed to a Python worker at once, unless the session sets another number.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Workers hold a batch of texts and what is made of it, so long texts need small batches."""
+    if not spark.sparkContext.getConf().contains(_ARROW) and spark.conf.get(_ARROW).startswith("67108864"):
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, by their first occurrence; other columns may have any name."""
+    """The named columns only; other columns may have any name. Names have to be unique as Spark
+    compares them, by default without case."""
+    ship(docs.sparkSession)
+    _small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
@@ -233,3 +247,46 @@ def shingle_sets(words: Words, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+# --- filters of keys ------------------------------------------------------------------------
+
+#: Bits of a filter: about 256 a key, within these bounds (32 MB at most).
+FILTER_BITS = (20, 28)
+_SEGMENT_BITS = 20
+
+
+class KeyFilter:
+    """A bitmap of the first bits of 64-bit keys: it passes all of them and few others."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray):
+        self.bits, self.bitmap = bits, bitmap
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> _U(64 - self.bits)).astype(np.int64)
+        return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of a table's column `key`, a long; made in segments by tasks, of a bounded size."""
+    wanted = int(256 * max(keys.count(), 1)).bit_length()
+    bits = min(max(wanted, FILTER_BITS[0]), FILTER_BITS[1])
+    size = 1 << _SEGMENT_BITS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(_U) >> _U(64 - bits)).astype(np.int64)
+            for segment in np.unique(at // size):
+                marked = found.setdefault(int(segment), np.zeros(size, bool))
+                marked[at[at // size == segment] % size] = True
+        for segment, marked in found.items():
+            packed = np.packbits(marked, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([packed])], ["segment", "bits"])
+
+    segment = F.shiftrightunsigned("key", 64 - bits + _SEGMENT_BITS)
+    rows = keys.select("key").distinct().repartition(segment).mapInArrow(build, "segment long, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for i, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[i * size // 8 : (i + 1) * size // 8] |= np.frombuffer(packed, np.uint8)
+    return KeyFilter(bits, out)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from qagrade.llm.anchors import release
 from qagrade.llm.common import Words, discard, lowered, narrow, slices, stored
 from qagrade.llm.toxicity import held_out
+from qagrade.sources.scratch import scoped
 
 DEPTH = 5
 LEAST = 2
@@ -463,6 +464,7 @@ def common_words(counts: DataFrame, common: int = COMMON) -> WordTable:
     return WordTable(keys[by], table["count"].to_numpy()[by], total, distinct)
 
 
+@scoped
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     rows = narrow(docs, "doc_id", "text")

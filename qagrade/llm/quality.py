@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qagrade.llm.common import narrow
+from qagrade.sources.scratch import scoped
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
@@ -115,6 +116,7 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
+@scoped
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The counts of every document, the base rule, the mean log ratio and the verdict."""
     ratios = log_ratios(docs, labels)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from qagrade.llm.anchors import anchor_places, copies, release, repeated_places, running
 from qagrade.llm.common import Words, discard, narrow, slices, stored
+from qagrade.sources.scratch import scoped
 
 WINDOW = 13
 SEED = 5
@@ -152,6 +153,7 @@ def _removed(words: Words, key: np.ndarray, at: np.ndarray, i: int, copy: bool,
     return gone
 
 
+@scoped
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, the text of the words left, and how many there were and went."""
     texts = narrow(docs, "doc_id", "text")
