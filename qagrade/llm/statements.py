@@ -38,13 +38,22 @@ counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
+_RUNS = _WORDS.format(text="lower(coalesce(text, ''))")
+
 OP5 = f"""
 WITH ds AS ({_shingles("documents", "doc_id", "lower(coalesce(text, ''))", 5)}),
-bs AS ({_shingles("benchmark", "item_id", "lower(coalesce(text, ''))", 5)}),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+items AS (SELECT item_id, text, {_RUNS} AS w FROM benchmark),
+long_items AS (SELECT item_id, text FROM items WHERE len(w) >= 5),
+bs AS ({_shingles("long_items", "item_id", "lower(coalesce(text, ''))", 5)}),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+runs AS (SELECT doc_id, ' ' || array_to_string({_RUNS}, ' ') || ' ' AS t FROM documents)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item"""
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1.0 FROM runs JOIN items ON contains(t, ' ' || array_to_string(w, ' ') || ' ')
+WHERE len(w) BETWEEN 1 AND 4"""
+
 
 #: CRC-32 of the decimal id, before its last complement.
 _CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
