@@ -10,7 +10,11 @@ exactly.
 Only connected components are asked for, so what is connected need not be paired again: first
 each prefix shingle pairs its groups with `HUBS` of them only, which joins large families of near
 copies with a few pairs a member. After that all pairs are taken between what is still
-apart, so no link between components is lost.
+apart, so no link between components is lost. There, what a shingle has in common is paired by
+component and size first, and only such pairs are expanded to their groups, so a large family costs
+nothing once it is one component. To be verified, pairs are dealt to one of their sets, which is
+kept in the task while the sets of its partners pass by; a set with very many partners is kept in
+several tasks.
 
 Words are runs of anything but the space and the characters 9 to 13, A-Z lowered. Defined
 results: NULL texts and texts without words have no shingles and are their own component; rows
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 from qagrade.llm.anchors import release
 from qagrade.llm.common import Words, discard, lowered, narrow, sequence_hash, shingle_sets, slices, stored
 from qagrade.llm.components import components
+from qagrade.sources.scratch import scoped
 
 SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 22
 SEGMENT_BITS = 16
 HUBS = 3
+PARTNERS = 512  #: sets that are compared with one kept set in a task, about
 SHARED = 8  #: prefix shingles that similar sets have in common at least
 
 
@@ -78,8 +84,16 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+#: Arrays fill a writer's memory up to this; tasks share theirs with Python.
+_ROW_GROUPS = {"parquet.block.size": str(16 << 20)}
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, set, grp and prefix (rare shingles first) of every document."""
+    """doc_id, text_hash, n, set, grp and prefix (rare shingles first) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +115,19 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, stop - row),
+                        batch.column(2).slice(row, stop - row),
                         pa.array(size, pa.int64()),
                         pa.array(np.array(sets, np.uint64).view(np.int64)),
                         pa.array(np.array(groups, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     ],
-                    ["doc_id", "n", "set", "grp", "prefix"],
+                    ["doc_id", "text_hash", "n", "set", "grp", "prefix"],
                 )
 
     doc = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {doc}, n long, set long, grp long, prefix array<long>")
-    return stored(out, "prefixes")
+    rows = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    out = rows.mapInArrow(run, f"doc_id {doc}, text_hash long, n long, set long, grp long, prefix array<long>")
+    return stored(out, "prefixes", **_ROW_GROUPS)
 
 
 def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -136,7 +152,7 @@ def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     ["set", "n", "shingles"],
                 )
 
-    return stored(rows.mapInArrow(run, "set long, n long, shingles array<long>"), "sets")
+    return stored(rows.mapInArrow(run, "set long, n long, shingles array<long>"), "sets", **_ROW_GROUPS)
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -154,6 +170,38 @@ def _least_shared(limit: int, percent: int) -> Column:
     return F.least(F.lit(limit), F.ceil(percent * F.greatest("xn", "yn") / 100))
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. b is kept in a task, the sets a pass by in its order."""
+    lead = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("tasks"))
+    tasks = F.explode(F.sequence(F.lit(1).cast("long"), F.col("tasks")))
+    kept = sets.join(lead, sets["set"] == lead["b"]).select("b", tasks.alias("part"), F.lit(None).cast("long").alias("a"), "shingles")
+    dealt = pairs.join(lead, "b").select("a", "b", (F.pmod(F.xxhash64("a"), F.col("tasks")) + 1).alias("part"))
+    passing = dealt.join(sets, dealt["a"] == sets["set"]).select("b", "part", "a", "shingles")
+    rows = kept.unionByName(passing).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            one, other = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            lists = batch.column(3)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, a in enumerate(other):
+                # sets are sorted as unsigned numbers
+                shingles = flat[ends[i] : ends[i + 1]].view(np.uint64)
+                if a is None:
+                    own = shingles.copy()
+                elif len(own) and len(shingles):
+                    at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+                    common = int((own[at] == shingles).sum())
+                    if 100 * common >= percent * (len(own) + len(shingles) - common):
+                        found.append((a, one[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity reaches the bound, stored."""
     pairs = stored(pairs, "pairs")
@@ -161,19 +209,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, per
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     sets = _set_arrays(docs, members.join(wanted, "set").select("doc_id", "set"), k)
     release(docs.sparkSession)
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"{x}n"), F.col("shingles").alias(f"{x}s"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("as", "bs"))
-    rows = rows.select("a", "b", (F.col("an") + F.col("bn")).alias("total"), common.alias("common"))
-    rows = rows.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
-    out = stored(rows.select("a", "b"), "links")
+    rows = _compared(pairs, sets, percent)
+    out = stored(rows, "links")
     discard(sets, pairs)
     release(docs.sparkSession)
     return out
 
 
+@scoped
 def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return _components_of(docs, k, percent).drop("text_hash")
+
+
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = narrow(docs, "doc_id", "text")
     base = _prefixes(docs, k, percent)
@@ -195,7 +245,7 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     stars = stars.join(leads.select(F.col("grp").alias("y"), F.col("set").alias("b")), "y").select("a", "b")
     links = _verified(inner.select(F.col("set").alias("a"), "b").union(stars).distinct(), docs, members, k, percent)
     labels = components(links)
-    rest = _all_pairs(_apart(postings, members, labels), members, labels, percent)
+    rest = _all_pairs(postings, members, labels, percent)
     links = stored(links.union(_verified(rest, docs, members, k, percent)), "links")
     labels = components(links)
     named = real.join(labels, real["set"] == labels["node"], "left").select(
@@ -206,22 +256,12 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     out = base.join(of_set, "set", "left")
     return out.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
-def _apart(postings: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with the least and largest component of their groups, of shingles not yet within one."""
-    named = members.join(labels, members["set"] == labels["node"], "left")
-    by_group = named.groupBy("grp").agg(
-        F.min(F.coalesce("label", "set")).alias("lo"), F.max(F.coalesce("label", "set")).alias("hi")
-    )
-    rows = postings.join(by_group, "grp")
-    open_ = rows.groupBy("token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("token")
-    return stored(rows.join(open_, "token"), "postings")
-
-
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Each group of a shingle with a few of them: HUBS times as many pairs as postings at most."""
     hub = lambda i: F.min(F.struct(F.xxhash64("grp", F.lit(i)).alias("o"), "grp", "n", "at"))
@@ -236,29 +276,47 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("count") >= _least_shared(SHARED // 2, percent)).select("x", "y")
 
 
-def _all_pairs(apart: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different components whose groups share a prefix shingle, or are one."""
-    x = apart.select("token", F.col("grp").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
-    y = apart.select("token", F.col("grp").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
-    rows = x.join(y, "token").where(F.col("x") < F.col("y"))
-    rows = rows.where(~((F.col("xlo") == F.col("xhi")) & (F.col("xlo") == F.col("ylo")) & (F.col("ylo") == F.col("yhi"))))
-    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent))
+def _all_pairs(postings: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different components whose groups share enough prefix shingles, or are one.
+
+    What meets in a shingle are its components by size, one row each, and of those that fit their
+    groups: groups of one component never meet.
+    """
     named = members.join(labels, members["set"] == labels["node"], "left").select("grp", "set", F.coalesce("label", "set").alias("label"))
     named = stored(named, "named")
-    one = named.select(F.col("grp").alias("x"), F.col("set").alias("a"), F.col("label").alias("la"))
-    two = named.select(F.col("grp").alias("y"), F.col("set").alias("b"), F.col("label").alias("lb"))
+    rows = postings.join(named.select("grp", "label").distinct(), "grp")
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    rows = stored(rows.join(several, "token"), "open")
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("grp", "n", "at", "label")]
+    met = rows.select("token", "label", "n").distinct()
+    met = met.select("token", *[F.col(c).alias(f"x{c}") for c in ("label", "n")]).join(
+        met.select("token", *[F.col(c).alias(f"y{c}") for c in ("label", "n")]), "token"
+    )
+    met = met.where((F.col("xlabel") < F.col("ylabel")) & _sizes_fit(F.col("xn"), F.col("yn"), percent))
+    both = met.join(rows.select("token", *side("x")), ["token", "xlabel", "xn"]).join(rows.select("token", *side("y")), ["token", "ylabel", "yn"])
     # groups of different components have all shingles that they share among these
-    pairs = rows.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("shared"), F.max(_places_fit("x", "y", percent)).alias("fit"))
-    pairs = pairs.where(F.col("fit") & (F.col("shared") >= _least_shared(SHARED, percent))).select("x", "y")
-    across = pairs.join(one, "x").join(two, "y")
-    mixed = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("grp").alias("x"))
-    within = one.join(mixed, "x").join(two, one["x"] == two["y"]).where(F.col("a") < F.col("b"))
-    both = across.where(F.col("la") != F.col("lb")).select("a", "b")
-    return both.union(within.where(F.col("la") != F.col("lb")).select("a", "b")).distinct()
+    ends = ["xgrp", "ygrp", "xlabel", "ylabel", "xn", "yn"]
+    pairs = both.groupBy(*ends).agg(F.count("*").alias("shared"), F.max(_places_fit("x", "y", percent)).alias("fit"))
+    pairs = pairs.where(F.col("fit") & (F.col("shared") >= _least_shared(SHARED, percent)))
+    end = lambda x, name: named.select(F.col("grp").alias(f"{x}grp"), F.col("label").alias(f"{x}label"), F.col("set").alias(name))
+    across = pairs.join(end("x", "a"), ["xgrp", "xlabel"]).join(end("y", "b"), ["ygrp", "ylabel"]).select("a", "b")
+    # sets of one group, of equal prefix and size, that are still apart
+    mixed = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
+    inner = named.join(mixed, "grp")
+    within = inner.select("grp", F.col("set").alias("a"), F.col("label").alias("la")).join(
+        inner.select("grp", F.col("set").alias("b"), F.col("label").alias("lb")), "grp"
+    )
+    return across.union(within.where("la < lb").select("a", "b")).distinct()
 
 
+@scoped
 def without_similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, with all columns, of one document of each component: that of least id.
-    Rows with a NULL id stay."""
-    found = similar(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(found, "similar"), "doc_id", "left_anti").select(docs.columns)
+
+    Rows are judged by their id and text: of an id with several texts, one can stay and another
+    go. Rows that are equal in both are one document, and stay or go together. Rows with a NULL id stay.
+    """
+    found = _components_of(docs, k, percent).where("component_id <> doc_id")
+    found = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "similar")
+    gone = (F.col("doc_id") == F.col("_id")) & (_text_hash() == F.col("_hash"))
+    return docs.join(found, gone, "left_anti").select(docs.columns)
