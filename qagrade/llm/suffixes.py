@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from qagrade.llm.anchors import anchor_places, copies, release, repeated_places
 from qagrade.llm.common import _splitmix, discard, narrow, random_words, slices, span_hashes, stored
+from qagrade.sources.scratch import scoped
 
 MATCH = 50
 SEED = 16
@@ -243,10 +245,27 @@ def _screened(key: np.ndarray, start: np.ndarray, texts: list[bytes]) -> np.ndar
     return np.array([any(s is not None and seen[s] > 1 for s in pair) for pair in sides], bool)
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), len(values))
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
 def _compared(contexts: DataFrame) -> DataFrame:
     """ctx and the places of its strings that a smaller document has. For an anchor of several tasks
-    each string is a row with its hash, its own and the least document of its equals there."""
-    doc = contexts.schema["lo"].dataType.simpleString()
+    each distinct string of a task is a row instead, with its hash, its least document there, and
+    the contexts, their documents and the places at which it stands."""
+    doc = contexts.schema["lo"].dataType
+    kind = to_arrow_type(doc)
+    schema = pa.schema(
+        [("ctx", pa.int64()), ("strings", pa.list_(pa.int32())), ("hash", pa.binary()), ("lo", kind),
+         ("contexts", pa.list_(pa.int64())), ("owners", pa.list_(kind)), ("places", pa.list_(pa.int32()))]
+    )
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         texts = table["bytes"].to_pylist()
@@ -261,32 +280,34 @@ def _compared(contexts: DataFrame) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(docs, bounds), np.diff(np.append(bounds, len(docs))))
         ctx = table["ctx"].to_numpy()[row]
         shared = parts[row] > 1
-        names = ["ctx", "strings", "own", "lo", "hash"]
         gone = np.flatnonzero((least < docs) & ~shared)
         gone = gone[np.argsort(row[gone], kind="stable")]
-        firsts = np.flatnonzero(np.concatenate([[True], row[gone][1:] != row[gone][:-1]])) if len(gone) else gone
-        bounds = np.append(firsts, len(gone)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ctx[gone[firsts]]),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(at[gone].astype(np.int32))),
-                pa.nulls(len(firsts), pa.from_numpy_dtype(docs.dtype)),
-                pa.nulls(len(firsts), pa.from_numpy_dtype(docs.dtype)),
-                pa.nulls(len(firsts), pa.binary()),
-            ],
-            names,
-        )
+        ends = _runs(row[gone])
+        yield _rows(ctx=pa.array(ctx[gone[ends[:-1]]]), strings=_lists(ends, pa.array(at[gone].astype(np.int32))))
+        # a string of an anchor that several tasks have is one row with all its places here
         out = np.flatnonzero(shared)
-        for o in np.array_split(out, len(out) // 100_000 + 1) if len(out) else ():
+        ends = _runs(number[out])
+        for i in range(0, len(ends) - 1, 50_000):
+            own = ends[i : i + 50_001]
+            places = out[own[0] : own[-1]]
+            first = out[own[:-1]]
             hashes = [
-                hashlib.blake2b(texts[i][a : a + MATCH], digest_size=16).digest()
-                for i, a in zip(row[o].tolist(), at[o].tolist(), strict=True)
+                hashlib.blake2b(texts[r][p : p + MATCH], digest_size=16).digest()
+                for r, p in zip(row[first].tolist(), at[first].tolist(), strict=True)
             ]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(o) + 1, dtype=np.int32)), pa.array(at[o].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ctx[o]), lists, pa.array(docs[o]), pa.array(least[o]), pa.array(hashes, pa.binary())], names
+            own = own - own[0]
+            yield _rows(
+                hash=pa.array(hashes, pa.binary()),
+                lo=pa.array(least[first]),
+                contexts=_lists(own, pa.array(ctx[places])),
+                owners=_lists(own, pa.array(docs[places])),
+                places=_lists(own, pa.array(at[places].astype(np.int32))),
             )
 
+    def _rows(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -313,7 +334,9 @@ def _compared(contexts: DataFrame) -> DataFrame:
 
     dealt = contexts.repartition("group").sortWithinPartitions("group")
     dealt = dealt.select("group", "key", "ctx", "lo", "before", "bytes", "parts")
-    return dealt.mapInArrow(run, f"ctx long, strings array<int>, own {doc}, lo {doc}, hash binary")
+    doc = doc.simpleString()
+    lists = f"contexts array<long>, owners array<{doc}>, places array<int>"
+    return dealt.mapInArrow(run, f"ctx long, strings array<int>, hash binary, lo {doc}, {lists}")
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -346,8 +369,10 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alone = told.where("hash IS NULL").select("ctx", "strings")
     combined = told.where("hash IS NOT NULL")
     least = combined.groupBy("hash").agg(F.min("lo").alias("least"))
-    shared = combined.join(least, "hash").where("least < own").groupBy("ctx").agg(
-        F.flatten(F.collect_list("strings")).alias("strings")  # at most one place for each byte before the anchor
+    places = F.arrays_zip("contexts", "owners", "places")
+    shared = combined.join(least, "hash").select("least", F.explode(places).alias("x")).where("least < x.owners")
+    shared = shared.groupBy(F.col("x.contexts").alias("ctx")).agg(
+        F.collect_list("x.places").alias("strings")  # at most one place for each byte before the anchor
     )
     strings = alone.union(shared)
     where = found.select("ctx", "doc_id", "start", "before", "size")
@@ -370,6 +395,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spans, copied
 
 
+@scoped
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, the bytes left, how many bytes there were and went, and in how many runs."""
     spans, copied = removed_spans(docs)
