@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from qagrade.llm import contamination, ngram_join, statements, substrings, suffixes
+from qagrade.llm import contamination, ngram_join, queries, statements, substrings, suffixes
 from qagrade.llm.common import WORD
 from qagrade.llm.components import components
 
@@ -57,6 +57,35 @@ def test_ngram_join_links_what_no_hub_reaches(spark):
     assert got == joined(by_id, 4, 85)
 
 
+def test_without_similar_loses_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, b, "x"), (2, b, "y"), (2, a, "z"), (3, a + " more", "u"), (3, a + " more", "u"), (None, b, "n"), (None, None, "n"), (4, None, "e"), (4, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set string")
+    left = sorted(map(tuple, ngram_join.without_similar(docs).collect()), key=str)
+    # the row of id 2 with a text of its own stays, and the rows without words
+    assert left == sorted([rows[0], rows[2], *rows[5:]], key=str)
+    again = [(7, a, "u"), (7, a, "v"), (8, a, "w")]
+    left = ngram_join.without_similar(spark.createDataFrame(again, "doc_id long, text string, set string")).collect()
+    assert sorted(r.set for r in left) == ["u", "v"]
+
+
+def test_ngram_join_of_families_that_share_a_passage(spark, monkeypatch):
+    """Families of near copies with a passage in common, more partners than one task takes."""
+    monkeypatch.setattr(ngram_join, "PARTNERS", 4)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(12)]
+    by_id = {}
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(40)]
+        for member in range(25):
+            own = list(base)
+            own[rng.randrange(40)] = f"x{member % 9}"
+            by_id[len(by_id)] = " ".join(own[:20] + passage + own[20:])
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs).collect()}
+    assert got == joined(by_id, 4, 85)
+
+
 def test_ngram_join_of_odd_tables(empty, odd):
     assert ngram_join.similar(empty).count() == 0
     rows = ngram_join.similar(odd).collect()
@@ -190,24 +219,38 @@ def benchmark(spark, by_id):
 def contained(by_id, benchmark):
     out = set()
     for item in benchmark.collect():
-        own = shingles((item.text or "").lower(), 5)
+        k = min(len(words((item.text or "").lower())), 5)
+        own = shingles((item.text or "").lower(), k) if k else ()
         for i, t in by_id.items():
-            if own and len(own & shingles(t.lower(), 5)) >= 0.8 * len(own):
+            # an item of fewer than five words is one run of so many
+            if own and len(words(t)) >= k and len(own & shingles(t.lower(), k)) >= 0.8 * len(own):
                 out.add((i, item.item_id))
     return out
 
 
-@pytest.mark.parametrize("block", [5, 1 << 20])
-def test_contamination(docs, by_id, benchmark, block, monkeypatch):
-    monkeypatch.setattr(contamination.item_blocks, "__defaults__", (block,))
-    got = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, benchmark).collect()}
+def test_contamination(docs, by_id, benchmark):
+    got = [(r.doc_id, r.item_id) for r in contamination.contaminated(docs, benchmark).collect()]
     want = contained(by_id, benchmark)
-    assert got <= want and len(got) >= 0.9 * len(want) > 5
+    assert sorted(got) == sorted(want) and len(want) > 5
     left = contamination.decontaminated(docs, benchmark)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == set(by_id) - {i for i, _ in got}
 
 
+def test_contamination_finds_short_items_inside_documents(spark):
+    texts = ["the Capital of France is a big city", "capital", "of France", "capital of\nfrance", "the capitals of France", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[3])], "doc_id long, text string")
+    items = ["capital of France", "CAPITAL", "big city", "of france is a big", " ", None, "is a big city"]
+    benchmark = spark.createDataFrame([*enumerate(items), (1, items[1])], "item_id int, text string")
+    got = sorted((tuple(r) for r in contamination.contaminated(docs, benchmark).collect()), key=str)
+    runs = [(0, 0), (0, 1), (0, 2), (0, 6), (1, 1), (3, 0), (3, 1), (0, 3)]
+    want = [(d, i) for d, i in runs if d == 0] * 2 + [x for x in runs if x[0]] + [(None, 0), (None, 1)]
+    want += [(d, i) for d, i in want if i == 1]  # the item stands twice
+    assert got == sorted(((d, i, 1, 1, 1.0) for d, i in want), key=str)
+    left = contamination.decontaminated(docs, benchmark.where("item_id <> 1"))
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 4, 5, 6]
+
+
 def test_contamination_finds_every_small_item(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -222,7 +265,25 @@ def test_contamination_finds_every_small_item(spark):
 def test_contamination_of_odd_tables(docs, empty, odd, benchmark):
     assert contamination.contaminated(empty, benchmark).count() == 0
     assert contamination.contaminated(docs, benchmark.limit(0)).count() == 0
-    assert contamination.decontaminated(odd, benchmark).count() <= odd.count()
+    assert contamination.decontaminated(odd, benchmark).count() == odd.count()
+    one = benchmark.selectExpr("0 AS item_id", "'word3 word4' AS text").limit(1)
+    # rows go by their own texts, whatever their ids
+    left = contamination.decontaminated(odd, one).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:4]) for r in left), key=str) == [(2, "p q "), (5, ""), (None, ""), (None, "p q ")]
+
+
+def test_contamination_statement_with_short_items(spark, tmp_path):
+    texts = ["the Capital of France is a big city", "capital of france", "a b c d e f g h i", "b c\td  e", None, ""]
+    items = ["capital of France", "b c d e", "a b c d e f g x", "  ", None, "city"]
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.sql(statements.SQL["op5_contamination"])
+    got = queries.QUERIES["op5_contamination"](spark, str(tmp_path)).select(*want.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall()) and [r[:2] for r in rows] == [(0, 0), (0, 5), (1, 0), (2, 1), (3, 1)]
 
 
 @pytest.mark.parametrize("name", sorted(statements.SQL))
