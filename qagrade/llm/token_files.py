@@ -6,9 +6,12 @@ by ranges of their ids, so files and blocks ascend; a block holds whole document
 `BLOCK_IDS` ids, can be read alone, and has the bit offset of every `CHECKPOINT`-th id, from
 which all its segments are decoded together, one table look-up a step.
 
-The container of the blocks is a Parquet table (any store that Spark reads): `part` and `block`
-give the order, `start` the ids before the block in its part, `doc_ids` and `lengths` the
-documents, `offsets` the checkpoints, `payload` the bits.
+The files are a folder that can be read alone, in any store that Spark reads. `blocks` is a Parquet
+table: `part` and `block` give the order, `start` the ids before the block in its part, `doc_ids` and
+`lengths` the documents, `offsets` the checkpoints, `payload` the bits. `lengths` is the code, as the
+bits of each id: codes are canonical, so nothing else is needed.
+
+Texts are encoded as the library encodes them: the strings of added tokens in a text are those tokens.
 
 Defined results: NULL and empty texts hold the end id alone; NULL doc_ids come first; equal
 doc_ids are ordered by their ids; an empty table has no blocks; other columns are ignored.
@@ -23,18 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qagrade.llm.common import discard, narrow, stored, worker_cache
+from qagrade.llm.common import discard, narrow, ship, stored, worker_cache
+from qagrade.sources.scratch import scoped, scratch_path
 
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 PART_IDS = 8 << 20
 MEMO_ENTRIES = 600_000
-#: Characters that Python's split() takes for white space and tokenizer files do not.
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
 #: A sign of its own, whose id no other text has.
 _MARK = "\x7f"
 #: Signs that a tokenizer parts from the letter or digit before them.
@@ -48,14 +50,17 @@ _WORKER: dict[str, CachedTokenizer] = worker_cache()
 class CachedTokenizer:
     """Ids of whole texts, by a memo of the stretches between white space.
 
-    It needs a tokenizer that drops white space and never joins what stands on both sides of
+    Texts with an added token, or with characters that Python takes for white space and tokenizer
+    files do not, are left to the library whole. It needs a tokenizer that drops white space and never joins what stands on both sides of
     it; `splits_at_space` holds for those.
     """
 
     def __init__(self, file: str, kind: str):
         self.model = Tokenizer.from_str(file)
-        self.model.encode_special_tokens = True
         self.kind = kind
+        # added tokens are found in whole texts, before anything is split
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *added]), re.IGNORECASE).search
         self.mark = self.model.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the tokenizer needs one id for the character 127")
@@ -115,12 +120,13 @@ class CachedTokenizer:
             self.memo, self.old = {}, self.memo
         memo = self.memo
         parts = [t.split() for t in texts]
+        parts = [() if self.whole(t) else p for t, p in zip(texts, parts, strict=True)]
         new = set().union(*parts).difference(memo)
         if new:
             self._learn(new)
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
         for i, t in enumerate(texts):
-            if _SEPARATORS(t):
+            if self.whole(t):
                 out[i] = self._whole(t)
         while self.long:  # very long stretches are not kept
             x = self.long.pop()
@@ -147,7 +153,6 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     with open(path, encoding="utf-8") as lines:
         file = lines.read()
     model = Tokenizer.from_str(file)
-    model.encode_special_tokens = True
     if not splits_at_space(model):
         raise ValueError("the tokenizer has to drop white space and split at it")
     kind = "<u2" if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
@@ -291,8 +296,17 @@ BLOCK_SCHEMA = (
 )
 
 
-def write_blocks(ids: DataFrame, code: Code) -> DataFrame:
-    """The stored blocks of a table of ids, in ascending doc_id order."""
+def write_files(ids: DataFrame, path: str) -> None:
+    """Write the blocks of a table of ids, in ascending doc_id order, and their code to a folder."""
+    code = make_code(id_counts(ids))
+    used = np.flatnonzero(code.lengths)
+    # one row an id that occurs: as many as the vocabulary at most
+    lengths = pa.table({"id": pa.array(used, pa.int32()), "length": pa.array(code.lengths[used], pa.int32())})
+    ids.sparkSession.createDataFrame(lengths).coalesce(1).write.parquet(f"{path}/lengths")
+    _blocks(ids, code).write.option("compression", "none").parquet(f"{path}/blocks")
+
+
+def _blocks(ids: DataFrame, code: Code) -> DataFrame:
     kind, shared = ids._id_kind, ids.sparkSession.sparkContext.broadcast(code)
     total = ids.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PART_IDS), min(total // BLOCK_IDS, ids.sparkSession.sparkContext.defaultParallelism))
@@ -333,12 +347,23 @@ def write_blocks(ids: DataFrame, code: Code) -> DataFrame:
             yield flush()
 
     dealt = ids.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    return stored(dealt.mapInArrow(run, schema), "blocks", compression="none")
+    return dealt.mapInArrow(run, schema)
 
 
-def read_blocks(blocks: DataFrame, code: Code) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit)."""
-    spark, shared = blocks.sparkSession, blocks.sparkSession.sparkContext.broadcast(code)
+def read_code(spark: SparkSession, path: str) -> Code:
+    """The code of written files."""
+    rows = spark.read.schema("id int, length int").parquet(f"{path}/lengths").toArrow()
+    lengths = np.zeros(max(rows["id"].to_pylist(), default=-1) + 1, np.int64)
+    lengths[rows["id"].to_numpy()] = rows["length"].to_numpy()
+    return Code(lengths)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit) of the
+    documents in written files."""
+    ship(spark)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    shared = spark.sparkContext.broadcast(read_code(spark, path))
     # One total for each part, of which there are as many as write tasks.
     totals = blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toArrow().to_pydict()
     before = dict(zip(totals["part"], np.concatenate([[0], np.cumsum(totals["n"])])[:-1].astype(int).tolist(), strict=True))
@@ -369,11 +394,11 @@ def with_crc32(read: DataFrame) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@scoped
 def files_round_trip(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Write the block files of all documents and read them back."""
+    """Write the files of all documents to the shared folder and read them back."""
+    files = scratch_path(docs.sparkSession, "llm-token-files")
     ids = encoded(docs, path, end_id)
-    code = make_code(id_counts(ids))
-    blocks = write_blocks(ids, code)
+    write_files(ids, files)
     discard(ids)
-    return read_blocks(blocks, code)
-
+    return read_files(docs.sparkSession, files)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -59,7 +62,6 @@ def test_encode_keeps_columns(docs, by_id, empty, odd):
 
 def test_token_files(docs, by_id):
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     rows = token_files.with_crc32(token_files.files_round_trip(docs, WORDS, 2)).collect()
     start = 0
     for row in sorted(rows, key=lambda r: r.doc_id):
@@ -69,6 +71,37 @@ def test_token_files(docs, by_id):
     assert len(rows) == len(by_id)
 
 
+def test_token_files_have_the_ids_of_added_tokens(spark):
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>B", "<|ENDOFTEXT|> x", "plain"]
+    model = Tokenizer.from_file(WORDS)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.files_round_trip(docs, WORDS, 2).collect()}
+    assert rows == {i: [*model.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert rows[0] == [1883, 49407, 997, 2]
+
+
+READER = """
+import sys, zlib
+from pyspark.sql import SparkSession
+from qagrade.llm.token_files import read_files
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for row in read_files(spark, sys.argv[1]).orderBy("start").collect():
+    print(row.doc_id, row.start, row.n_tokens, zlib.crc32(row.ids))
+"""
+
+
+def test_token_files_can_be_read_in_another_session(docs, tmp_path):
+    path = str(tmp_path / "files")
+    token_files.write_files(token_files.encoded(docs, WORDS, 2), path)
+    here = token_files.with_crc32(token_files.read_files(docs.sparkSession, path)).collect()
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": root}
+    there = subprocess.run([sys.executable, "-c", READER, path], env=env, check=True, timeout=300, capture_output=True, text=True).stdout
+    rows = [tuple(map(int, line.split())) for line in there.splitlines()]
+    assert sorted(rows) == sorted(map(tuple, here)) and len(rows) == len(here) > 0
+
+
 def test_token_files_of_odd_tables(empty, odd):
     assert token_files.files_round_trip(empty, WORDS, 2).count() == 0
     rows = token_files.files_round_trip(odd, WORDS, 2).collect()
@@ -80,9 +113,8 @@ def test_cached_tokenizer_is_the_library():
     with open(WORDS, encoding="utf-8") as lines:
         file = lines.read()
     cached, model = token_files.CachedTokenizer(file, "<u2"), Tokenizer.from_str(file)
-    model.encode_special_tokens = True
     rng = random.Random(2)
-    parts = ["a", "B", " ", "\n", "\x7f", "'s", "'LL", "1", "é", "É", "!!", "😀", "́", "<|endoftext|>", "Σ", "İ", "क़", "\xa0", "½", "\x1d", "||"]
+    parts = ["a", "B", " ", "\n", "\x7f", "'s", "'LL", "1", "é", "É", "!!", "😀", "́", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|end", "oftext|>", "Σ", "İ", "क़", "\xa0", "½", "\x1d", "||"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
         assert np.frombuffer(cached.encode([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
