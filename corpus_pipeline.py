@@ -1,8 +1,9 @@
 """Documents to clean, distinct, tokenised training text, stage by stage.
 
 `run` writes each stage's rows to the shared folder and reads them again as the next one's
-documents. All stages but the last keep the columns of `documents`. Rows with a NULL text or id
-pass every filter; an empty table passes through.
+documents. All stages but the last keep the columns of `documents`. Rows with a NULL text pass
+every filter; rows with a NULL id are judged by their texts, but count for no group of near copies. An
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from qagrade.llm import byte_bpe, contamination, ngram_join, secrets, toxicity
-from qagrade.llm.common import documents, ship, stored
+from qagrade.llm.common import discard, documents, ship, stored
+from qagrade.sources.scratch import scoped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +61,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@scoped
+def _stored_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, stage: Callable) -> DataFrame:
+    """A stage's rows as a table; what the stage kept meanwhile is deleted."""
+    return stored(stage(spark, docs, sf_dir), name)
+
+
+@scoped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, _stored_stage(spark, docs, sf_dir, name, stage)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
