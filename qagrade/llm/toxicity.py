@@ -1,16 +1,18 @@
 """Toxicity by multiple-instance learning: sentences are scored, their noisy-or is the text's score.
 
 Labels are of whole texts. A sentence's features are its words (A-Z lowered, signs at the ends
-off) and their first 4, 6 and 7 bytes, hashed. Of a bounded sample of labelled rows
-(`TRAINING_ROWS`, those of least id hash of the labelled documents) the `FEATURES` features that most speak for or against the label are
-chosen by the G statistic of their document counts, counted in Spark; a logistic weight for each and one bias
+off) and their first 4, 6 and 7 characters, hashed. The sample of labelled rows is bounded
+(`TRAINING_ROWS` and `TRAINING_BYTES`, those of least id hash of the labelled documents). Its features
+are tested by the G statistic of their document counts, counted in Spark; of m tested ones those are
+kept whose G is above log(m), which few do by luck, so their number follows the sample and no other
+row has a say. A logistic weight for each and one bias
 are fitted on the driver by the likelihood of the labels under
 1 - product over sentences of (1 - sigmoid(weights)). Then every text is scored and its
 sentences above `OFFENDING` are located.
 
 Defined results: NULL and empty texts have no sentence and score 0; rows repeat as they are; only
 `doc_id` and `text` of the documents are read; labels that are NULL do not train, an id labelled
-twice counts as toxic if any of its labels is, equal texts of one id train once; without any training row every score is 0.
+twice counts as toxic if any of its labels is, equal texts of one id train once; without training rows of both labels every score is 0.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qagrade.llm.common import Words, discard, lowered, narrow, slices, span_hashes, stored
+from qagrade.sources.scratch import scope
 
 TRAINING_ROWS = 20_000
-FEATURES = 1024
+TRAINING_BYTES = 96 << 20
 MIN_ROWS = 3
 PREFIXES = (4, 6, 7)
 OFFENDING = 0.5
@@ -80,10 +83,12 @@ class Sentences:
         """(words, hashes of one kind of feature)."""
         everything = np.arange(len(self.words))
         yield everything, span_hashes(self.data, self.left, self.right)
+        first = np.flatnonzero((self.data & 0xC0) != 0x80)  # first bytes of characters
+        begin, end = np.searchsorted(first, self.left), np.searchsorted(first, self.right)
         for k in PREFIXES:
-            longer = np.flatnonzero(self.right - self.left > k)
+            longer = np.flatnonzero(end - begin > k)
             # the constant tells a prefix from a word of the same letters
-            yield longer, span_hashes(self.data, self.left[longer], self.left[longer] + k) ^ np.uint64(k)
+            yield longer, span_hashes(self.data, self.left[longer], first[begin[longer] + k]) ^ np.uint64(k)
 
 
 def _found(sentences: Sentences, known: np.ndarray, screen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,21 +112,24 @@ def _screen(known: np.ndarray) -> np.ndarray:
 # --- training ------------------------------------------------------------------------------
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> DataFrame:
     """The texts and labels (`toxic` 0 or 1) of the bounded sample."""
     own = narrow(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = narrow(docs, "doc_id", "text").withColumn("which", F.xxhash64("text"))
     # the bound is of documents that are there, one row an id and text
-    own = texts.select("doc_id", "which").join(own, "doc_id").distinct()
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "which").limit(rows)
-    # `rows` rows at most, so the broadcast is bounded
+    own = texts.select("doc_id", "which", F.octet_length("text").alias("size")).join(own, "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("which")]
+    # `rows` rows at most, so the window and the broadcast are bounded
+    held = F.sum("size").over(Window.orderBy(*order))
+    own = own.orderBy(*order).limit(rows).withColumn("held", F.coalesce(held, F.lit(0))).where(F.col("held") <= size)
+    own = own.select("doc_id", "which", "toxic")
     found = texts.join(F.broadcast(own), ["doc_id", "which"])
     return found.groupBy("doc_id", "which").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def telling_features(train: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Hashes of the features that most speak for or against the label by their document counts, sorted."""
+def telling_features(train: DataFrame) -> np.ndarray:
+    """Hashes of the features that speak for or against the label by their document counts, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,17 +167,23 @@ def telling_features(train: DataFrame, features: int = FEATURES) -> np.ndarray:
     for seen, total in (("bad", bad), ("good", good)):
         share = total / (bad + good)
         gain = gain + term(F.col(seen), n * share) + term(total - F.col(seen), (bad + good - n) * share)
-    kept = counts.where((n >= MIN_ROWS)).orderBy(F.desc(gain), "feature").limit(features)
-    return np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64).view(np.uint64))
+    # the gain is half of G
+    tested = stored(counts.where(n >= MIN_ROWS).select("feature", gain.alias("gain")), "features")
+    kept = tested.where(2 * F.col("gain") >= float(np.log(max(tested.count(), 1)))).select("feature").toArrow()
+    discard(tested)
+    return np.sort(kept["feature"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Weights of the telling features from the bounded sample of labelled rows."""
-    train = stored(training_rows(docs, labels, rows), "toxicity-sample")
-    known = telling_features(train, features)
+    with scope():
+        return _fitted(stored(training_rows(docs, labels, rows), "toxicity-sample"))
+
+
+def _fitted(train: DataFrame) -> Model:
+    known = telling_features(train)
     if not len(known):
-        discard(train)
-        return Model(np.zeros(1, np.uint64), np.zeros(1), -50.0)
+        return Model(np.zeros(1, np.uint64), np.zeros(1), -np.inf)
     screen = _screen(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,23 +194,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, features:
                 sentence, which = _found(own, known, screen)
                 counts = np.bincount(own.doc, minlength=end - row)
                 doc = own.doc[sentence]
+                own_first = np.searchsorted(own.doc, np.arange(end - row))
                 for i in range(end - row):
                     mine = doc == i
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([toxic[row + i]], pa.int32()),
                             pa.array([int(counts[i])], pa.int64()),
-                            pa.array([sentence[mine].tolist()], pa.list_(pa.int64())),
-                            pa.array([which[mine].tolist()], pa.list_(pa.int64())),
+                            pa.array([(sentence[mine] - own_first[i]).tolist()], pa.list_(pa.int32())),
+                            pa.array([which[mine].tolist()], pa.list_(pa.int32())),
                         ],
                         ["toxic", "sentences", "sentence", "which"],
                     )
 
     bags = train.select("text", F.col("toxic").cast("int")).mapInArrow(
-        run, "toxic int, sentences long, sentence array<long>, which array<long>"
+        run, "toxic int, sentences long, sentence array<int>, which array<int>"
     )
     bags = bags.orderBy(F.hash("toxic", "sentences", "which")).toArrow()  # of the bounded sample
-    discard(train)
     lists = [bags["sentence"].combine_chunks(), bags["which"].combine_chunks()]
     weights, bias = noisy_or_fit(
         bags["toxic"].to_numpy() > 0,
@@ -207,32 +221,57 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, features:
     return Model(known, weights, bias)
 
 
+class Bags:
+    """Texts as bags of sentences, and the penalised loss of weights and bias on their labels."""
+
+    PENALTY = 0.05
+
+    def __init__(self, toxic: np.ndarray, sentences: np.ndarray, sentence: list, which: list, features: int):
+        owner, unit, feature, at = [], [], [], 0
+        for i, (s, w) in enumerate(zip(sentence, which, strict=True)):
+            distinct, own = np.unique(s, return_inverse=True)
+            owner.append(np.full(len(distinct), i))
+            unit.append(own + at)
+            feature.append(w)
+            at += len(distinct)
+        self.owner, self.unit, self.feature = (np.concatenate(x).astype(np.int64) for x in (owner, unit, feature))
+        self.toxic, self.units, self.features = toxic, at, features
+        #: sentences without a feature
+        self.plain = sentences - np.bincount(self.owner, minlength=len(toxic))
+
+    def _odds(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of each sentence with a feature, and each text's log chance of no offending sentence."""
+        z = value[-1] + np.bincount(self.unit, value[:-1][self.feature], minlength=self.units)
+        none = -np.bincount(self.owner, np.logaddexp(0, z), minlength=len(self.toxic)) - self.plain * np.logaddexp(0, value[-1])
+        return z, none
+
+    def loss(self, value: np.ndarray) -> float:
+        _, none = self._odds(value)
+        with np.errstate(divide="ignore"):
+            likely = np.where(self.toxic, np.log(-np.expm1(none)), none)
+        return float(-likely.sum() + self.PENALTY / 2 * (value[:-1] ** 2).sum())
+
+    def slope(self, value: np.ndarray) -> np.ndarray:
+        z, none = self._odds(value)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-value[-1]))
+        # derivative of the loss by the log chance of no offending sentence
+        pull = np.where(self.toxic, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0)
+        by_unit = -pull[self.owner] * p
+        slope = np.empty(self.features + 1)
+        slope[:-1] = np.bincount(self.feature, by_unit[self.unit], minlength=self.features) + self.PENALTY * value[:-1]
+        slope[-1] = by_unit.sum() - (pull * self.plain).sum() * p0
+        return slope
+
+
 def noisy_or_fit(
     toxic: np.ndarray, sentences: np.ndarray, sentence: list, which: list, features: int, steps: int = 400
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of greatest penalised likelihood, by Adam over whole bags."""
-    owner, unit, feature, at = [], [], [], 0
-    for i, (s, w) in enumerate(zip(sentence, which, strict=True)):
-        distinct, own = np.unique(s, return_inverse=True)
-        owner.append(np.full(len(distinct), i))
-        unit.append(own + at)
-        feature.append(w)
-        at += len(distinct)
-    owner, unit, feature = (np.concatenate(x).astype(np.int64) for x in (owner, unit, feature))
-    plain = sentences - np.bincount(owner, minlength=len(toxic))  # sentences without a feature
+    bags = Bags(toxic, sentences, sentence, which, features)
     value, mean, square = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     value[-1] = -5.0
     for step in range(1, steps + 1):
-        weights, bias = value[:-1], value[-1]
-        z = bias + np.bincount(unit, weights[feature], minlength=at)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        none = -np.bincount(owner, np.logaddexp(0, z), minlength=len(toxic)) - plain * np.logaddexp(0, bias)
-        # derivative of the loss by the log chance of no offending sentence
-        pull = np.where(toxic, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0)
-        by_unit = -pull[owner] * p
-        slope = np.empty(features + 1)
-        slope[:-1] = np.bincount(feature, by_unit[unit], minlength=features) + 0.05 * weights
-        slope[-1] = by_unit.sum() - (pull * plain).sum() * p0
+        slope = bags.slope(value)
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
         value = value - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
