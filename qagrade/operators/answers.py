@@ -8,7 +8,7 @@ last: what a run leaves behind half-way is never read. A later run asks for the
 
     <log>/_settings          digits of the hash that name a batch, fixed by the first run
     <log>/_claims/<batch>    somebody is asking for the batch
-    <log>/batch-<batch>-<run>/   answers, parquet
+    <log>/batch=<batch>-<run>/   answers, parquet
     <log>/_manifest/<batch>-<run>  the folder of that name is whole
 """
 
@@ -75,7 +75,7 @@ class AnswerLog:
         A request can be stored twice only if a claim was given up while it was still worked on:
         then the answer of the first run by name counts.
         """
-        folders = [f"{self.path}/batch-{name}" for name in self._names("_manifest") if name.startswith(batch)]
+        folders = [f"{self.path}/batch={name}" for name in self._names("_manifest") if name.startswith(batch)]
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*folders).withColumn("_from", F.col("_metadata.file_path"))
@@ -101,7 +101,7 @@ class AnswerLog:
     def store(self, batch: str, answers: DataFrame) -> None:
         """Write the answers of a claimed batch, and its manifest when they are whole."""
         name = f"{batch}-{uuid.uuid4().hex}"
-        answers.write.parquet(f"{self.path}/batch-{name}")
+        answers.write.parquet(f"{self.path}/batch={name}")
         self._create(self.run, "_manifest", name)
 
 
