@@ -1,11 +1,12 @@
 """N-gram Jaccard join: grouped prefix join of the documents' shingle sets.
 
 Shingles are ordered from rare to frequent by a fixed-size count sketch (any order is right, this
-one makes the prefixes telling). Two sets that are similar enough share `SHARED` shingles of
-their prefixes, or all they have to share if that is less. Documents of equal sets are one set; sets of equal prefixes and size are one group.
-Group pairs come from the shared prefix shingles, are filtered by size, by place and by how much
-their prefixes share, and are expanded to their sets, which are made from the texts and verified
-exactly.
+one makes the prefixes telling). Two sets of m and n shingles that are similar enough have o in
+common, by their sizes, so they share `SHARED` of the first m - o + `SHARED` shingles of one and
+n - o + `SHARED` of the other, or all o if that is less. Documents of equal sets are one set; sets
+of equal prefixes and size are one group. Group pairs come from shared shingles at such places, are
+filtered by size and by how many they share, and are expanded to their sets, which are made from
+the texts and verified exactly.
 
 Only connected components are asked for, so what is connected need not be paired again: first
 each prefix shingle pairs its groups with `HUBS` of them only, which joins large families of near
@@ -41,8 +42,8 @@ PERCENT = 85
 SKETCH_BITS = 22
 SEGMENT_BITS = 16
 HUBS = 3
-PARTNERS = 512  #: sets that are compared with one kept set in a task, about
-SHARED = 8  #: prefix shingles that similar sets have in common at least
+PARTNERS = 128  #: sets that are compared with one kept set in a task, about
+SHARED = 2  #: prefix shingles that similar sets have in common at least
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -159,15 +160,19 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _places_fit(a: str, b: str, percent: int) -> Column:
-    """Whether enough shingles can be common if the two places are the first common ones."""
-    most = 1 + F.least(F.col(f"{a}n") - F.col(f"{a}at"), F.col(f"{b}n") - F.col(f"{b}at")) - 1
-    return most * (100 + percent) >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+def _common(percent: int) -> Column:
+    """Shingles that similar sets of sizes xn and yn have in common at least."""
+    return F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
 
 
-def _least_shared(limit: int, percent: int) -> Column:
-    """Prefix shingles that similar sets of sizes xn and yn share at least, up to `limit`."""
-    return F.least(F.lit(limit), F.ceil(percent * F.greatest("xn", "yn") / 100))
+def _places_fit(percent: int) -> Column:
+    """Whether the places xat and yat are among those at which similar sets share `SHARED` shingles."""
+    first = _common(percent) - SHARED
+    return (F.col("xat") < F.col("xn") - first) & (F.col("yat") < F.col("yn") - first)
+
+
+def _shared_enough(count: str, percent: int) -> Column:
+    return F.col(count) >= F.least(F.lit(SHARED), _common(percent))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,16 +269,18 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Each group of a shingle with a few of them: HUBS times as many pairs as postings at most."""
-    hub = lambda i: F.min(F.struct(F.xxhash64("grp", F.lit(i)).alias("o"), "grp", "n", "at"))
+    # the group with the fewest rarer shingles, which is what near copies have most in common, and others
+    orders = [[F.col("at")], *[[] for _ in range(HUBS - 1)]]
+    hub = lambda i: F.min(F.struct(*orders[i], F.xxhash64("grp", F.lit(i)).alias("o"), "grp"))
     hubs = postings.groupBy("token").agg(F.array_distinct(F.array(*[hub(i)["grp"] for i in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("token", F.explode("hubs").alias("hub"))
     ends = postings.select("token", F.col("grp").alias("hub"), F.col("n").alias("yn"), F.col("at").alias("yat"))
     rows = postings.select("token", "grp", F.col("n").alias("xn"), F.col("at").alias("xat"))
     rows = rows.join(hubs.join(ends, ["token", "hub"]), "token").where(F.col("grp") != F.col("hub"))
-    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent))
+    rows = rows.where(_sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit(percent))
     # near copies have the same hub for most shingles; what this leaves out is paired later
     pairs = rows.groupBy(F.col("grp").alias("x"), F.col("hub").alias("y"), "xn", "yn").count()
-    return pairs.where(F.col("count") >= _least_shared(SHARED // 2, percent)).select("x", "y")
+    return pairs.where(_shared_enough("count", percent)).select("x", "y")
 
 
 def _all_pairs(postings: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -288,16 +295,16 @@ def _all_pairs(postings: DataFrame, members: DataFrame, labels: DataFrame, perce
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rows = stored(rows.join(several, "token"), "open")
     side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("grp", "n", "at", "label")]
-    met = rows.select("token", "label", "n").distinct()
-    met = met.select("token", *[F.col(c).alias(f"x{c}") for c in ("label", "n")]).join(
-        met.select("token", *[F.col(c).alias(f"y{c}") for c in ("label", "n")]), "token"
+    met = rows.groupBy("token", "label", "n").agg(F.min("at").alias("at"))
+    met = met.select("token", *[F.col(c).alias(f"x{c}") for c in ("label", "n", "at")]).join(
+        met.select("token", *[F.col(c).alias(f"y{c}") for c in ("label", "n", "at")]), "token"
     )
-    met = met.where((F.col("xlabel") < F.col("ylabel")) & _sizes_fit(F.col("xn"), F.col("yn"), percent))
+    fit = _sizes_fit(F.col("xn"), F.col("yn"), percent) & _places_fit(percent)
+    met = met.where((F.col("xlabel") < F.col("ylabel")) & fit).drop("xat", "yat")
     both = met.join(rows.select("token", *side("x")), ["token", "xlabel", "xn"]).join(rows.select("token", *side("y")), ["token", "ylabel", "yn"])
     # groups of different components have all shingles that they share among these
-    ends = ["xgrp", "ygrp", "xlabel", "ylabel", "xn", "yn"]
-    pairs = both.groupBy(*ends).agg(F.count("*").alias("shared"), F.max(_places_fit("x", "y", percent)).alias("fit"))
-    pairs = pairs.where(F.col("fit") & (F.col("shared") >= _least_shared(SHARED, percent)))
+    pairs = both.where(_places_fit(percent)).groupBy("xgrp", "ygrp", "xlabel", "ylabel", "xn", "yn").count()
+    pairs = pairs.where(_shared_enough("count", percent))
     end = lambda x, name: named.select(F.col("grp").alias(f"{x}grp"), F.col("label").alias(f"{x}label"), F.col("set").alias(name))
     across = pairs.join(end("x", "a"), ["xgrp", "xlabel"]).join(end("y", "b"), ["ygrp", "ylabel"]).select("a", "b")
     # sets of one group, of equal prefix and size, that are still apart
