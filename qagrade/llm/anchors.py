@@ -3,8 +3,9 @@
 Of each window of `window` symbols the k-gram of least hash is an anchor. The choice depends on
 the window's content alone, so a window that occurs in two texts has the same anchor in both: a
 window whose anchor occurs in one document only need not be looked at. Anchors are counted with
-partial sums before any shuffle, and joined with those that repeat by an ordinary join, which
-Spark splits where one anchor is very frequent.
+partial sums before the shuffle. A filter of those that repeat, of a bounded size, goes to the texts
+then, so their places are not shuffled and no task has all of a frequent anchor; the few others
+that it passes are places of one document, which the callers find without an equal.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qagrade.llm.common import discard, slices, stored
+from qagrade.llm.common import discard, key_filter, slices, stored
 
 
 def running(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
@@ -53,21 +55,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _anchors(texts: DataFrame, find: Finder, places: bool) -> DataFrame:
+def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None) -> DataFrame:
+    """key and doc_id of all anchors, or those and the places of the anchors that pass a filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, offsets, data in slices(batch.column(1)):
                 doc, at, key = find(offsets, data)
+                if known:
+                    kept = known.value.passes(key)
+                    doc, at, key = doc[kept], at[kept], key[kept]
                 columns = [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row + doc))]
                 names = ["key", "doc_id"]
-                if places:
+                if known:
                     columns.append(pa.array(at.astype(np.int32)))
                     names.append("at")
                 for a in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in columns], names)
 
     doc = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"key long, doc_id {doc}" + (", at int" if places else ""))
+    return texts.mapInArrow(run, f"key long, doc_id {doc}" + (", at int" if known else ""))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -83,17 +90,28 @@ def copies(docs: DataFrame) -> DataFrame:
     return stored(found.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "copies")
 
 
+def _repeated(anchors: DataFrame) -> Broadcast:
+    """A filter of the anchors that several documents have."""
+    spans = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    several = stored(spans.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
+    out = anchors.sparkSession.sparkContext.broadcast(key_filter(several))
+    discard(several)
+    release(anchors.sparkSession)
+    return out
+
+
 def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFrame:
-    """key, doc_id and place of the anchors of several documents, exact copies left out, stored."""
-    spark = texts.sparkSession
-    counted = _anchors(texts, find, False).groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = stored(counted.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
-    release(spark)
-    found = _anchors(texts, find, True).join(several, "key").join(copied, "doc_id", "left_anti")
-    found = stored(found, "places")
-    release(spark)
-    left = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    out = stored(found.join(left.where(F.col("lo") < F.col("hi")).select("key"), "key"), "places")
-    discard(several, found)
-    release(spark)
+    """key, doc_id and place of the anchors of several documents, and of few others, exact copies
+    left out, stored."""
+    found = _anchors(texts, find, _repeated(_anchors(texts, find)))
+    found = stored(found.join(copied, "doc_id", "left_anti"), "places")
+    known = _repeated(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.passes(batch.column(0).to_numpy().view(np.uint64))))
+
+    columns = found.select("key", "doc_id", "at")
+    out = stored(columns.mapInArrow(run, columns.schema), "places")
+    discard(found)
     return out
