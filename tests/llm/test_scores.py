@@ -13,6 +13,7 @@ import pytest
 import xxhash
 
 from qagrade.llm import language_model, quality, secrets, toxicity
+from tests.llm.context_tree import ContextTree
 from qagrade.llm.common import WORD
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -95,7 +96,7 @@ def tree_of(texts, depth, nodes=10**6):
         table = np.zeros((len(contexts[d]), 256), np.int64)
         np.add.at(table, (np.searchsorted(contexts[d], own >> np.uint64(8)), (own & np.uint64(255)).astype(int)), counts)
         tables.append(table)
-    return language_model.ContextTree.of(depth, contexts, tables)
+    return ContextTree.of(depth, contexts, tables)
 
 
 def test_tree_is_a_distribution_and_mixes_all_depths():
@@ -162,7 +163,7 @@ def test_scores_have_every_context_seen_twice(spark, monkeypatch):
     kept = [sorted(c for (e, c), v in full.items() if e == d and (not d or v.sum() > 1)) for d in range(6)]
     assert max(map(len, kept)) > 6144 and len(tree.logp) > sum(map(len, kept))
     tables = [np.array([full[d, c] for c in own]) for d, own in enumerate(kept)]
-    tree = language_model.ContextTree.of(5, [np.array(c, np.uint64) for c in kept], tables)
+    tree = ContextTree.of(5, [np.array(c, np.uint64) for c in kept], tables)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     rows = language_model.scored(docs).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
