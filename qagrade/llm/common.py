@@ -84,6 +84,7 @@ def ship(spark: SparkSession) -> None:
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     ship(spark)
     ensure_folder(spark)
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,6 +24,7 @@ from re import _parser as parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 from qagrade.llm.common import lowered, narrow, slices
 
@@ -222,10 +223,12 @@ def digests(docs: DataFrame) -> DataFrame:
     return _each(narrow(docs, "doc_id", "text"), RULES, build, schema, 1)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with each stretch of spans replaced by its first kind in brackets; a column `n_chars`
-    is brought in line. A NULL text stays NULL."""
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, size_column: str | None = "n_chars") -> DataFrame:
+    """`docs` with each stretch of spans replaced by its first kind in brackets. `size_column`, if it is
+    a column of whole numbers, gets the new number of characters; others are left as they are, all
+    of them with None. A NULL text stays NULL."""
     names = docs.columns
+    sized = size_column in names and isinstance(docs.schema[size_column].dataType, IntegralType)
     at = names.index("text")
 
     def replaced(text: str, spans: list) -> str:
@@ -242,8 +245,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             texts = columns[at].to_pylist()
             new = [replaced(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
             columns[at] = pa.array(new, columns[at].type)
-            if "n_chars" in names:
-                n = names.index("n_chars")
+            if sized:
+                n = names.index(size_column)
                 sizes = [len(t) if own else s for t, own, s in zip(new, spans, columns[n].to_pylist(), strict=True)]
                 columns[n] = pa.array(sizes, columns[n].type)
         return pa.RecordBatch.from_arrays(columns, names)

@@ -58,6 +58,9 @@ def test_redaction(spark):
     rows = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert rows[0].text.startswith("[assign] and ") and rows[0].text.endswith("token=short")
     assert all(r.n_chars == len(r.text or "") for r in rows.values()) and rows[7].text is None
+    own = docs.selectExpr("doc_id", "text", "'own' AS n_chars")
+    assert {r.n_chars for r in secrets.redact(own).collect()} == {"own"}
+    assert [r.n_chars for r in secrets.redact(docs, size_column=None).collect()] == [len(t or "") for t in CASES]
     again = secrets.scan(secrets.redact(docs)).collect()
     assert not any(r.spans for r in again)
 
