@@ -258,15 +258,21 @@ _SEGMENT_BITS = 20
 
 
 class KeyFilter:
-    """A bitmap of the first bits of 64-bit keys: it passes all of them and few others."""
+    """A bitmap of the first and the last bits of 64-bit keys: it passes all of them and few others."""
 
     def __init__(self, bits: int, bitmap: np.ndarray):
         self.bits, self.bitmap = bits, bitmap
 
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> _U(64 - self.bits)).astype(np.int64)
+    def _marked(self, at: np.ndarray) -> np.ndarray:
+        at = at.astype(np.int64)
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        out = self._marked(keys >> _U(64 - self.bits))
+        maybe = np.flatnonzero(out)
+        out[maybe] = self._marked(keys[maybe] & _U((1 << self.bits) - 1))
+        return out
+
 
 def key_filter(keys: DataFrame) -> KeyFilter:
     """The filter of a table's column `key`, a long; made in segments by tasks, of a bounded size."""
@@ -277,7 +283,7 @@ def key_filter(keys: DataFrame) -> KeyFilter:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(_U) >> _U(64 - bits)).astype(np.int64)
+            at = batch.column(0).to_numpy()
             for segment in np.unique(at // size):
                 marked = found.setdefault(int(segment), np.zeros(size, bool))
                 marked[at[at // size == segment] % size] = True
@@ -285,8 +291,9 @@ def key_filter(keys: DataFrame) -> KeyFilter:
             packed = np.packbits(marked, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([packed])], ["segment", "bits"])
 
-    segment = F.shiftrightunsigned("key", 64 - bits + _SEGMENT_BITS)
-    rows = keys.select("key").distinct().repartition(segment).mapInArrow(build, "segment long, bits binary").toArrow()
+    ends = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+    places = keys.select(F.explode(ends).alias("at")).distinct().repartition(F.shiftright("at", _SEGMENT_BITS))
+    rows = places.mapInArrow(build, "segment long, bits binary").toArrow()
     out = np.zeros((1 << bits) // 8, np.uint8)
     for i, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[i * size // 8 : (i + 1) * size // 8] |= np.frombuffer(packed, np.uint8)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from qagrade.llm.anchors import anchor_places
-from qagrade.llm.common import LONG_WORD, WORD, Words, shingle_sets, slices
+from qagrade.llm.common import LONG_WORD, WORD, Words, key_filter, shingle_sets, slices
 
 
 def test_words_of_slices(texts):
@@ -48,3 +48,15 @@ def test_anchors_are_least_of_a_window(width):
         inside = rng.random(max(n - width + 1, 0)) < 0.7
         want = {j for i in np.flatnonzero(inside) for j in range(i, i + width) if h[j] == h[i : i + width].min()}
         assert set(anchor_places(h, width, inside).tolist()) == want
+
+
+def test_key_filter_passes_its_keys_and_few_others(spark):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(2**63), 2**63, 5000)
+    keys[:4] = [0, -1, 2**63 - 1, -(2**63)]
+    own = key_filter(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert own.passes(keys.view(np.uint64)).all()
+    others = rng.integers(0, 2**63, 100_000).view(np.uint64)
+    assert own.passes(others).mean() < 0.001
+    none = key_filter(spark.createDataFrame([], "key long"))
+    assert not none.passes(others).any()
