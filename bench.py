@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from qagrade.functions import vocab as V  # noqa: E402
 from qagrade.operators import grade, parse, prompts, rewards, splits, summary  # noqa: E402
 from qagrade.plans import fixtures  # noqa: E402
-from qagrade.sources.scratch import pin  # noqa: E402
+from qagrade.sources.scratch import pin, scope  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
@@ -81,9 +81,10 @@ def main() -> None:
         rows = rows_of.count()
         times = []
         for _ in range(RUNS + 1):
-            start = time.perf_counter()
-            discard(build())
-            times.append(time.perf_counter() - start)
+            with scope():
+                start = time.perf_counter()
+                discard(build())
+                times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
         rates[name] = round(rows / seconds[name])
     print(
