@@ -105,6 +105,7 @@ def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFr
     left out, stored."""
     found = _anchors(texts, find, _repeated(_anchors(texts, find)))
     found = stored(found.join(copied, "doc_id", "left_anti"), "places")
+    release(texts.sparkSession)
     known = _repeated(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,4 +115,5 @@ def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFr
     columns = found.select("key", "doc_id", "at")
     out = stored(columns.mapInArrow(run, columns.schema), "places")
     discard(found)
+    release(texts.sparkSession)
     return out
