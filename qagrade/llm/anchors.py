@@ -4,8 +4,9 @@ Of each window of `window` symbols the k-gram of least hash is an anchor. The ch
 the window's content alone, so a window that occurs in two texts has the same anchor in both: a
 window whose anchor occurs in one document only need not be looked at. Anchors are counted with
 partial sums before the shuffle. A filter of those that repeat, of a bounded size, goes to the texts
-then, so their places are not shuffled and no task has all of a frequent anchor; the few others
-that it passes are places of one document, which the callers find without an equal.
+then, and spares the shuffle of most others as long as it is large enough for them. What passes is
+joined with the stored list of those that repeat: both sides are plain shuffles, so Spark splits a
+very frequent anchor over several tasks.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def release(spark: SparkSession) -> None:
 
 
 def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None) -> DataFrame:
-    """key and doc_id of all anchors, or those and the places of the anchors that pass a filter."""
+    """key and doc_id of all anchors, or with a filter those that pass it and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,30 +91,25 @@ def copies(docs: DataFrame) -> DataFrame:
     return stored(found.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "copies")
 
 
-def _repeated(anchors: DataFrame) -> Broadcast:
-    """A filter of the anchors that several documents have."""
+def _repeated(anchors: DataFrame) -> DataFrame:
+    """The anchors that several documents have, stored."""
     spans = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = stored(spans.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
-    out = anchors.sparkSession.sparkContext.broadcast(key_filter(several))
-    discard(several)
-    release(anchors.sparkSession)
-    return out
+    return stored(spans.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
 
 
 def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFrame:
-    """key, doc_id and place of the anchors of several documents, and of few others, exact copies
-    left out, stored."""
-    found = _anchors(texts, find, _repeated(_anchors(texts, find)))
-    found = stored(found.join(copied, "doc_id", "left_anti"), "places")
-    release(texts.sparkSession)
-    known = _repeated(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(known.value.passes(batch.column(0).to_numpy().view(np.uint64))))
-
-    columns = found.select("key", "doc_id", "at")
-    out = stored(columns.mapInArrow(run, columns.schema), "places")
-    discard(found)
-    release(texts.sparkSession)
+    """key, doc_id and place of the anchors of several documents, exact copies left out, stored."""
+    spark = texts.sparkSession
+    several = _repeated(_anchors(texts, find))
+    known = spark.sparkContext.broadcast(key_filter(several))
+    release(spark)
+    found = _anchors(texts, find, known).join(several, "key").join(copied, "doc_id", "left_anti")
+    found = stored(found.select("key", "doc_id", "at"), "places")
+    known.destroy()
+    discard(several)
+    release(spark)
+    left = _repeated(found)
+    out = stored(found.join(left, "key"), "places")
+    discard(found, left)
+    release(spark)
     return out

@@ -252,8 +252,8 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 # --- filters of keys ------------------------------------------------------------------------
 
-#: Bits of a filter: about 256 a key, within these bounds (32 MB at most).
-FILTER_BITS = (20, 28)
+#: Bits of a filter: about 256 a key, within these bounds (16 MB at most).
+FILTER_BITS = (20, 27)
 _SEGMENT_BITS = 20
 
 
