@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import subprocess
@@ -120,6 +121,30 @@ def test_cached_tokenizer_is_the_library():
         assert np.frombuffer(cached.encode([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_go_to_the_model_alone():
+    """Stretches of plain letters need no normal form and no splits; a file that changes letters does."""
+    with open(WORDS, encoding="utf-8") as lines:
+        file = lines.read()
+    cached, model, rng = token_files.CachedTokenizer(file, "<u2"), Tokenizer.from_str(file), random.Random(4)
+    asked = []
+    cached.model = type("Asked", (), {"encode_batch_fast": lambda self, x, **k: asked.extend(x) or model.encode_batch_fast(x, **k)})()
+    words = ["".join(rng.choices("abzéßÿðaeiou", k=rng.randint(1, 14))) for _ in range(500)]
+    text = " ".join([*words, "Upper ÉTÉ", *(w + ".,;!" for w in words)])
+    assert np.frombuffer(cached.encode([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
+    assert not any(w in x.split() for x in asked for w in words)
+    changed = json.loads(file)
+    changed["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "zz"}, "content": "y"})
+    assert token_files.CachedTokenizer(json.dumps(changed), "<u2").letters is None
+
+
+def test_runs_are_kept_without_their_space(library):
+    """Runs that stand at a text's start, behind a space and at its end have their own ids."""
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), P.PATTERN)
+    for text in ["walks walks", "walks", "a walks, a", "a ", "x" * 70 + " " + "x" * 70, "Lamp42 Lamp42 42"] * 2:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert "walks" in codec.runs and " walks" not in codec.runs
+
+
 @pytest.mark.parametrize("n,limit", [(0, 16), (1, 16), (2, 16), (50, 6), (3000, 12), (64, 6)])
 def test_code(n, limit):
     rng = np.random.default_rng(n)
