@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from qagrade.llm.common import narrow, worker_cache
 
 #: Entries of each half of a memo; when the new half is full it becomes the old one.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 400_000
 _BITS = 20
 _CODECS: dict[str, Codec] = worker_cache()
 
@@ -165,7 +165,8 @@ class Codec:
         return b"".join(out)
 
     def _run(self, run: str) -> bytes:
-        ids = self.old_runs.get(run) or self._pieces(self.split(run))
+        """Packed ids of a run and the space before it."""
+        ids = self.old_runs.get(run) or self._pieces(self.split(" " + run))
         if len(run) <= 64:
             self.runs[run] = ids
         return ids
@@ -180,15 +181,13 @@ class Codec:
             return self._pieces(self.split(text))
         # Single spaces between others: each starts a pre-token, so runs can be split alone.
         first, *rest = text.split(" ")
-        memo, out = self.runs.get, [self._pieces(self.split(first))]
-        for run in rest:
-            run = " " + run
-            out.append(memo(run) or self._run(run))
-        return b"".join(out)
+        found = list(map(self.runs.get, rest))
+        if None in found:
+            found = [ids or self._run(run) for ids, run in zip(found, rest, strict=True)]
+        return self._pieces(self.split(first)) + b"".join(found)
 
     def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def _codec(key: str, shared) -> Codec:
