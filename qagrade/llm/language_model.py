@@ -423,7 +423,9 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for row, stop, offsets, data in slices(batch.column(4)):
                 data = lowered(data)
                 padded, places, starts = _padded(offsets, data, depth)
-                logp = each[np.searchsorted(string, _grams(padded, places, depth))]
+                # each distinct string is looked up once, in order
+                asked, inverse = np.unique(_grams(padded, places, depth), return_inverse=True)
+                logp = each[np.searchsorted(string, asked)][inverse]
                 own = Words(offsets, data)
                 n = stop - row
                 value, inverse, many = np.unique(own.hashes, return_inverse=True, return_counts=True)
