@@ -15,7 +15,8 @@ apart, so no link between components is lost. There, what a shingle has in commo
 component and size first, and only such pairs are expanded to their groups, so a large family costs
 nothing once it is one component. To be verified, pairs are dealt to one of their sets, which is
 kept in the task while the sets of its partners pass by; a set with very many partners is kept in
-several tasks.
+several tasks. Texts are never shuffled: filters of bounded size tell which are wanted, and what
+passes is joined exactly.
 
 Words are runs of anything but the space and the characters 9 to 13, A-Z lowered. Defined
 results: NULL texts and texts without words have no shingles and are their own component; rows
@@ -29,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qagrade.llm.anchors import release
-from qagrade.llm.common import Words, discard, lowered, narrow, sequence_hash, shingle_sets, slices, stored
+from qagrade.llm.common import Words, discard, key_filter, lowered, narrow, sequence_hash, shingle_sets, slices, stored
 from qagrade.llm.components import components
 from qagrade.sources.scratch import scoped
 
@@ -132,28 +134,30 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """set, n and all shingles of the wanted sets (doc_id, set), from the texts, stored."""
-    rows = docs.join(wanted, "doc_id").select("text", "set")
+    """set, n and all shingles of the sets of the wanted documents (doc_id), stored. A filter of their ids
+    goes to the texts, which are not shuffled; what passes besides them has sets that no pair names."""
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("key"))))
+    rows = docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            for row, _, offsets, data in slices(batch.column(0)):
-                own = [(row + i, s) for i, s in shingle_sets(Words(offsets, lowered(data)), k)]
-                # rows of one id can differ; each set is taken from a row that has it
-                own = [(names[i], s) for i, s in own if np.uint64(sequence_hash(s)) == np.int64(names[i]).view(np.uint64)]
-                ends = np.cumsum([0, *(len(s) for _, s in own)]).astype(np.int32)
-                flat = np.concatenate([s.view(np.int64) for _, s in own]) if own else np.zeros(0, np.int64)
+            passed = known.value.passes(batch.column(1).to_numpy().view(np.uint64))
+            for _, _, offsets, data in slices(batch.column(0).filter(pa.array(passed))):
+                own = [s for _, s in shingle_sets(Words(offsets, lowered(data)), k) if len(s)]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                flat = np.concatenate([s.view(np.int64) for s in own]) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x for x, _ in own], pa.int64()),
+                        pa.array(np.array([sequence_hash(s) for s in own], np.uint64).view(np.int64)),
                         pa.array(np.diff(ends).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     ],
                     ["set", "n", "shingles"],
                 )
 
-    return stored(rows.mapInArrow(run, "set long, n long, shingles array<long>"), "sets", **_ROW_GROUPS)
+    out = stored(rows.mapInArrow(run, "set long, n long, shingles array<long>"), "sets", **_ROW_GROUPS)
+    known.destroy()
+    return out
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -212,7 +216,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, per
     pairs = stored(pairs, "pairs")
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    sets = _set_arrays(docs, members.join(wanted, "set").select("doc_id", "set"), k)
+    sets = _set_arrays(docs, members.join(wanted, "set").select("doc_id"), k)
     release(docs.sparkSession)
     rows = _compared(pairs, sets, percent)
     out = stored(rows, "links")
@@ -325,5 +329,24 @@ def without_similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     """
     found = _components_of(docs, k, percent).where("component_id <> doc_id")
     found = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "similar")
+    return _without(docs, found)
+
+
+def _passing(docs: DataFrame, known: Broadcast, wanted: bool) -> DataFrame:
+    """The rows of `docs`, with all columns, whose id and text pass a filter, or those that do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = known.value.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(passed == wanted))
+
+    return docs.select("*", F.xxhash64("doc_id", _text_hash()).alias("_key")).mapInArrow(run, docs.schema)
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` but those of a found id and text (_id, _hash). A filter tells most rows that stay,
+    which are not shuffled; the others are joined."""
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(found.select(F.xxhash64("_id", "_hash").alias("key"))))
     gone = (F.col("doc_id") == F.col("_id")) & (_text_hash() == F.col("_hash"))
-    return docs.join(found, gone, "left_anti").select(docs.columns)
+    rest = _passing(docs, known, True).join(found, gone, "left_anti").select(docs.columns)
+    return _passing(docs, known, False).union(rest)

@@ -9,6 +9,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qagrade.llm import contamination, ngram_join, queries, statements, substrings, suffixes
 from qagrade.llm.common import WORD
@@ -86,6 +87,35 @@ def test_ngram_join_of_families_that_share_a_passage(spark, monkeypatch):
     assert got == joined(by_id, 4, 85)
 
 
+def test_texts_are_not_shuffled(spark, docs):
+    """Copies are told by filters: of the texts, only rows that may go are joined."""
+    rows = ngram_join.without_similar(docs, 5, 80)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "MapInArrow" in plan.split("LeftAnti")[1].split("Relation")[0]
+    everything = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    assert ngram_join._without(docs, everything).count() == 0
+    assert sorted(r.doc_id for r in ngram_join._without(docs, everything.where("_id % 2 = 0")).collect()) == [
+        r.doc_id for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").collect()
+    ]
+    none = ngram_join._without(docs, everything.withColumn("_hash", F.lit(0).cast("long")))
+    assert none.schema == docs.schema and none.count() == docs.count()
+
+
+def test_ranks_of_tuples_follow_their_parts():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 4, 500).astype(np.uint64) << np.uint64(62), rng.integers(-3, 3, 500), rng.integers(0, 2, 500)]
+    tuples = list(zip(*(p.tolist() for p in parts), strict=True))
+    place = {t: i for i, t in enumerate(sorted(set(tuples)))}
+    for n in (1, 2, 3):
+        own = [t[:n] for t in tuples]
+        order = {t: i for i, t in enumerate(sorted(set(own)))}
+        assert suffixes._named(*parts[:n]).tolist() == [order[t] for t in own]
+    assert suffixes._named(*parts, *parts, *parts).tolist() == [place[t] for t in tuples]
+    left, right = rng.integers(0, 9, 40), rng.integers(0, 9, 30)
+    a, b = suffixes._merge_places([left], [right])
+    assert a.tolist() == [(right < x).sum() for x in left] and b.tolist() == [(left <= x).sum() for x in right]
+
+
 def test_ngram_join_of_odd_tables(empty, odd):
     assert ngram_join.similar(empty).count() == 0
     rows = ngram_join.similar(odd).collect()
