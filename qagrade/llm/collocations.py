@@ -11,7 +11,8 @@ Counts go up by length. A phrase that is frequent enough consists of two shorter
 only those are counted whose parts pass a filter of the frequent phrases one word shorter. The
 filters are bitmaps of a bounded size; they only spare work, no frequent phrase can fail them.
 Phrases are counted by 64-bit hashes of language and words, summed in tasks and combined before the
-shuffle. The texts of the frequent ones are then read from the dictionary, and all that follows,
+shuffle. Each frequent phrase is given one part of the dictionary that has it; its text is read there
+alone, so the texts read grow with the phrases and not with the tasks. All that follows,
 cuts, scores, drops and ranks, is joins on them. A language's best phrases are chosen in slices
 of its phrases first, so no task sees all of a language.
 
@@ -41,6 +42,7 @@ SCALE = 2_000_000
 TRIGGER = 32
 _HELD = 1 << 20  #: counts that a task keeps before it sends them on
 _RANK_SLICES = 64
+_TURNS = 256
 
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [10, 11, 12, 13])
 _BLANK = _ENDS | np.isin(np.arange(256), [32, 9])
@@ -82,7 +84,8 @@ def chunks(offsets: np.ndarray, data: np.ndarray, trigger: int = TRIGGER) -> tup
 
 
 def _dictionary(docs: DataFrame, trigger: int) -> DataFrame:
-    """lang, chunk, own (words that are its own) and many (occurrences) of all texts, stored."""
+    """lang, chunk, own (words that are its own), many (occurrences) and part of all texts, stored. A
+    part is what one task has written."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +99,8 @@ def _dictionary(docs: DataFrame, trigger: int) -> DataFrame:
                     )
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(parse, "lang string, chunk string, own int")
-    return stored(rows.groupBy("lang", "chunk", "own").agg(F.count("*").alias("many")), "chunks", compression="zstd")
+    found = rows.groupBy("lang", "chunk", "own").agg(F.count("*").alias("many"))
+    return stored(found.withColumn("part", F.spark_partition_id()), "chunks", compression="zstd")
 
 
 class _Chunks:
@@ -141,56 +145,67 @@ def _slices_of(batch: pa.RecordBatch) -> Iterator[tuple[_Chunks, int, int]]:
         yield _Chunks(offsets, data, hashed[row:end], own[row:end]), row, end
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts and one of their parts."""
+    key, count, part = np.concatenate(keys), np.concatenate(counts), np.concatenate(parts)
     by = np.argsort(key, kind="stable")
     key, count = key[by], count[by]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
+    return key[first], np.add.reduceat(count, first) if len(first) else count, part[by[first]]
 
 
 def _frequent(dictionary: DataFrame, n: int, shared, least: int) -> DataFrame:
-    """key and count of the phrases of `n` words that occur `least` times, stored."""
+    """key, count and one part of the phrases of `n` words that occur `least` times, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            many = batch.column(3).to_numpy()
+            many, part = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             for own, row, _ in _slices_of(batch):
                 start, key = own.starts(n, shared.value if shared else None)
-                keys.append(key)
-                counts.append(many[row + own.words.doc[start]])
-            if sum(map(len, keys)) > 2 * _HELD:
-                key, total = _summed(keys, counts)
-                keys, counts = [key], [total]
-                if len(key) > _HELD:
-                    yield from _rows(key, total)
-                    keys, counts = [], []
-        if keys:
-            yield from _rows(*_summed(keys, counts))
-
-    found = dictionary.mapInArrow(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
-    return stored(found.where(F.col("f") >= least), f"frequent-{n}")
-
-
-def _rows(key: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+                at = row + own.words.doc[start]
+                held.append((key, many[at], part[at]))
+            if sum(len(key) for key, *_ in held) > 2 * _HELD:
+                held = [_summed(*zip(*held, strict=True))]
+                if len(held[0][0]) > _HELD:
+                    yield from _rows(*held[0])
+                    held = []
+        if held:
+            yield from _rows(*_summed(*zip(*held, strict=True)))
+
+    found = dictionary.mapInArrow(count, "key long, f long, part int")
+    # the least part by an order that differs by the key's last bits: no part has most phrases
+    turn = F.col("key").bitwiseAND(F.lit(_TURNS - 1)).cast("int")
+    found = found.groupBy("key").agg(F.sum("f").alias("f"), F.min(F.col("part").bitwiseXOR(turn)).alias("part"))
+    return stored(found.where(F.col("f") >= least).withColumn("part", F.col("part").bitwiseXOR(turn)), f"frequent-{n}")
+
+
+def _rows(key: np.ndarray, total: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(key), 100_000):
+        own = slice(a, a + 100_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[a : a + 100_000].view(np.int64)), pa.array(total[a : a + 100_000].astype(np.int64))], ["key", "f"]
+            [pa.array(key[own].view(np.int64)), pa.array(total[own].astype(np.int64)), pa.array(part[own].astype(np.int32))],
+            ["key", "f", "part"],
         )
 
 
-def _texts(dictionary: DataFrame, filters: list) -> DataFrame:
-    """key, words, lang and phrase of all phrases that pass the filter of their length, at least once a task."""
+def _of_part() -> Column:
+    """A number of each part, which marks a key as one of that part."""
+    return F.xxhash64("part")
+
+
+def _texts(dictionary: DataFrame, filters: list, chosen) -> DataFrame:
+    """key, words, lang and phrase of all phrases whose key and part pass the filter `chosen`, at least once
+    a task that reads from the part; `filters` are those of the phrases by length."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(0, _U) for _ in filters]
+        seen = [np.zeros(0, _U) for _ in range(len(filters) + 1)]
         for batch in batches:
+            marks = batch.column(4).to_numpy().view(_U)
             for own, row, _ in _slices_of(batch):
-                for n, shared in enumerate(filters, 1):
+                for n in range(1, len(seen) + 1):
                     start, key = own.starts(n, filters[n - 2].value if n > 1 else None)
-                    good = shared.value.passes(key)
+                    good = chosen.value.passes(key ^ marks[row + own.words.doc[start]])
                     key, at = np.unique(key[good], return_index=True)
                     new = np.isin(key, seen[n - 1], assume_unique=True, invert=True)
                     key, start = key[new], start[good][at[new]]
@@ -209,7 +224,8 @@ def _texts(dictionary: DataFrame, filters: list) -> DataFrame:
                         ["key", "words", "lang", "phrase"],
                     )
 
-    return dictionary.mapInArrow(read, "key long, words int, lang string, phrase string")
+    rows = dictionary.withColumn("part", _of_part())
+    return rows.mapInArrow(read, "key long, words int, lang string, phrase string")
 
 
 @scoped
@@ -222,12 +238,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     dictionary = _dictionary(narrow(docs, "lang", "text"), trigger)
     counts, filters = [], []
     for n in range(1, longest + 1):
+        if counts:
+            filters.append(context.broadcast(key_filter(counts[-1])))
         counts.append(_frequent(dictionary, n, filters[-1] if filters else None, least))
-        filters.append(context.broadcast(key_filter(counts[-1])))
     keyed = counts[0].withColumn("words", F.lit(1))
     for n, found in enumerate(counts[1:], 2):
         keyed = keyed.unionByName(found.withColumn("words", F.lit(n)))
-    named = _texts(dictionary, filters).distinct().join(keyed, ["key", "words"])
+    chosen = context.broadcast(key_filter(keyed.select(F.col("key").bitwiseXOR(_of_part()).alias("key"))))
+    named = _texts(dictionary, filters, chosen).distinct().join(keyed.drop("part"), ["key", "words"])
     total = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("many")).alias("n"))
     return stored(named.join(total, "lang").select("lang", "words", "phrase", "f", "n"), "phrases")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qagrade.llm import collocations, licences
+from qagrade.sources import scratch
 
 
 def plain_lower(text):
@@ -75,6 +76,32 @@ def test_collocations_of_odd_tables(spark, odd, empty):
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == sorted(brute_phrases(rows, 30, 2000))
 
 
+def test_texts_of_phrases_are_read_from_one_part(spark, monkeypatch):
+    """However many parts the dictionary has, each frequent phrase is read once, or little more often."""
+    read, texts = [], collocations._texts
+
+    def counted(*args):
+        rows = texts(*args)
+        read.append((rows.count(), rows.rdd.getNumPartitions()))
+        return rows
+
+    monkeypatch.setattr(collocations, "_texts", counted)
+    rng = random.Random(8)
+    rows = [("en", " ".join(rng.choice(["a b c", "d e", "f"]) for _ in range(20)) + f" own{i}") for i in range(400)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.files.openCostInBytes": "256m"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        with scratch.scope():
+            found = collocations.frequent_phrases(spark.createDataFrame(rows, "lang string, text string").repartition(4), 30)
+            (many, parts), = read
+            assert parts > 4 and found.count() <= many < 1.1 * found.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_chunks_hold_every_phrase_once():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(50)]
