@@ -94,12 +94,15 @@ def ratio_score(tokens: Column, ratios: list[float]) -> Column:
     return F.when(F.size(tokens) > 0, total / (2 * F.size(tokens))).otherwise(0.0)
 
 
-def sorted_windows(words: Column) -> Column:
-    """(hash, first word) of all 3-word windows, in that order."""
-    window = lambda w, i: F.struct(
-        F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
-    )
-    return F.sort_array(F.transform(_head(words, 2), window))
+def window_hashes(words: Column) -> Column:
+    """Hash of every 3-word window."""
+    return F.transform(_head(words, 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def sorted_windows(hashes: Column) -> Column:
+    """(hash, first word) of all windows, in that order; NULL if no two are equal."""
+    window = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, window)))
 
 
 def repeat_words(windows: Column) -> Column:
@@ -109,7 +112,7 @@ def repeat_words(windows: Column) -> Column:
     )
     firsts = F.array_distinct(F.flatten(F.array_compact(same)))
     covered = F.flatten(F.transform(firsts, lambda i: F.array(i, i + 1, i + 2)))
-    return F.size(F.array_distinct(covered)).cast("long")
+    return F.when(windows.isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -128,18 +131,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         words(F.col("text")).alias("words"),
         tokens(F.col("text")).alias("tokens"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        _without(F.col("text"), _SPACE).cast("long").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), _SYMBOL)).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        sorted_windows(F.col("words")).alias("windows"),
+        window_hashes(F.col("words")).alias("hashes"),
         ratio_score(F.col("tokens"), ratios).alias("log_ratio"),
     )
+    rows = rows.withColumn("windows", sorted_windows(F.col("hashes"))).drop("hashes")
     rows = rows.withColumn("n_repeat_words", repeat_words(F.col("windows"))).drop("windows")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn(
