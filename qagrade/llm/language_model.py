@@ -74,6 +74,12 @@ def _grams(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of the keys asked for, which are all there: each distinct one is searched once, in order."""
+    distinct, inverse = np.unique(asked, return_inverse=True)
+    return values[np.searchsorted(keys, distinct)][inverse]
+
+
 class _Counter:
     """Counts of 64-bit keys that are merged when many have come together."""
 
@@ -423,9 +429,7 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for row, stop, offsets, data in slices(batch.column(4)):
                 data = lowered(data)
                 padded, places, starts = _padded(offsets, data, depth)
-                # each distinct string is looked up once, in order
-                asked, inverse = np.unique(_grams(padded, places, depth), return_inverse=True)
-                logp = each[np.searchsorted(string, asked)][inverse]
+                logp = _looked_up(string, each, _grams(padded, places, depth))
                 own = Words(offsets, data)
                 n = stop - row
                 value, inverse, many = np.unique(own.hashes, return_inverse=True, return_counts=True)

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from qagrade.llm import language_model, quality, secrets, toxicity
 from tests.llm.context_tree import ContextTree
@@ -175,6 +176,16 @@ def test_scores_have_every_context_seen_twice(spark, monkeypatch):
         assert math.isclose(r.score, tree.log10(np.array([0, len(data)]), data)[0], rel_tol=1e-5)
 
 
+def test_strings_are_searched_once_and_in_order(monkeypatch):
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, 1 << 48, 300).astype(np.uint64))
+    values, asked, searched, search = rng.random(len(keys)), rng.choice(keys, 5000), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: searched.append(v) or search(a, v))
+    got = language_model._looked_up(keys, values, asked)
+    assert got.tolist() == [values[keys.tolist().index(x)] for x in asked.tolist()]
+    assert [x.tolist() for x in searched] == [sorted(set(asked.tolist()))]
+
+
 def test_language_model_of_odd_tables(empty, odd):
     assert language_model.scored(empty).count() == 0
     assert language_model.scored(odd).count() == odd.count()
@@ -219,6 +230,14 @@ def test_quality(docs, by_id, labels, texts):
         assert r.kept == (not r.base_failed and r.log_ratio >= quality.THRESHOLD)
 
 
+def test_windows_are_sorted_where_some_are_equal(spark):
+    rows = [(1, "a b c d e"), (2, "a b c a b c"), (3, "a b"), (4, ""), (5, "a a a a")]
+    words = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", quality.words(F.col("text")).alias("w"))
+    hashed = words.select("doc_id", quality.sorted_windows(quality.window_hashes(F.col("w"))).alias("windows"))
+    got = {r.doc_id: (r.windows is None, r.n) for r in hashed.withColumn("n", quality.repeat_words(F.col("windows"))).collect()}
+    assert got == {1: (True, 0), 2: (False, 6), 3: (True, 0), 4: (True, 0), 5: (False, 4)}
+
+
 def test_quality_of_odd_tables(empty, odd, labels):
     assert quality.quality_rules(empty, labels).count() == 0
     assert quality.quality_rules(odd, labels.limit(0)).count() == odd.count()
