@@ -27,7 +27,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from qagrade.llm.common import narrow, worker_cache
 
 #: Entries of each half of a memo; when the new half is full it becomes the old one.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
+#: Those of a pass that has the workers' memory to itself; `encode` may follow other operators.
+ROUND_TRIP_ENTRIES = 400_000
 _BITS = 20
 _CODECS: dict[str, Codec] = worker_cache()
 
@@ -91,8 +93,8 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder of one vocabulary and one pre-token pattern."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, perfect: PerfectHash | None = None):
-        self.tokens = tokens
+    def __init__(self, tokens: list[bytes], pattern: str, perfect: PerfectHash | None = None, entries: int = MEMO_ENTRIES):
+        self.tokens, self.entries = tokens, entries
         self.perfect = perfect or PerfectHash(tokens)
         self.split = regex.compile(pattern).findall
         self.odd = regex.compile(r"\s\s|\s $|^ ").search
@@ -132,14 +134,10 @@ class Codec:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = get(rank << _BITS | ids[k])
-                if new is not None:
+                if (new := get(rank << _BITS | ids[k])) is not None:
                     push(heap, new << 40 | i)
-            p = before[i]
-            if p >= 0:
-                new = get(ids[p] << _BITS | rank)
-                if new is not None:
-                    push(heap, new << 40 | p)
+            if (p := before[i]) >= 0 and (new := get(ids[p] << _BITS | rank)) is not None:
+                push(heap, new << 40 | p)
         return [x for x in ids if x >= 0]
 
     def piece(self, text: str) -> bytes:
@@ -162,7 +160,7 @@ class Codec:
                 if len(t) <= 64:
                     memo[t] = ids
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _run(self, run: str) -> bytes:
         """Packed ids of a run and the space before it."""
@@ -173,9 +171,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > MEMO_ENTRIES:
+        if len(self.pieces) > self.entries:
             self.pieces, self.old_pieces = {}, self.pieces
-        if len(self.runs) > MEMO_ENTRIES:
+        if len(self.runs) > self.entries:
             self.runs, self.old_runs = {}, self.runs
         if " " not in text or self.odd(text):
             return self._pieces(self.split(text))
@@ -187,15 +185,17 @@ class Codec:
         return self._pieces(self.split(first)) + b"".join(found)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        tokens = self.tokens
+        return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
-def _codec(key: str, shared) -> Codec:
+def _codec(key: str, shared, entries: int = MEMO_ENTRIES) -> Codec:
     """One codec a worker and vocabulary, kept between tasks."""
     if key not in _CODECS:
         tokens, pattern, perfect = shared.value
         _CODECS.clear()
         _CODECS[key] = Codec(tokens, pattern, perfect)
+    _CODECS[key].entries = entries
     return _CODECS[key]
 
 
@@ -251,7 +251,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     key, shared = _shared(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, shared)
+        codec = _codec(key, shared, ROUND_TRIP_ENTRIES)
         for batch in batches:
             count, ids_digest, bytes_digest = [], [], []
             for t in batch.column(1).to_pylist():
