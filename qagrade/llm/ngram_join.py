@@ -240,14 +240,9 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     real = base.where("n > 0 AND doc_id IS NOT NULL")
     members = real.groupBy("grp", "set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = stored(members, "members")
-    groups = members.groupBy("grp").agg(F.min(F.struct("doc_id", "set")).alias("lead"), F.count("*").alias("many"))
-    # each group's prefix from the row that leads it
-    heads = groups.select("grp", F.col("lead.doc_id").alias("doc_id"), F.col("lead.set").alias("set"))
-    tokens = real.join(heads, ["grp", "doc_id", "set"], "left_semi").select("grp", "n", F.posexplode("prefix").alias("at", "token"))
-    several = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    postings = stored(tokens.join(several, "token").distinct(), "postings")
-    release(spark)
-    leads = stored(groups.select("grp", F.col("lead.set").alias("set")), "leads")
+    groups = members.groupBy("grp").agg(F.min(F.struct("doc_id", "set")).alias("lead"))
+    leads = stored(groups.select("grp", "lead.doc_id", "lead.set"), "leads")
+    postings = _postings(real, leads)
     # sets of one group meet in its lead, groups of a shingle in its hubs
     inner = members.join(leads.select("grp", F.col("set").alias("b")), "grp").where(F.col("set") != F.col("b"))
     stars = _stars(postings, percent).join(leads.select(F.col("grp").alias("x"), F.col("set").alias("a")), "x")
@@ -271,6 +266,50 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
+def _tokens(rows: DataFrame, lead: Broadcast, wanted: Broadcast | None = None) -> DataFrame:
+    """token of the prefixes (grp, n, prefix, key) whose key passes a filter, or with a filter of tokens
+    grp, n, at and token of those that pass it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            led = batch.filter(pa.array(lead.value.passes(batch.column(3).to_numpy().view(np.uint64))))
+            ends, flat = led.column(2).offsets.to_numpy(), led.column(2).values.to_numpy()
+            token = flat[ends[0] : ends[-1]]
+            columns, names = [pa.array(token)], ["token"]
+            if wanted:
+                kept = np.flatnonzero(wanted.value.passes(token.view(np.uint64)))
+                row = np.searchsorted(ends[1:] - ends[0], kept, "right")
+                at = pa.array((kept - (ends[row] - ends[0])).astype(np.int32))
+                columns = [led.column(0).take(pa.array(row)), led.column(1).take(pa.array(row)), at, pa.array(token[kept])]
+                names = ["grp", "n", "at", "token"]
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 100_000) for c in columns], names)
+
+    return rows.mapInArrow(run, "grp long, n long, at int, token long" if wanted else "token long")
+
+
+def _postings(real: DataFrame, leads: DataFrame) -> DataFrame:
+    """grp, n, at and token of the groups' prefix shingles that several groups have, stored.
+
+    Each group's prefix comes from the row that leads it. Filters of a bounded size tell those rows, and
+    the shingles that occur twice: prefixes are not shuffled, and of their shingles only the bare hashes, to
+    be counted, and what passes. A row that passes wrongly gives postings that its group has already, which
+    are dropped with those of equal rows; a shingle that does is dropped by the exact join.
+    """
+    spark = real.sparkSession
+    lead = spark.sparkContext.broadcast(key_filter(leads.select(F.xxhash64("grp", "doc_id", "set").alias("key"))))
+    rows = real.select("grp", "n", "prefix", F.xxhash64("grp", "doc_id", "set").alias("key"))
+    several = stored(_tokens(rows, lead).groupBy("token").count().where("count > 1").select("token"), "tokens")
+    release(spark)
+    wanted = spark.sparkContext.broadcast(key_filter(several.select(F.col("token").alias("key"))))
+    out = stored(_tokens(rows, lead, wanted).join(several, "token").select("grp", "n", "at", "token").distinct(), "postings")
+    lead.destroy()
+    wanted.destroy()
+    discard(several)
+    release(spark)
+    return out
+
+
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Each group of a shingle with a few of them: HUBS times as many pairs as postings at most."""
     # the group with the fewest rarer shingles, which is what near copies have most in common, and others

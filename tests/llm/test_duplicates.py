@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qagrade.llm import contamination, ngram_join, queries, statements, substrings, suffixes
-from qagrade.llm.common import WORD
+from qagrade.llm.common import WORD, key_filter
 from qagrade.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -326,3 +326,24 @@ def test_statements(spark, sf_dir, name):
     want = con.sql(driver.oracle_sql()[name])
     df = driver.queries()[name](spark, sf_dir).select(*want.columns)
     assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+def test_only_shared_prefix_shingles_are_shuffled(spark):
+    """A filter of the groups' leads, then one of shingles that occur twice: what is left is what groups share."""
+    prefixes = {1: [11, 12, 13], 2: [13, 14], 3: [15, -16, 17], 4: [-16, 18]}
+    rows = [(g, d, d, len(p), p) for g, p in prefixes.items() for d in (10 * g, 10 * g + 1, 10 * g + 1)]
+    real = spark.createDataFrame(rows, "grp long, doc_id long, set long, n long, prefix array<long>").repartition(3)
+    leads = spark.createDataFrame([(g, 10 * g + 1, 10 * g + 1) for g in prefixes], "grp long, doc_id long, set long")
+    key = F.xxhash64("grp", "doc_id", "set").alias("key")
+    lead = spark.sparkContext.broadcast(key_filter(leads.select(key)))
+    wanted = spark.sparkContext.broadcast(key_filter(spark.createDataFrame([(13,), (-16,)], "key long")))
+    rows = real.select("grp", "n", "prefix", key)
+    # two equal rows lead each group
+    assert sorted(r.token for r in ngram_join._tokens(rows, lead).collect()) == sorted(2 * sum(prefixes.values(), []))
+    shared = [(1, 3, 2, 13), (2, 2, 0, 13), (3, 3, 1, -16), (4, 2, 0, -16)]
+    passing = ngram_join._tokens(rows, lead, wanted)
+    assert sorted(map(tuple, passing.collect())) == sorted(2 * shared)
+    once = ngram_join._postings(real.dropDuplicates(["grp", "doc_id"]), leads)
+    assert sorted(map(tuple, once.select("grp", "n", "at", "token").collect())) == sorted(shared)
+    twice = ngram_join._postings(real, leads).where("token IN (13, -16)")
+    assert sorted(map(tuple, twice.collect())) == sorted(shared)
