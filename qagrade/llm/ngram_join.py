@@ -15,8 +15,8 @@ apart, so no link between components is lost. There, what a shingle has in commo
 component and size first, and only such pairs are expanded to their groups, so a large family costs
 nothing once it is one component. To be verified, pairs are dealt to one of their sets, which is
 kept in the task while the sets of its partners pass by; a set with very many partners is kept in
-several tasks. Texts are never shuffled: filters of bounded size tell which are wanted, and what
-passes is joined exactly.
+several tasks. Of the texts, only those of sets in pairs are shuffled: filters of bounded size tell
+which are wanted, and what passes is joined exactly.
 
 Words are runs of anything but the space and the characters 9 to 13, A-Z lowered. Defined
 results: NULL texts and texts without words have no shingles and are their own component; rows
@@ -133,29 +133,22 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return stored(out, "prefixes", **_ROW_GROUPS)
 
 
-def _set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """set, n and all shingles of the sets of the wanted documents (doc_id), stored. A filter of their ids
-    goes to the texts, which are not shuffled; what passes besides them has sets that no pair names."""
+def _set_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """set and text of the wanted documents (doc_id), stored. A filter of their ids goes to all texts, which
+    are not shuffled; what passes besides them has sets that no pair names."""
     known = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("key"))))
     rows = docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passed = known.value.passes(batch.column(1).to_numpy().view(np.uint64))
-            for _, _, offsets, data in slices(batch.column(0).filter(pa.array(passed))):
-                own = [s for _, s in shingle_sets(Words(offsets, lowered(data)), k) if len(s)]
-                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                flat = np.concatenate([s.view(np.int64) for s in own]) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([sequence_hash(s) for s in own], np.uint64).view(np.int64)),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    ],
-                    ["set", "n", "shingles"],
-                )
+            texts = batch.column(0).filter(pa.array(passed))
+            for row, _, offsets, data in slices(texts):
+                own = [(row + i, sequence_hash(s)) for i, s in shingle_sets(Words(offsets, lowered(data)), k) if len(s)]
+                sets = np.array([x for _, x in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sets), texts.take(pa.array([i for i, _ in own], pa.int64()))], ["set", "text"])
 
-    out = stored(rows.mapInArrow(run, "set long, n long, shingles array<long>"), "sets", **_ROW_GROUPS)
+    out = stored(rows.mapInArrow(run, "set long, text string"), "sets", compression="zstd", **_ROW_GROUPS)
     known.destroy()
     return out
 
@@ -179,32 +172,31 @@ def _shared_enough(count: str, percent: int) -> Column:
     return F.col(count) >= F.least(F.lit(SHARED), _common(percent))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. b is kept in a task, the sets a pass by in its order."""
+def _compared(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. b is kept in a task, the sets a pass by in its order. They come
+    as texts, which take about half the room of their shingles in a shuffle, and are made again there."""
     lead = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("tasks"))
     tasks = F.explode(F.sequence(F.lit(1).cast("long"), F.col("tasks")))
-    kept = sets.join(lead, sets["set"] == lead["b"]).select("b", tasks.alias("part"), F.lit(None).cast("long").alias("a"), "shingles")
+    kept = sets.join(lead, sets["set"] == lead["b"]).select("b", tasks.alias("part"), F.lit(None).cast("long").alias("a"), "text")
     dealt = pairs.join(lead, "b").select("a", "b", (F.pmod(F.xxhash64("a"), F.col("tasks")) + 1).alias("part"))
-    passing = dealt.join(sets, dealt["a"] == sets["set"]).select("b", "part", "a", "shingles")
+    passing = dealt.join(sets, dealt["a"] == sets["set"]).select("b", "part", "a", "text")
     rows = kept.unionByName(passing).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.int64)
+        own = np.zeros(0, np.uint64)
         for batch in batches:
             found = []
             one, other = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            lists = batch.column(3)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for i, a in enumerate(other):
-                # sets are sorted as unsigned numbers
-                shingles = flat[ends[i] : ends[i + 1]].view(np.uint64)
-                if a is None:
-                    own = shingles.copy()
-                elif len(own) and len(shingles):
-                    at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
-                    common = int((own[at] == shingles).sum())
-                    if 100 * common >= percent * (len(own) + len(shingles) - common):
-                        found.append((a, one[i]))
+            for row, _, offsets, data in slices(batch.column(3)):
+                for i, shingles in shingle_sets(Words(offsets, lowered(data)), k):
+                    a = other[row + i]
+                    if a is None:
+                        own = shingles
+                    elif len(own) and len(shingles):
+                        at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+                        common = int((own[at] == shingles).sum())
+                        if 100 * common >= percent * (len(own) + len(shingles) - common):
+                            found.append((a, one[row + i]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
@@ -216,9 +208,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, per
     pairs = stored(pairs, "pairs")
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    sets = _set_arrays(docs, members.join(wanted, "set").select("doc_id"), k)
+    sets = _set_texts(docs, members.join(wanted, "set").select("doc_id"), k)
     release(docs.sparkSession)
-    rows = _compared(pairs, sets, percent)
+    rows = _compared(pairs, sets, k, percent)
     out = stored(rows, "links")
     discard(sets, pairs)
     release(docs.sparkSession)

@@ -347,3 +347,23 @@ def test_only_shared_prefix_shingles_are_shuffled(spark):
     assert sorted(map(tuple, once.select("grp", "n", "at", "token").collect())) == sorted(shared)
     twice = ngram_join._postings(real, leads).where("token IN (13, -16)")
     assert sorted(map(tuple, twice.collect())) == sorted(shared)
+
+
+def test_compared_sets_travel_as_texts(spark):
+    """The sets of pairs are stored and dealt as texts; what is compared is made from them in the task."""
+    rng = random.Random(9)
+    base = [f"W{i}" for i in range(160)]
+    by_id = {i: " ".join([*(f"x{i}y{j}" for j in range(i)), *base[i:]]) for i in range(0, 60, 4)} | {99: "other words", 100: None}
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    base_rows = ngram_join._prefixes(docs, 4, 85).where("n > 0").select("doc_id", "set")
+    sets = ngram_join._set_texts(docs, base_rows.where("doc_id <> 99").select("doc_id"), 4)
+    assert dict(sets.dtypes) == {"set": "bigint", "text": "string"}
+    of = {r.set: r.doc_id for r in base_rows.collect()}
+    assert {of[r.set]: r.text for r in sets.collect() if of[r.set] < 99} == {i: t for i, t in by_id.items() if i < 99}
+    ids = sorted(x for x in of.values() if x < 99)
+    name = {d: s for s, d in of.items()}
+    pairs = [(name[a], name[b]) for a in ids for b in ids if a < b and rng.random() < 0.7]
+    found = ngram_join._compared(spark.createDataFrame(pairs, "a long, b long"), sets, 4, 85)
+    own = {i: shingles(t.lower(), 4) for i, t in by_id.items() if t}
+    want = {(a, b) for a, b in pairs if 100 * len(own[of[a]] & own[of[b]]) >= 85 * len(own[of[a]] | own[of[b]])}
+    assert {(r.a, r.b) for r in found.collect()} == want and 0 < len(want) < len(pairs)
