@@ -24,16 +24,17 @@ import hashlib
 import json
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qagrade.llm.common import discard, narrow, ship, stored, worker_cache
+from qagrade.llm.common import buffers, discard, narrow, ship, stored, worker_cache
 from qagrade.sources.scratch import scoped, scratch_path
 
 BLOCK_IDS = 1 << 18
@@ -58,9 +59,10 @@ _WORKER: dict[str, CachedTokenizer] = worker_cache()
 class CachedTokenizer:
     """Ids of whole texts, by a memo of the stretches between white space.
 
-    Texts with an added token, or with characters that Python takes for white space and tokenizer
-    files do not, are left to the library whole. It needs a tokenizer that drops white space and never joins what stands on both sides of
-    it; `splits_at_space` holds for those.
+    Arrow splits a column of texts at ASCII white space and numbers its distinct stretches, of which
+    each is looked up once a column. Texts with an added token, or with characters that some take for
+    white space and tokenizer files do not, are left to the library whole. It needs a tokenizer that drops
+    white space and never joins what stands on both sides of it; `splits_at_space` holds for those.
     """
 
     def __init__(self, file: str, kind: str):
@@ -83,18 +85,27 @@ class CachedTokenizer:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of stretches without white space: one text of many, taken apart at a mark."""
-        easy = [t for t in texts if _is_letters(t)] if self.letters else []
-        out = self._joined(self.letters, easy, _byte_letters)
-        others = [t for t in texts if t not in out] if easy else texts
-        out |= self._joined(self.model, [t for t in others if _MARK not in t])
+        out = self._merged([t for t in texts if _is_letters(t)]) if self.letters else {}
+        others = [t for t in texts if t not in out] if out else texts
+        out |= self._joined([t for t in others if _MARK not in t])
         out |= {t: self._whole(t) for t in others if _MARK in t}
         return [out[t] for t in texts]
 
-    def _joined(self, model: Tokenizer, texts: list[str], form: Callable[[str], str] = str) -> dict[str, bytes]:
+    def _merged(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of stretches of plain letters, each a word of its own, by the file's merges."""
+        merges, flat, ends = self.letters.model.tokenize, [], [0]
+        for word in _byte_letters(" ".join(words)).split(" ") if words else ():
+            flat += [x.id for x in merges(word)]
+            ends.append(len(flat))
+        ids = np.array(flat, self.kind)
+        packed, width = ids.tobytes(), ids.itemsize
+        return {t: packed[width * a : width * b] for t, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
+
+    def _joined(self, texts: list[str]) -> dict[str, bytes]:
         if not texts:
             return {}
-        text = form(f" {_MARK} ".join([*texts, ""]))
-        ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        text = f" {_MARK} ".join([*texts, ""])
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         cut = np.flatnonzero(ids == self.mark)
         packed, width = ids.tobytes(), ids.itemsize
         ends, starts = cut.tolist(), [0, *(cut + 1).tolist()]
@@ -103,20 +114,26 @@ class CachedTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Put stretches into the memo; those that end in plain signs by their two parts."""
         memo, old = self.memo, self.old
         ask, parts = set(), []
         for x in new:
-            if x in old:
-                memo[x] = old[x]
+            if len(x) > 256:
+                self.long.append(x)
+            ids = old.get(x)
+            if ids is not None:
+                memo[x] = ids
                 continue
-            low = x.lower() if x.isascii() else x
+            low = x.lower() if x.isascii() or self.letters and not _beyond(x) else x
             core = low.rstrip(_SIGNS)
+            if core == x:
+                ask.add(x)
+                continue
             if core and not _parts(core[-1]):
                 core = low
             tail = low[len(core) :]
-            parts.append((x, core, tail))
+            parts += x, core, tail
             for y in (core, tail):
                 if y and y not in memo:
                     if y in old:
@@ -125,31 +142,53 @@ class CachedTokenizer:
                         ask.add(y)
         memo.update(zip(ask, self._encode(list(ask)), strict=True))
         memo[""] = b""
-        for x, core, tail in parts:
+        for x, core, tail in zip(parts[::3], parts[1::3], parts[2::3], strict=True):
             memo[x] = memo[core] + memo[tail]
-        for x, *_ in parts:
-            if len(x) > 256:
-                self.long.append(x)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, and `end`, as bytes; NULL is the empty text."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo, self.old = {}, self.memo
         memo = self.memo
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.first) and self.added(t)]
-        parts = [(t.lower() if t.isascii() or self.letters and not _beyond(t) else t).split() for t in texts]
-        for i in whole:
-            parts[i] = ()
-        new = set().union(*parts).difference(memo)
+        whole = {i: t for i, t in enumerate(texts.to_pylist()) if t and any(x in t for x in self.first) and self.added(t)}
+        parts = pc.ascii_split_whitespace(pc.if_else(self._plain(texts), pc.ascii_lower(texts), texts))
+        if whole:
+            parts = pc.if_else(pa.array([i not in whole for i in range(len(texts))]), parts, None)
+        found = parts.flatten().dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(memo.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
         if new:
-            self._learn(new)
-        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
-        for i in whole:
-            out[i] = self._whole(texts[i])
+            self._learn([words[i] for i in new])
+            for i in new:
+                ids[i] = memo[words[i]]
+        # each text ends with an entry of its own: the end, or all ids of a text that is left whole
+        ids.append(end)
+        last = np.full(len(texts), len(words))
+        for i, text in whole.items():
+            last[i] = len(ids)
+            ids.append(self._whole(text) + end)
+        stops = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy())
+        places = np.insert(found.indices.to_numpy().astype(np.int64), stops, last)
+        taken = pa.array(ids, pa.binary()).take(pa.array(places))
+        _, at, data = taken.buffers()
+        bounds = np.frombuffer(at, np.int32)[np.concatenate([[0], stops + np.arange(1, len(texts) + 1)])]
         while self.long:  # very long stretches are not kept
             x = self.long.pop()
             for y in (x, x.lower(), x.lower().rstrip(_SIGNS), x.rstrip(_SIGNS)):
                 memo.pop(y, None)
-        return out
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), data])
+
+    @staticmethod
+    def _plain(texts: pa.Array) -> pa.Array:
+        """Whether a text has no sign beyond those of one or two bytes that begin below 0xC4: plain letters
+        with no marks to combine, of which A-Z can be lowered before all else."""
+        offsets, data = buffers(texts)
+        high = np.flatnonzero(data[offsets[0] : offsets[-1]] >= 0xC4) + offsets[0]
+        return pa.array(np.diff(np.searchsorted(high, offsets, "left")) == 0)
 
 
 def _byte_signs() -> str:
@@ -218,13 +257,10 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             _WORKER[key] = CachedTokenizer(shared.value, kind)
         model = _WORKER[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
-                ids = [x + end for x in model.encode([t or "" for t in rows.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n", "ids"],
-                )
+            if batch.num_rows:
+                ids = model.encode_column(batch.column(1), end)
+                n = pc.divide(pc.binary_length(ids), width).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), n, ids], ["doc_id", "n", "ids"])
 
     doc = docs.schema["doc_id"].dataType.simpleString()
     out = narrow(docs, "doc_id", "text").mapInArrow(run, f"doc_id {doc}, n long, ids binary")

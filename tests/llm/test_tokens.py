@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -159,3 +160,22 @@ def test_code(n, limit):
         ids = rng.integers(0, n, 1000)
         payload, offsets = code.pack(ids)
         assert code.unpack(payload, offsets, 1000).tolist() == ids.tolist()
+
+
+def test_columns_are_encoded_by_their_distinct_stretches():
+    """A column's stretches are looked up once each, plain letters by the merges alone, and its ids are the library's."""
+    with open(WORDS, encoding="utf-8") as lines:
+        file = lines.read()
+    cached, model, rng = token_files.CachedTokenizer(file, "<u2"), Tokenizer.from_str(file), random.Random(6)
+    parts = ["Lamp", "lamp.", "ÉTÉ", "été,", "W̊", "<|endoftext|>", "\xa0", "İx", "Ÿ", "a\x7fb", "\x1d", "\x0b", "x" * 300 + ".", " ", "\n "]
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(600)), "lamp " * 5000]
+    asked = []
+    learn = cached._learn
+    cached._learn = lambda new: asked.extend(new) or learn(new)
+    column = pa.array(["left out", *texts]).slice(1)
+    got = cached.encode_column(column, b"\x02\x00")
+    ids = [np.frombuffer(x, "<u2").tolist() for x in got.to_pylist()]
+    assert ids == [[*model.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert len(asked) == len(set(asked)) and "left" not in asked
+    assert cached.encode_column(column.slice(0, 0)).to_pylist() == []
+    assert not any(len(x) > 256 for x in cached.memo)
