@@ -14,37 +14,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from qagrade.llm import byte_bpe, contamination, ngram_join, secrets, toxicity
-from qagrade.llm.common import discard, documents, ship, stored
+from qagrade.llm.common import discard, documents, ship_stage, stored
 from qagrade.sources.scratch import scoped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic."""
-    ship(spark)
+    ship_stage(spark)
     return toxicity.without_toxic(docs, documents(spark, sf_dir, "labels"))
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by 5-word shingles and a similarity of 0.8."""
-    ship(spark)
+    ship_stage(spark)
     return ngram_join.without_similar(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    ship(spark)
+    ship_stage(spark)
     return contamination.decontaminated(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets replaced by their kinds."""
-    ship(spark)
+    ship_stage(spark)
     return secrets.redact(docs, size_column="n_chars")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each text, little-endian unsigned 32-bit, in place of the text."""
-    ship(spark)
+    ship_stage(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "lang", "source", "n_tokens", "ids")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from qagrade.llm.common import narrow, worker_cache
+from qagrade.llm.common import buffers, narrow, row_bounds, worker_cache
 
 #: Entries of each half of a memo; when the new half is full it becomes the old one.
 MEMO_ENTRIES = 150_000
@@ -163,8 +163,16 @@ class Codec:
         return out[0] if len(out) == 1 else b"".join(out)
 
     def _run(self, run: str) -> bytes:
-        """Packed ids of a run and the space before it."""
-        ids = self.old_runs.get(run) or self._pieces(self.split(" " + run))
+        """Packed ids of a run and the space before it; its first pre-token is kept as a run, and once."""
+        ids = self.runs.get(run) or self.old_runs.get(run)
+        if ids is None:
+            own = self.split(" " + run)
+            if len(own) == 1:
+                ids = self.piece(own[0])
+            elif own and own[0][0] == " " and self.split(own[0]) == own[:1]:
+                ids = self._run(own[0][1:]) + self._pieces(own[1:])
+            else:
+                ids = self._pieces(own)
         if len(run) <= 64:
             self.runs[run] = ids
         return ids
@@ -205,6 +213,18 @@ def _shared(df: DataFrame, path: str, pattern: str):
     return key, df.sparkSession.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
 
 
+def _encoded(codec: Codec, batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch with its ids and their number, some rows at once: ids are longer than their texts."""
+    at = batch.schema.get_field_index(text)
+    for row, end in row_bounds(buffers(batch.column(at))[0]):
+        part = batch.slice(row, end - row)
+        ids = [codec.encode(t or "") for t in part.column(at).to_pylist()]
+        count = pa.array([len(x) // 4 for x in ids], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(ids, pa.binary()), count], [*batch.schema.names, "ids", "n_tokens"]
+        )
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """`docs` with `ids` (binary, little-endian unsigned 32-bit) and `n_tokens`.
 
@@ -218,12 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            ids = [codec.encode(t or "") for t in batch.column(at).to_pylist()]
-            count = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.binary()), count], [*batch.schema.names, "ids", "n_tokens"]
-            )
+            yield from _encoded(codec, batch, text)
 
     return docs.mapInArrow(run, schema)
 

@@ -99,13 +99,22 @@ discard = unpin
 
 #: Bytes of texts that are handed to a Python worker at once, unless the session sets another number.
 ARROW_BYTES = 8 << 20
+STAGE_BYTES = 2 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def _small_batches(spark: SparkSession) -> None:
+def _small_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
     """Workers hold a batch of texts and what is made of it, so long texts need small batches."""
-    if not spark.sparkContext.getConf().contains(_ARROW) and spark.conf.get(_ARROW).startswith("67108864"):
-        spark.conf.set(_ARROW, str(ARROW_BYTES))
+    if not spark.sparkContext.getConf().contains(_ARROW) and (
+        spark.conf.get(_ARROW).startswith("67108864") or size < ARROW_BYTES and spark.conf.get(_ARROW) == str(ARROW_BYTES)
+    ):
+        spark.conf.set(_ARROW, str(size))
+
+
+def ship_stage(spark: SparkSession) -> None:
+    """For a stage of several in the same workers, whose memory adds up: smaller batches still."""
+    ship(spark)
+    _small_batches(spark, STAGE_BYTES)
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
@@ -146,17 +155,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def row_bounds(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, end row): whole texts, about `limit` bytes at once."""
+    n, row = len(offsets) - 1, 0
+    while row < n:
+        end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
+        end = min(max(end, row + 1), n)
+        yield row, end
+        row = end
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets from 0, bytes): whole texts, about `limit` bytes at once."""
     for cache in _CACHES:
         cache.clear()
     offsets, data = buffers(column)
-    n, row = len(offsets) - 1, 0
-    while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        end = min(max(end, row + 1), n)
+    for row, end in row_bounds(offsets, limit):
         yield row, end, offsets[row : end + 1] - offsets[row], data[offsets[row] : offsets[end]]
-        row = end
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -56,3 +56,18 @@ def test_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_small_batches(spark, folder):
+    """The stages' memory adds up in the workers; a number that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        for wanted, own in [(2 << 20, None), (2 << 20, 8 << 20), (3 << 20, 3 << 20)]:
+            if own:
+                spark.conf.set(key, str(own))
+            corpus_pipeline.redact_secrets(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert spark.conf.get(key) == str(wanted)
+    finally:
+        spark.conf.set(key, before)

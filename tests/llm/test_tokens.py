@@ -146,6 +146,32 @@ def test_runs_are_kept_without_their_space(library):
     assert "walks" in codec.runs and " walks" not in codec.runs
 
 
+def test_memos_hold_a_word_once(library):
+    """A run's first pre-token is the run without its signs, and kept as that alone; odd patterns are split as before."""
+    codec, rng = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), P.PATTERN), random.Random(8)
+    words = [w + s for w in ("zwalkz", "Lampq", "été", "x" * 70, "'s", "#!", "12") for s in ("", ",", "'s", "9.", "\u3000a", "\x1c")]
+    for text in [" ".join(rng.choices(words, k=9)) for _ in range(300)]:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert "zwalkz" in codec.runs and not any(p[0] == " " and p[1:] in codec.runs for p in codec.pieces)
+    plain = byte_bpe.Codec(codec.tokens, r"[a-z]+", codec.perfect)
+    for text in ("ab 12 cd, ab", "ab cd1e cd1e ab1 1"):
+        assert plain.encode(text) == b"".join([plain.piece(p) for p in plain.split(text)])
+
+
+def test_ids_leave_in_small_batches():
+    """A large batch of texts is encoded some rows at once, so neither its ids nor its strings are held whole."""
+    codec, rng = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), P.PATTERN), random.Random(9)
+    texts = [None, "", *("word " * rng.randint(0, 9000) for _ in range(80)), "long " * 200_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array(["cut", *texts])], ["doc_id", "text"]).slice(1)
+    parts = list(byte_bpe._encoded(codec, batch, "text"))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(1, len(texts) + 1))
+    assert [x for p in parts for x in p.column(2).to_pylist()] == [codec.encode(t or "") for t in texts]
+    assert [n for p in parts for n in p.column(3).to_pylist()] == [len(codec.encode(t or "")) // 4 for t in texts]
+    assert len(parts) > 3 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1 << 19 for p in parts)
+    assert list(byte_bpe._encoded(codec, batch.slice(0, 0), "text")) == []
+
+
 @pytest.mark.parametrize("n,limit", [(0, 16), (1, 16), (2, 16), (50, 6), (3000, 12), (64, 6)])
 def test_code(n, limit):
     rng = np.random.default_rng(n)
