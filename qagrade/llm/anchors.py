@@ -48,6 +48,8 @@ def anchor_places(hashes: np.ndarray, width: int, inside: np.ndarray) -> np.ndar
 
 #: Of a slice's offsets and bytes: text number, place and key of every anchor.
 Finder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Of a slice's offsets and bytes, and its anchors' text numbers and places: the columns kept of them.
+Columns = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def release(spark: SparkSession) -> None:
@@ -56,8 +58,8 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None) -> DataFrame:
-    """key and doc_id of all anchors, or with a filter those that pass it and their places."""
+def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None, columns: Columns | None = None, more: str = "") -> DataFrame:
+    """key and doc_id of all anchors, or with a filter those that pass it and their columns, `more`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,16 +68,15 @@ def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None) ->
                 if known:
                     kept = known.value.passes(key)
                     doc, at, key = doc[kept], at[kept], key[kept]
-                columns = [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row + doc))]
-                names = ["key", "doc_id"]
+                held = [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row + doc))]
                 if known:
-                    columns.append(pa.array(at.astype(np.int32)))
-                    names.append("at")
+                    held += [pa.array(c) for c in columns(offsets, data, doc, at)]
                 for a in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in columns], names)
+                    yield pa.RecordBatch.from_arrays([c.slice(a, 100_000) for c in held], names)
 
     doc = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"key long, doc_id {doc}" + (", at int" if known else ""))
+    names = ["key", "doc_id"] + [c.split()[0] for c in more.split(", ") if c]
+    return texts.mapInArrow(run, ", ".join([f"key long, doc_id {doc}"] + [more] * bool(more)))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -83,12 +84,15 @@ def copies(docs: DataFrame) -> DataFrame:
     hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), F.length("text").alias("n")
     )
+    hashed = stored(hashed, "hashes")  # three steps need them: the texts are read once
     firsts = hashed.groupBy("one", "two", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where(F.col("first") < F.col("last")).drop("last")
     found = hashed.join(firsts, ["one", "two", "n"]).where(F.col("doc_id") > F.col("first"))
     # an id that is both a copy and something else keeps its place among the texts
     several = hashed.groupBy("doc_id").agg(F.min("one").alias("a"), F.max("one").alias("b")).where("a <> b")
-    return stored(found.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "copies")
+    out = stored(found.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "copies")
+    discard(hashed)
+    return out
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
@@ -97,17 +101,25 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     return stored(spans.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
 
 
-def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFrame:
-    """key, doc_id and place of the anchors of several documents, exact copies left out, stored."""
+def shared_anchors(texts: DataFrame, find: Finder, copied: DataFrame, columns: Columns, more: str) -> DataFrame:
+    """key, doc_id and columns of the anchors of several documents, less those in exact copies, stored.
+    Some then have one document left."""
     spark = texts.sparkSession
     several = _repeated(_anchors(texts, find))
     known = spark.sparkContext.broadcast(key_filter(several))
     release(spark)
-    found = _anchors(texts, find, known).join(several, "key").join(copied, "doc_id", "left_anti")
-    found = stored(found.select("key", "doc_id", "at"), "places")
+    found = _anchors(texts, find, known, columns, more).join(several, "key").join(copied, "doc_id", "left_anti")
+    found = stored(found.select("key", "doc_id", *[c.split()[0] for c in more.split(", ")]), "places")
     known.destroy()
     discard(several)
     release(spark)
+    return found
+
+
+def repeated_places(texts: DataFrame, find: Finder, copied: DataFrame) -> DataFrame:
+    """key, doc_id and place of the anchors of several documents, exact copies left out, stored."""
+    spark = texts.sparkSession
+    found = shared_anchors(texts, find, copied, lambda offsets, data, doc, at: [at.astype(np.int32)], "at int")
     left = _repeated(found)
     out = stored(found.join(left, "key"), "places")
     discard(found, left)

@@ -295,19 +295,28 @@ def key_filter(keys: DataFrame) -> KeyFilter:
     bits = min(max(wanted, FILTER_BITS[0]), FILTER_BITS[1])
     size = 1 << _SEGMENT_BITS
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(_U)
+            at = np.unique(np.concatenate([key >> _U(64 - bits), key & _U((1 << bits) - 1)])).astype(np.int32)
+            ends = np.append(np.flatnonzero(np.diff(at // size, prepend=-1)), len(at))
+            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array((at[ends[:-1]] // size).astype(np.int64)), places], ["segment", "places"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            for segment in np.unique(at // size):
+            at = batch.column(1).flatten().to_numpy()
+            segments = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            for segment in np.unique(batch.column(0).to_numpy()):
                 marked = found.setdefault(int(segment), np.zeros(size, bool))
-                marked[at[at // size == segment] % size] = True
+                marked[at[segments == segment] % size] = True
         for segment, marked in found.items():
             packed = np.packbits(marked, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([packed])], ["segment", "bits"])
 
-    ends = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
-    places = keys.select(F.explode(ends).alias("at")).distinct().repartition(F.shiftright("at", _SEGMENT_BITS))
+    # one row a batch and segment: places one by one cost a shuffled row for each end of each key
+    places = keys.select("key").mapInArrow(deal, "segment long, places array<int>").repartition("segment")
     rows = places.mapInArrow(build, "segment long, bits binary").toArrow()
     out = np.zeros((1 << bits) // 8, np.uint8)
     for i, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):

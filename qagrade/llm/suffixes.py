@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from qagrade.llm.anchors import anchor_places, copies, release, repeated_places
+from qagrade.llm.anchors import anchor_places, copies, release, shared_anchors
 from qagrade.llm.common import _splitmix, discard, narrow, random_words, slices, span_hashes, stored
 from qagrade.sources.scratch import scoped
 
@@ -41,9 +41,9 @@ SEED = 16
 BEFORE = MATCH - SEED  #: bytes of a context before its anchor
 WIDTH = MATCH + BEFORE
 GROUP = 4096  #: contexts of an anchor in one task
-CHUNK = 8192
+CHUNK = 2048  #: contexts sorted at once, whole groups: small enough for a processor's cache
 BLOCK = 8
-_PAD = 72
+PIECE = 7  #: places of a string's anchor that one screened piece stands for
 _BYTE = random_words(256, 3)
 
 
@@ -77,44 +77,13 @@ def _context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, before
         return span_hashes(data, start, end) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key, ctx (hash of the context), document, place of the context, place of the anchor in it, its
-    size; stored."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # places of one text
-    rows = docs.join(wanted, "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            for row, stop, offsets, data in slices(batch.column(1)):
-                own = lists.slice(row, stop - row)
-                doc = np.repeat(np.arange(stop - row), own.value_lengths().to_numpy())
-                place = own.flatten().to_numpy() + offsets[doc]
-                ok = place + SEED <= offsets[doc + 1]  # rows of one id can differ
-                doc, place = doc[ok], place[ok]
-                start, end = np.maximum(place - BEFORE, offsets[doc]), np.minimum(place + MATCH, offsets[doc + 1])
-                long = end - start >= MATCH
-                doc, place, start, end = doc[long], place[long], start[long], end[long]
-                if not len(place):
-                    continue
-                key = span_hashes(data, place, place + SEED)
-                ctx = _context_hashes(data, start, end, place - start)
-                columns = [
-                    pa.array(key.view(np.int64)),
-                    pa.array(ctx.view(np.int64)),
-                    batch.column(0).take(pa.array(row + doc)),
-                    pa.array((start - offsets[doc]).astype(np.int32)),
-                    pa.array((place - start).astype(np.int32)),
-                    pa.array((end - start).astype(np.int32)),
-                ]
-                for a in range(0, len(place), 100_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [c.slice(a, 100_000) for c in columns], ["key", "ctx", "doc_id", "start", "before", "size"]
-                    )
-
-    doc = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key long, ctx long, doc_id {doc}, start int, before int, size int")
-    return stored(out, "contexts")
+def _context_columns(offsets: np.ndarray, data: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of anchors: the hash of the context, its place, the place of the anchor in it, its size."""
+    place = at + offsets[doc]
+    start, end = np.maximum(place - BEFORE, offsets[doc]), np.minimum(place + MATCH, offsets[doc + 1])
+    ctx = _context_hashes(data, start, end, place - start)
+    sizes = (start - offsets[doc], place - start, end - start)
+    return [ctx.view(np.int64), *[x.astype(np.int32) for x in sizes]]
 
 
 def _with_bytes(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -154,8 +123,14 @@ def _with_bytes(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     """Dense ranks of numbers."""
-    order = np.argsort(key)
-    s = key[order]
+    bits = len(key).bit_length()
+    if len(key) and 0 <= key.min() and int(key.max()) < 1 << 63 - bits:
+        # sorting numbers that hold their places is several times faster than sorting places
+        s = np.sort(key.astype(np.int64) << bits | np.arange(len(key)))
+        order, s = s & (1 << bits) - 1, s >> bits
+    else:
+        order = np.argsort(key)
+        s = key[order]
     new = np.zeros(len(order), bool)
     new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), np.int64)
@@ -165,14 +140,19 @@ def _ranks(key: np.ndarray) -> np.ndarray:
 
 def _named(*keys: np.ndarray) -> np.ndarray:
     """Dense ranks of tuples, given by their parts from the first to the last. Sorts of single numbers
-    are several times faster than those of tuples, so ranks are put together two by two."""
-    n = max(len(keys[0]), 1)
-    out, room = _ranks(keys[0]), n
-    for key in keys[1:]:
-        if room * n >= 1 << 62:
-            out, room = _ranks(out), n
-        out, room = out * n + _ranks(key), room * n
-    return out if len(keys) == 1 else _ranks(out)
+    are several times faster than those of tuples, so parts are put together as far as 62 bits hold them."""
+    if len(keys) == 1 or not len(keys[0]):
+        return _ranks(keys[0])
+    out, room = np.zeros(len(keys[0]), np.int64), 1
+    for key in keys:
+        if key.min() < 0 or key.max() >= 1 << 31:
+            key = _ranks(key)
+        size = int(key.max()) + 1
+        if room * size >= 1 << 62:
+            out = _ranks(out)
+            room = int(out.max()) + 1
+        out, room = out * size + key.astype(np.int64), room * size
+    return _ranks(out)
 
 
 def _merge_places(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,36 +170,37 @@ def sorted_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """
     n = len(texts)
     size = np.array([len(t) for t in texts])
-    flat = np.frombuffer(b"".join(t.ljust(WIDTH + _PAD, b"\0") for t in texts), np.uint8).reshape(n, -1)
-    block = np.zeros((n, WIDTH + _PAD - BLOCK), np.uint64)  # eight bytes from each place on
-    for k in range(BLOCK):
-        block |= flat[:, k : k + block.shape[1]].astype(np.uint64) << np.uint64(8 * (BLOCK - 1 - k))
+    wide = WIDTH + BLOCK
+    flat = b"".join(t.ljust(wide, b"\0") for t in texts)
+    blocks = np.ndarray((n, WIDTH), ">u8", flat, strides=(wide, 1)).astype(np.uint64)  # eight bytes from each place on
+    # their ranks, that of nothing 0, as it is past the end
+    block = np.zeros((n, WIDTH + 2 * BLOCK), np.int64)
+    block[:, :WIDTH] = _ranks(blocks.ravel()).reshape(n, -1) + (blocks.min() > 0)
     last = WIDTH - MATCH + 2 * BLOCK  # the furthest place whose rank is asked for
     columns = np.arange(WIDTH)
     sample = columns[columns // BLOCK % 3 != 0]
     names = np.zeros((n, last + 9 * BLOCK + 1), np.int64)
     triples = [block[:, sample + k * BLOCK].ravel() for k in range(3)]
-    own = _named(*triples)  # sorted triples; that of nothing is 0, as it is past the end
+    own = _named(*triples)  # sorted triples, that of nothing 0
     nothing = ((triples[0] | triples[1] | triples[2]) == 0).any()
     names[:, sample] = (own if nothing else own + 1).reshape(n, -1)
     # the names of four neighbouring triples cover all of a suffix
     ranked = sample[sample <= last]
-    name = lambda k: names[:, ranked + 3 * k * BLOCK].ravel()
     rank = np.zeros((n, last + 1), np.int64)
-    rank[:, ranked] = _named(name(0) << 32 | name(1), name(2) << 32 | name(3)).reshape(n, -1)
+    rank[:, ranked] = _named(*[names[:, ranked + 3 * k * BLOCK].ravel() for k in range(4)]).reshape(n, -1)
 
     row, at = np.nonzero(np.arange(WIDTH - MATCH + 1)[None, :] + MATCH <= size[:, None])
     kind = at // BLOCK % 3
     parts = [np.flatnonzero(kind == k) for k in range(3)]
-    first = lambda x, d: block[row[x], at[x] + d * BLOCK]
-    ranks = lambda x, d: rank[row[x], at[x] + d * BLOCK]
+    first = lambda x, d: block.take((row * block.shape[1] + at + d * BLOCK)[x])
+    ranks = lambda x, d: rank.take((row * rank.shape[1] + at + d * BLOCK)[x])
     rest, one, two = parts
     # order inside each part, then the places of the parts among each other
     inside = [_named(first(rest, 0), ranks(rest, 1)), ranks(one, 0), ranks(two, 0)]
     place = np.zeros(len(row), np.int64)
     for part, own in zip(parts, inside, strict=True):
-        order = np.argsort(own, kind="stable")
-        place[part[order]] = np.arange(len(part))
+        # equal suffixes in order of their texts
+        place[part] = _ranks(own * len(part) + np.arange(len(part)))
     a, b = _merge_places([ranks(one, 0)], [ranks(two, 0)])
     place[one] += a
     place[two] += b
@@ -233,28 +214,28 @@ def sorted_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order[place] = np.arange(len(row))
     row, at = row[order], at[order]
     new = np.zeros(len(row), bool)  # where neighbours' prefixes differ
-    for d in range(MATCH // BLOCK):
-        value = block[row, at + d * BLOCK]
+    begin = row * block.shape[1] + at
+    for d in (*range(0, MATCH - BLOCK, BLOCK), MATCH - BLOCK):
+        value = block.take(begin + d)
         new[1:] |= value[1:] != value[:-1]
-    value = block[row, at + MATCH - BLOCK]
-    new[1:] |= value[1:] != value[:-1]
     return row, at, np.cumsum(new)
 
 
-def _screened(key: np.ndarray, start: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Which contexts share the anchor and the HALF bytes before or behind it with another one."""
-    half = BEFORE // 2
-    side = lambda i, t, a: (
-        (key[i], 0, t[a - half : a + SEED]) if a >= half else None,
-        (key[i], 1, t[a : a + SEED + half]) if a + SEED + half <= len(t) else None,
-    )
-    sides = [side(i, t, a) for i, (t, a) in enumerate(zip(texts, start.tolist(), strict=True))]
-    seen: dict = {}
-    for pair in sides:
-        for s in pair:
-            if s is not None:
-                seen[s] = seen.get(s, 0) + 1
-    return np.array([any(s is not None and seen[s] > 1 for s in pair) for pair in sides], bool)
+def _screened(start: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Which contexts share the anchor and some bytes around it with another one. A string of MATCH
+    bytes over an anchor has all of the bytes of one of the PIECES there."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begin = offsets - offsets[0]
+    anchor = begin[:-1] + start
+    before = np.arange(0, BEFORE + 1, PIECE)[:, None]
+    a, b = anchor - before, anchor + SEED + np.maximum(BEFORE - before - PIECE + 1, 0)
+    piece, found = np.nonzero((a >= begin[:-1]) & (b <= begin[1:]))
+    value = span_hashes(data, a[piece, found], b[piece, found]) ^ piece.astype(np.uint64)
+    number = _ranks(value)
+    out = np.zeros(len(texts), bool)
+    out[found[np.bincount(number)[number] > 1]] = True
+    return out
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -280,11 +261,12 @@ def _compared(contexts: DataFrame) -> DataFrame:
     )
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        texts = table["bytes"].to_pylist()
+        held = table["bytes"].combine_chunks()
         parts = table["parts"].to_numpy()
-        keep = np.flatnonzero(_screened(table["key"].to_numpy(), table["before"].to_numpy(), texts) | (parts > 1))
+        keep = np.flatnonzero(_screened(table["before"].to_numpy(), held) | (parts > 1))
         if len(keep) == 0:
             return
+        texts = held.to_pylist()
         row, at, number = sorted_strings([texts[i] for i in keep])
         row = keep[row]
         docs = table["lo"].to_numpy()[row]
@@ -356,21 +338,23 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = narrow(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     copied = copies(texts)
-    places = repeated_places(texts, find_anchors, copied)
-    found = _contexts(texts, places)
-    discard(places)
-    release(spark)
+    found = shared_anchors(texts, find_anchors, copied, _context_columns, "ctx long, start int, before int, size int")
     classes = found.groupBy("ctx").agg(
         F.min("doc_id").alias("lo"),
         F.min_by("start", "doc_id").alias("start"),
         *[F.min(c).alias(c) for c in ("key", "before", "size")],
+        F.count("*").alias("times"),
     )
     classes = stored(classes, "classes")
     release(spark)
-    several = classes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    open_ = classes.join(several, "key").withColumn("parts", F.ceil(F.col("many") / GROUP).cast("int"))
+    # documents are compared by the first of each context only
+    several = classes.groupBy("key").agg(F.count("*").alias("many"), F.min("lo").alias("a"), F.max("lo").alias("b"))
+    open_ = classes.join(several.where("a < b").drop("a", "b"), "key").withColumn("parts", F.ceil(F.col("many") / GROUP).cast("int"))
     open_ = open_.withColumn("group", F.xxhash64("key", F.pmod("ctx", F.col("parts"))))
-    open_ = stored(open_.drop("many"), "open")
+    open_ = stored(open_.drop("many", "times"), "open")
+    # contexts that stand once take nothing from their document by themselves
+    first = stored(classes.where("times > 1").select("ctx", "lo"), "first")
+    discard(classes)
     release(spark)
     filled = stored(_with_bytes(texts, open_), "filled", compression="zstd")
     discard(open_)
@@ -388,10 +372,10 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     strings = alone.union(shared)
     where = found.select("ctx", "doc_id", "start", "before", "size")
-    # a document that is not the first of its context loses all of it
-    first = classes.select("ctx", "lo")
-    joined = where.join(first, "ctx").join(strings, "ctx", "left")
-    whole = F.col("doc_id") > F.col("lo")
+    # a document that is not the first of its context loses all of it; joined with one table, so
+    # that Spark splits a very frequent context over several tasks
+    joined = where.join(first.join(strings, "ctx", "full"), "ctx")
+    whole = F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))
     spans = joined.where(whole | F.col("strings").isNotNull()).select(
         "doc_id",
         "ctx",
@@ -402,7 +386,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(~whole, F.col("strings")).alias("strings"),
     )
     spans = stored(spans, "spans")
-    discard(found, classes, told)
+    discard(found, first, told)
     release(spark)
     return spans, copied
 

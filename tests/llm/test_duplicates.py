@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,44 @@ def test_sorted_strings():
         assert [a[:50] == b[:50] for a, b in zip(ends, ends[1:], strict=False)] == (number[1:] == number[:-1]).tolist()
 
 
+def test_screened_contexts_are_those_that_can_share_a_string():
+    rng = random.Random(8)
+    letters = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    seed, far = letters(16), letters(34)
+    for left in range(35):
+        # the first two share `left` bytes before their anchor and so many behind it that one string is equal
+        one, two = letters(34 - left) + far[34 - left :] + seed, letters(34 - left) + far[34 - left :] + seed
+        tail = letters(34 - left)
+        texts = [one + tail + letters(left), two + tail + letters(left), letters(34) + seed + far]
+        # others share half of their bytes on one side alone, or have little of it
+        texts += [far + seed + letters(34), letters(12) + far[12:] + seed + letters(34), far[-20:] + letters(14) + seed]
+        own = [{t[p : p + 50] for p in range(len(t) - 49)} for t in texts]
+        start = np.array([34, 34, 34, 34, 34, 34], np.int32)
+        kept = suffixes._screened(start, pa.array(texts, pa.binary()))
+        for i, x in enumerate(own):
+            assert kept[i] or not any(x & y for j, y in enumerate(own) if j != i)
+        assert kept[:2].all() and not kept[2]
+    some = [letters(17) + far[17:] + seed + letters(34) for _ in range(4)]  # 33 equal bytes
+    assert not suffixes._screened(np.full(4, 34, np.int32), pa.array([b"x", *some], pa.binary()).slice(1)).any()
+
+
+def test_suffixes_compare_the_first_documents_of_contexts(spark, monkeypatch):
+    """An anchor whose contexts all have one first document has nothing to sort."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    seed = letters(60)
+    first = letters(80) + seed + letters(200) + seed + letters(80)
+    by_id = {1: first, 2: letters(90) + first[:200] + letters(70), 3: letters(300)}
+    compared, real = [], suffixes._with_bytes
+    monkeypatch.setattr(suffixes, "_with_bytes", lambda docs, contexts: compared.append(contexts.collect()) or real(docs, contexts))
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    assert suffix_rows(docs) == cut_bytes(by_id)
+    several = {}
+    for r in compared[0]:
+        several.setdefault(r.key, set()).add(r.lo)
+    assert all(len(x) > 1 for x in several.values())
+
+
 @pytest.mark.parametrize("run,size", [(substrings.digests, "n_words"), (suffixes.digests, "n_bytes")])
 def test_substrings_of_odd_tables(empty, odd, run, size):
     assert run(empty).count() == 0
