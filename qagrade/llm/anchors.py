@@ -11,6 +11,7 @@ very frequent anchor over several tasks.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes the shuffle files of a step when the step ends, not only after its
+    garbage has been collected. For steps that store their results, as nothing else reads those files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def _anchors(texts: DataFrame, find: Finder, known: Broadcast | None = None, columns: Columns | None = None, more: str = "") -> DataFrame:
     """key and doc_id of all anchors, or with a filter those that pass it and their columns, `more`."""
 

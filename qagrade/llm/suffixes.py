@@ -1,7 +1,8 @@
 """Substring deduplication over bytes by a difference-cover suffix sort.
 
 Equal strings of `MATCH` bytes have equal anchors, so only the surroundings of anchors that
-several documents have can hold them: an anchor's context is what strings of `MATCH` bytes over
+several documents have can hold them. Anchors have `ANCHOR` bytes: shorter ones are equal by chance
+the more often the more texts there are, and their contexts would outgrow the input. An anchor's context is what strings of `MATCH` bytes over
 it can reach. Occurrences of equal contexts are combined into their least document; every other
 document loses the whole context. What is left to tell is whether strings of one context also
 stand in another context of the same anchor, and that is what the suffixes are sorted for.
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from qagrade.llm.anchors import anchor_places, copies, release, shared_anchors
+from qagrade.llm.anchors import copies, freed, release, running, shared_anchors
 from qagrade.llm.common import _splitmix, discard, narrow, random_words, slices, span_hashes, stored
 from qagrade.sources.scratch import scoped
 
 MATCH = 50
-SEED = 16
-BEFORE = MATCH - SEED  #: bytes of a context before its anchor
-WIDTH = MATCH + BEFORE
+ANCHOR = 30  #: bytes: so many are rarely equal by chance, however many texts there are
+BEFORE = MATCH - ANCHOR  #: bytes of a context before its anchor
+MARK = ANCHOR % (BEFORE + 1)  #: bytes that choose an anchor
 GROUP = 4096  #: contexts of an anchor in one task
 CHUNK = 2048  #: contexts sorted at once, whole groups: small enough for a processor's cache
 BLOCK = 8
@@ -47,29 +48,47 @@ PIECE = 7  #: places of a string's anchor that one screened piece stands for
 _BYTE = random_words(256, 3)
 
 
-def _seed_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED = 16 bytes from each place on."""
+#: Of the place of a string's least mark: that of its anchor.
+_PLACE = np.arange(MATCH - MARK + 1) % (BEFORE + 1)
+
+
+def _rolled(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` bytes from each place on."""
     with np.errstate(over="ignore"):
-        out, factor = _BYTE[data], 0x9E3779B97F4A7C15
-        for span in (1, 2, 4, 8):
-            out = out[:-span] * np.uint64(factor) + out[span:]
-            factor = factor * factor + 2 & 0xFFFFFFFFFFFFFFFF | 1
-        return _splitmix(out)
+        span, factor, part = 1, 0x9E3779B97F4A7C15 | 1, _BYTE[data]
+        out = None
+        while True:
+            if size & span:  # what precedes, and `span` bytes more
+                done = size & span - 1
+                out = part if out is None else out[:-span] * np.uint64(factor) + part[done:]
+            if span * 2 > size:
+                return _splitmix(out)
+            part = part[:-span] * np.uint64(factor) + part[span:]
+            span, factor = span * 2, factor * factor & 0xFFFFFFFFFFFFFFFF
 
 
 def find_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, byte and hash of the anchors of a slice."""
+    """Text, byte and hash of the anchors of a slice.
+
+    A string of MATCH bytes has the anchor that the place of its least mark tells, the first of equal
+    ones: of that place the remainder by the number of places that an anchor can have. So strings of
+    ANCHOR bytes are chosen by much shorter ones, which makes them fewer than if they were compared
+    themselves (a mod-minimizer; ANCHOR and MARK differ by a multiple of those places).
+    """
     if len(data) < MATCH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    key = _seed_hashes(data)
-    inside = np.ones(len(data) - MATCH + 1, bool)
+    marks = _rolled(data, MARK)
+    held = marks >> np.uint64(32) << np.uint64(32) | np.arange(len(marks), dtype=np.uint64)
+    least = running(np.minimum, held, MATCH - MARK + 1).astype(np.uint32).astype(np.int64)
+    inside = np.ones(len(least), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         inside[max(a, b - MATCH + 1) : b] = False
-    at = anchor_places(key, MATCH - SEED + 1, inside)
+    start = np.arange(len(least))
+    chosen = np.zeros(len(data), bool)
+    chosen[(start + _PLACE[least - start])[inside]] = True
+    at = np.flatnonzero(chosen)
     doc = np.searchsorted(offsets, at, "right") - 1
-    ok = at + SEED <= offsets[doc + 1]
-    at, doc = at[ok], doc[ok]
-    return doc, at - offsets[doc], key[at]
+    return doc, at - offsets[doc], _rolled(data, ANCHOR)[at]
 
 
 def _context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -166,18 +185,19 @@ def _merge_places(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.n
 def sorted_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings of MATCH bytes in suffix order: text, place, and a number for equal strings.
 
-    Texts have at most WIDTH bytes.
+    The names cover texts of 96 bytes at most.
     """
     n = len(texts)
     size = np.array([len(t) for t in texts])
-    wide = WIDTH + BLOCK
+    width = max(int(size.max()), MATCH)
+    wide = width + BLOCK
     flat = b"".join(t.ljust(wide, b"\0") for t in texts)
-    blocks = np.ndarray((n, WIDTH), ">u8", flat, strides=(wide, 1)).astype(np.uint64)  # eight bytes from each place on
+    blocks = np.ndarray((n, width), ">u8", flat, strides=(wide, 1)).astype(np.uint64)  # eight bytes from each place on
     # their ranks, that of nothing 0, as it is past the end
-    block = np.zeros((n, WIDTH + 2 * BLOCK), np.int64)
-    block[:, :WIDTH] = _ranks(blocks.ravel()).reshape(n, -1) + (blocks.min() > 0)
-    last = WIDTH - MATCH + 2 * BLOCK  # the furthest place whose rank is asked for
-    columns = np.arange(WIDTH)
+    block = np.zeros((n, width + 2 * BLOCK), np.int64)
+    block[:, :width] = _ranks(blocks.ravel()).reshape(n, -1) + (blocks.min() > 0)
+    last = width - MATCH + 2 * BLOCK  # the furthest place whose rank is asked for
+    columns = np.arange(width)
     sample = columns[columns // BLOCK % 3 != 0]
     names = np.zeros((n, last + 9 * BLOCK + 1), np.int64)
     triples = [block[:, sample + k * BLOCK].ravel() for k in range(3)]
@@ -189,7 +209,7 @@ def sorted_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     rank = np.zeros((n, last + 1), np.int64)
     rank[:, ranked] = _named(*[names[:, ranked + 3 * k * BLOCK].ravel() for k in range(4)]).reshape(n, -1)
 
-    row, at = np.nonzero(np.arange(WIDTH - MATCH + 1)[None, :] + MATCH <= size[:, None])
+    row, at = np.nonzero(np.arange(width - MATCH + 1)[None, :] + MATCH <= size[:, None])
     kind = at // BLOCK % 3
     parts = [np.flatnonzero(kind == k) for k in range(3)]
     first = lambda x, d: block.take((row * block.shape[1] + at + d * BLOCK)[x])
@@ -228,8 +248,8 @@ def _screened(start: np.ndarray, texts: pa.Array) -> np.ndarray:
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     begin = offsets - offsets[0]
     anchor = begin[:-1] + start
-    before = np.arange(0, BEFORE + 1, PIECE)[:, None]
-    a, b = anchor - before, anchor + SEED + np.maximum(BEFORE - before - PIECE + 1, 0)
+    before = np.arange(0, start.max(initial=0) + 1, PIECE)[:, None]
+    a, b = anchor - before, anchor - before + MATCH - PIECE + 1
     piece, found = np.nonzero((a >= begin[:-1]) & (b <= begin[1:]))
     value = span_hashes(data, a[piece, found], b[piece, found]) ^ piece.astype(np.uint64)
     number = _ranks(value)
@@ -394,7 +414,8 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 @scoped
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, the bytes left, how many bytes there were and went, and in how many runs."""
-    spans, copied = removed_spans(docs)
+    with freed(docs.sparkSession):
+        spans, copied = removed_spans(docs)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("ctx", "start", "before", "size", "whole", "strings")).alias("spans"))
     rows = narrow(docs, "doc_id", "text").join(by_doc, "doc_id", "left")
     rows = rows.join(copied.withColumn("copy", F.lit(True)), "doc_id", "left")

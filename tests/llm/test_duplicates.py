@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from qagrade.llm import contamination, ngram_join, queries, statements, substrings, suffixes
+from qagrade.llm import anchors, contamination, ngram_join, queries, statements, substrings, suffixes
 from qagrade.llm.common import WORD, key_filter
 from qagrade.llm.components import components
 
@@ -217,6 +217,58 @@ def test_suffixes_of_a_family(spark, monkeypatch):
     assert suffix_rows(docs) == cut_bytes(by_id)
 
 
+SYLLABLES = "the and ing ou re ha on er in th st an es ea ble or at ti nd sh".split()
+
+
+def syllables(rng, n):
+    return "".join(rng.choice(SYLLABLES) + " " * (rng.random() < 0.3) for _ in range(n))
+
+
+def test_suffix_anchors_depend_on_their_string_alone():
+    rng = random.Random(11)
+    texts = [syllables(rng, 400), "ab" * 90, "a" * 70, "é" * 60, syllables(rng, 12) * 9, "", "x" * 49, "y" * 50]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    doc, at, key = suffixes.find_anchors(offsets, np.frombuffer(b"".join(raw), np.uint8))
+    own = {}
+    for d, p, k in zip(doc.tolist(), at.tolist(), key.tolist(), strict=True):
+        assert p + suffixes.ANCHOR <= len(raw[d])
+        own.setdefault(d, {})[p] = k
+    wanted, keys = {}, {}
+    for d, t in enumerate(raw):
+        for p in range(len(t) - 49):
+            _, (place,), (k,) = suffixes.find_anchors(np.array([0, 50]), np.frombuffer(t[p : p + 50], np.uint8))
+            assert own[d][p + place] == k
+            assert keys.setdefault(t[p + place : p + place + suffixes.ANCHOR], k) == k
+            wanted.setdefault(d, set()).add(p + place)
+    assert {d: set(x) for d, x in own.items()} == wanted  # and no other
+    assert len(set(keys.values())) == len(keys)
+    assert len(own[0]) < len(raw[0]) / 12
+
+
+def test_suffixes_compare_no_strings_equal_by_chance(spark, monkeypatch):
+    """Short strings that many texts share by chance bring no contexts: else these outgrow the input."""
+    rng = random.Random(12)
+    by_id = {i: "".join(rng.choice(("th", "an", "er", "in")) for _ in range(2500)) for i in range(40)}
+    by_id[40] = by_id[3][500:700] + by_id[36][900:980]
+    short = [{t[p : p + 16] for p in range(len(t) - 15)} for t in by_id.values()]
+    assert sum(map(len, short)) > 1.05 * len(set().union(*short))
+    compared, real = [], suffixes._with_bytes
+    monkeypatch.setattr(suffixes, "_with_bytes", lambda docs, contexts: compared.append(contexts.count()) or real(docs, contexts))
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    assert suffix_rows(docs) == cut_bytes(by_id)
+    assert compared[0] < 30
+
+
+def test_shuffles_are_freed_as_steps_end(spark):
+    name = anchors._CLEANUP
+    before = spark.conf.get(name, None)
+    with pytest.raises(ValueError), anchors.freed(spark):
+        assert spark.conf.get(name) == "true"
+        raise ValueError
+    assert spark.conf.get(name, None) == before
+
+
 def test_sorted_strings():
     rng = random.Random(3)
     for letters in (b"a", b"ab", b"ab c", bytes(range(256))):
