@@ -120,6 +120,11 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     return stored(spans.where(F.col("lo") < F.col("hi")).select("key"), "anchors")
 
 
+#: So many ids of copies go to the tasks whole. Else Spark deals all anchors by their documents for
+#: them, a second shuffle as large as the one before it.
+COPIES = 2_000_000
+
+
 def shared_anchors(texts: DataFrame, find: Finder, copied: DataFrame, columns: Columns, more: str) -> DataFrame:
     """key, doc_id and columns of the anchors of several documents, less those in exact copies, stored.
     Some then have one document left."""
@@ -127,7 +132,8 @@ def shared_anchors(texts: DataFrame, find: Finder, copied: DataFrame, columns: C
     several = _repeated(_anchors(texts, find))
     known = spark.sparkContext.broadcast(key_filter(several))
     release(spark)
-    found = _anchors(texts, find, known, columns, more).join(several, "key").join(copied, "doc_id", "left_anti")
+    left = F.broadcast(copied) if copied.count() <= COPIES else copied
+    found = _anchors(texts, find, known, columns, more).join(several, "key").join(left, "doc_id", "left_anti")
     found = stored(found.select("key", "doc_id", *[c.split()[0] for c in more.split(", ")]), "places")
     known.destroy()
     discard(several)

@@ -260,6 +260,28 @@ def test_suffixes_compare_no_strings_equal_by_chance(spark, monkeypatch):
     assert compared[0] < 30
 
 
+@pytest.mark.parametrize("most,shuffles", [(2, 2), (1, 4)])
+def test_ids_of_copies_go_to_the_tasks(spark, monkeypatch, most, shuffles):
+    """Else the anchors are dealt once more, by their documents."""
+    plans, real = [], anchors.stored
+    monkeypatch.setattr(anchors, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or real(df, name))
+    monkeypatch.setattr(anchors, "COPIES", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_id = {i: syllables(random.Random(i % 3), 60) + "end " * (i == 4) for i in range(5)}
+        docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+        copied = anchors.copies(docs)
+        assert {r.doc_id for r in copied.collect()} == {3}
+        more = spark.createDataFrame([(3,), (77,)], "doc_id long")
+        found = anchors.shared_anchors(docs, suffixes.find_anchors, more, suffixes._context_columns, "ctx long, start int, before int, size int")
+        assert {r.doc_id for r in found.collect()} == {0, 1, 4}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    (plan,) = [p for name, p in plans if name == "places"]
+    assert plan.partition("== Physical Plan ==")[2].count("Exchange hashpartitioning") == shuffles
+
+
 def test_shuffles_are_freed_as_steps_end(spark):
     name = anchors._CLEANUP
     before = spark.conf.get(name, None)
